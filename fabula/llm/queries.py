@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import leak, neardup, overlap, terms
+from fabula.llm import leak, neardup, overlap, pairs, terms
 from fabula.tables import table
 
 _HELD = "case substring_index(id, '-', 1) when 'train' then false when 'valid' then true when 'test' then true end"
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    judged = pairs.judged_pairs(table(spark, folder, "samples"), table(spark, folder, "heldout_prompts"))
+    return judged.where("defect is not null")
+
+
+def p1_defect_rates(spark: SparkSession, folder: str) -> DataFrame:
+    judged = pairs.judged_pairs(table(spark, folder, "samples"), table(spark, folder, "heldout_prompts"))
+    total = F.count("*")
+    return judged.groupBy("run_id").agg(total.alias("pairs"), *(F.round(F.count_if(F.col("defect") == d) / total, 6).alias(d) for d in pairs.DEFECTS))
+
+
 def _marked_terms(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "instruct_records")
     n = records.select("id").distinct().count()
