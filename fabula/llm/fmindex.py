@@ -83,6 +83,25 @@ class FMIndex:
             live = live[high[live] > low[live]]
         return low, np.maximum(low, high)
 
+    def table(self, k: int, gram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row ranges of all patterns of k words that occur: (hashes in ascending order, first row, past the last).
+
+        This jump table spares the first k steps of every search. gram: hashes of all runs of k of an array of word
+        hashes.
+        """
+        inside = np.nonzero(self.length[self.owner[self.rows]] + self.start[self.owner[self.rows]] - self.rows >= k)[0]
+        words = np.zeros(self.n + k, np.uint64)
+        here = self.text > 0
+        words[: self.n][here] = self.vocabulary[self.text[here] - 1]
+        hashes = gram(words, k)[self.rows[inside]]
+        if not len(hashes):
+            empty = np.empty(0, np.int64)
+            return hashes, empty, empty
+        new = np.nonzero(np.append(True, hashes[1:] != hashes[:-1]))[0]
+        low, count = inside[new], np.diff(np.append(new, len(hashes)))
+        order = np.argsort(hashes[new])
+        return hashes[new][order], low[order], (low + count)[order]
+
     def extend(self, place: np.ndarray, pattern: np.ndarray, at: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(start in the pattern, length) of the maximal match around each place where pattern[at : at + size] stands."""
         start, length = np.empty(len(place), np.int64), np.empty(len(place), np.int64)

@@ -3,7 +3,8 @@
 The evaluation texts are cut into shards by their number of shingles and, within a range of sizes, by hash. The
 training texts are streamed through the shards whose sizes can reach the similarity. In a shard:
 
-* every shingle of a training text is searched backward in the index, which gives its number of places;
+* every shingle of a training text gets its range of rows, and so its number of places, from the index: by backward
+  search, whose first steps a jump table of all the index's shingles spares;
 * a partner of similarity s holds at least s of the text's n shingles, so of its n - ceil(s * n) + k rarest shingles
   it holds at least k: only these few are located, and only evaluation texts met k times become candidates (exact);
 * the located places are extended to maximal matches, whose spans are merged into the shared words and the longest
@@ -21,32 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.functions.words import hash_words, jaccard, shingle_hashes, split_words
+from fabula.functions.words import flat_shingles, hash_words, jaccard, shingle_hashes, split_words
 from fabula.llm.fmindex import FMIndex
 from fabula.session import materialize
 
-_TEXT = "h long, held boolean, size int, words string"
+_TEXT = "h long, size int, words string"
 _PAIR = "train long, held long, similarity double, shared_words int, longest_run int"
 
 
 def _prepare(size: int, keep: int):
-    """(h, held, text) to (h, held, number of distinct shingles, words); copies within a task go out once."""
+    """(h, text) to (h, number of distinct shingles, words); copies within a task go out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            out: list[tuple] = []
-            for h, held, text in zip(*(batch.column(c).to_pylist() for c in ("h", "held", "text"))):
-                if (h, held) in seen:
-                    continue
-                if len(seen) >= keep:
-                    seen.clear()
-                seen.add((h, held))
-                words = split_words(text)
-                n = len(np.unique(shingle_hashes(hash_words(words), size)))
-                if n:
-                    out.append((h, held, n, " ".join(words)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.bool_(), pa.int32(), pa.string()))], names=["h", "held", "size", "words"])
+            new: dict[int, str] = {}
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                if h not in seen:
+                    if len(seen) >= keep:
+                        seen.clear()
+                    seen.add(h)
+                    new[h] = " ".join(split_words(text))
+            for i in range(0, len(new), 8192):
+                h, words = list(new)[i : i + 8192], list(new.values())[i : i + 8192]
+                total = np.bincount(flat_shingles(words, size)[0], minlength=len(h))
+                some = np.nonzero(total)[0].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([h[j] for j in some], pa.int64()), pa.array(total[some], pa.int32()), pa.array([words[j] for j in some], pa.string())], names=["h", "size", "words"])
 
     return run
 
@@ -61,34 +62,42 @@ class _Shard:
         self.index = FMIndex(hashes)
         self.grams = [np.unique(shingle_hashes(x, size)) for x in hashes]
         self.sizes = np.array([len(g) for g in self.grams], np.int64)
+        self.known, self.low, self.high = self.index.table(size, shingle_hashes)
 
-    def search(self, train: list[tuple[int, str]]) -> Iterator[tuple]:
-        size, index = self.size, self.index
-        hashes = [hash_words(w.split()) for _, w in train]
-        lengths = np.array([len(x) for x in hashes])
-        flat = np.concatenate(hashes)
-        symbols = index.symbols(flat)
+    def search(self, train: list[tuple[int, str, int]]) -> Iterator[tuple]:
+        """train: class, words and number of distinct shingles of the training texts."""
+        if not len(self.known):
+            return
+        size = self.size
+        words = [w.split() for _, w, _ in train]
+        total = np.array([n for _, _, n in train], np.int64)
+        lengths = np.array([len(w) for w in words])
+        flat = hash_words([x for w in words for x in w])
         doc = np.repeat(np.arange(len(train)), lengths)
-        ends = np.repeat(np.cumsum(lengths), lengths)
-        n = len(flat) - size + 1
-        begin = np.nonzero(np.arange(n) + size <= ends[:n])[0]
-        gram = shingle_hashes(flat, size)[begin]
-        # each distinct shingle of a text once, and each distinct shingle of the batch searched once
-        distinct, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        low, high = index.search(symbols[begin[first][:, None] + np.arange(size)])
-        own = np.unique(doc[begin].astype(np.int64) * len(distinct) + inverse, return_index=True)[1]
-        d, g, at = doc[begin][own], inverse[own], begin[own] - (ends - np.repeat(lengths, lengths))[begin[own]]
-        width = (high - low)[g]
-        order = np.lexsort((width, d))
-        d, g, at, width = d[order], g[order], at[order], width[order]
-        total = np.bincount(d, minlength=len(train))
-        rank = np.arange(len(d)) - np.repeat(np.cumsum(total) - total, total)
+        start = np.cumsum(lengths) - lengths
+        gram = shingle_hashes(flat, size)
+        slot = np.searchsorted(self.known, gram)
+        slot[slot == len(self.known)] = 0
+        begin = np.nonzero((self.known[slot] == gram) & (np.arange(len(gram)) + size <= (start + lengths)[doc[: len(gram)]]))[0]
         need = np.ceil(self.least * total - 1e-9).astype(np.int64)
         hits = np.minimum(need, 1 + (self.extra * total).astype(np.int64))
-        prefix = (rank < (total - need + hits)[d]) & (width > 0)
+        # at most as many distinct shingles are held here as were found; if they are too few the text has no partner
+        begin = begin[(np.bincount(doc[begin], minlength=len(train)) >= need)[doc[begin]]]
+        if not len(begin):
+            return
+        d, at, g = doc[begin], begin - start[doc[begin]], slot[begin]
+        one = np.unique(d * len(self.known) + g, return_index=True)[1]
+        d, at, g = d[one], at[one], g[one]
+        width = (self.high - self.low)[g]
+        order = np.lexsort((width, d))
+        d, g, at, width = d[order], g[order], at[order], width[order]
+        found = np.bincount(d, minlength=len(train))
+        # rank among all shingles of the text, those that occur nowhere in the index first
+        rank = np.arange(len(d)) - np.repeat(np.cumsum(found) - found, found) + (total - found)[d]
+        prefix = rank < (total - need + hits)[d]
         d, g, at, width = d[prefix], g[prefix], at[prefix], width[prefix]
         for lo, hi in self._slices(d, width):
-            yield from self._candidates(train, hashes, symbols, lengths, d[lo:hi], g[lo:hi], at[lo:hi], width[lo:hi], low, hits, total)
+            yield from self._candidates(train, flat, start, lengths, d[lo:hi], g[lo:hi], at[lo:hi], width[lo:hi], hits, total)
 
     @staticmethod
     def _slices(d: np.ndarray, width: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -103,9 +112,9 @@ class _Shard:
                 yield lo, cut
                 lo, base = cut, done[cut - 1]
 
-    def _candidates(self, train, hashes, symbols, lengths, d, g, at, width, low, hits, total) -> Iterator[tuple]:
+    def _candidates(self, train, flat, begins, lengths, d, g, at, width, hits, total) -> Iterator[tuple]:
         index = self.index
-        row = np.repeat(low[g] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        row = np.repeat(self.low[g] - (np.cumsum(width) - width), width) + np.arange(width.sum())
         place = index.rows[row]
         who, source = index.owner[place].astype(np.int64), np.repeat(np.arange(len(d)), width)
         # a shingle counts once for an evaluation text, wherever it stands in it
@@ -119,13 +128,13 @@ class _Shard:
             return
         key = d[source].astype(np.int64) * len(self.ids) + who
         by = np.argsort(key, kind="stable")
-        offsets = np.cumsum(lengths) - lengths
         for i, j, k in zip(a[ok].tolist(), b[ok].tolist(), pair[ok].tolist()):
-            s = jaccard(np.unique(shingle_hashes(hashes[i], self.size)), self.grams[j])
+            own = flat[begins[i] : begins[i] + lengths[i]]
+            s = jaccard(np.unique(shingle_hashes(own, self.size)), self.grams[j])
             if s < self.least - 1e-9:
                 continue
             seeds = by[np.searchsorted(key[by], k) : np.searchsorted(key[by], k, "right")]
-            pattern = symbols[offsets[i] : offsets[i] + lengths[i]]
+            pattern = index.symbols(own)
             covered, longest = np.zeros(lengths[i], bool), 0
             for seed in seeds.tolist():
                 start = int(at[source[seed]])
@@ -155,7 +164,7 @@ def _stream(size: int, least: float, extra: float, at_once: int):
 
         for batch in batches:
             last = None
-            for block, kind, h, words in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "h", "words"))):
+            for block, kind, h, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "h", "words", "size"))):
                 if block != here:
                     yield from flush()
                     here, held, shard, last = block, [], None, None
@@ -166,7 +175,7 @@ def _stream(size: int, least: float, extra: float, at_once: int):
                     if not held or held[-1][0] != h:
                         held.append((h, words))
                 else:
-                    train.append((h, words))
+                    train.append((h, words, n))
                     if len(train) >= at_once:
                         yield from flush()
         yield from flush()
@@ -188,8 +197,8 @@ def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text
     rows = rows.withColumn("held", F.expr(held)).withColumn("h", F.xxhash64("text"))
     last = rows.groupBy("id", "held").agg(F.max(F.struct("v", "h")).alias("c")).select("id", "held", F.col("c.h").alias("h"))
     members = materialize(last.where("held is not null"), "members")
-    texts = rows.where("held is not null").select("h", "held", "text").mapInArrow(_prepare(size, 200_000), _TEXT)
-    evaluation = materialize(texts.where("held").groupBy("h").agg(F.first("size").alias("size"), F.first("words").alias("words")), "held")
+    texts = lambda part: rows.where(part).select("h", "text").mapInArrow(_prepare(size, 200_000), _TEXT)
+    evaluation = materialize(texts("held").groupBy("h").agg(F.first("size").alias("size"), F.first("words").alias("words")), "held")
     stats = evaluation.agg(F.count("*").alias("n"), F.sum(F.length("words") / 6).alias("words")).first()
     n_train = members.where("not held").count()
     shards = max(1, round((stats.words or 0) / shard_words))
@@ -202,11 +211,11 @@ def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text
     of = lambda x: F.size(F.filter(bounds, lambda c: c < x))
     salts = max(1, -(-spark.sparkContext.defaultParallelism * 2 // shards), n_train // (200_000 * shards))
     blocks = (len(cuts) + 1) * inner * salts
-    salted = evaluation.select(((of(F.col("size")) * inner + F.pmod("h", F.lit(inner))) * salts).alias("base"), "h", "words")
-    index = salted.select(F.explode(F.sequence(F.col("base").cast("int"), F.col("base").cast("int") + salts - 1)).alias("block"), F.lit(0).alias("kind"), "h", "words")
+    salted = evaluation.select(((of(F.col("size")) * inner + F.pmod("h", F.lit(inner))) * salts).alias("base"), "h", "words", "size")
+    index = salted.select(F.explode(F.sequence(F.col("base").cast("int"), F.col("base").cast("int") + salts - 1)).alias("block"), F.lit(0).alias("kind"), "h", "words", "size")
     low, high = F.ceil(F.col("size") * least - 1e-9).cast("int"), F.floor(F.col("size") / least + 1e-9).cast("int")
     visits = F.explode(F.sequence(of(low) * inner, of(high) * inner + inner - 1)).alias("shard")
-    stream = texts.where("not held").select(visits, "h", "words").select((F.col("shard") * salts + F.pmod(F.shiftright("h", 7), F.lit(salts))).cast("int").alias("block"), F.lit(1).alias("kind"), "h", "words")
+    stream = texts("not held").select(visits, "h", "words", "size").select((F.col("shard") * salts + F.pmod(F.shiftright("h", 7), F.lit(salts))).cast("int").alias("block"), F.lit(1).alias("kind"), "h", "words", "size")
     placed = index.unionByName(stream).repartitionById(int(blocks), "block").sortWithinPartitions("block", "kind", "h")
     pairs = placed.mapInArrow(_stream(size, least, extra, 2000), _PAIR)
     return materialize(pairs, "overlaps"), members
