@@ -6,15 +6,16 @@ and digits. A null or empty text has no words.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 
 import numpy as np
-import regex
 import xxhash
 
 _ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
-_FORMAT = regex.compile(r"\p{Cf}+")
-_RUN = regex.compile(r"[\p{L}\p{N}]+")
+_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]+")
+_RUN = re.compile(r"[^\W_]+")  # \w without the underscore: letters and numbers
 _U = np.uint64
 
 
