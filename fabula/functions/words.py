@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 
 _ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
-_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]+")
+_FORMAT = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
 _RUN = re.compile(r"[^\W_]+")  # \w without the underscore: letters and numbers
 _U = np.uint64
 
@@ -25,7 +25,9 @@ def fold(text: str) -> str:
         return text.lower()
     if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
-    return _FORMAT.sub("", text).lower()
+    if not _FORMAT.isdisjoint(text):
+        text = "".join(c for c in text if c not in _FORMAT)
+    return text.lower()
 
 
 def split_words(text: str | None) -> list[str]:
@@ -64,6 +66,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting (np.unique hashes, which is slower here)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` successive word hashes; empty if there are fewer."""
     n = len(hashes) - size + 1
@@ -89,7 +97,7 @@ def flat_shingles(texts: list[str | None], size: int, bits: int = 48) -> tuple[n
     ends = np.repeat(np.cumsum(lengths), lengths)[: len(hashes)]
     docs = np.repeat(np.arange(len(lengths)), lengths)[: len(hashes)]
     inside = np.arange(len(hashes)) + size <= ends
-    packed = np.unique((docs[inside].astype(np.uint64) << _U(bits)) | (hashes[inside] >> _U(64 - bits)))
+    packed = distinct((docs[inside].astype(np.uint64) << _U(bits)) | (hashes[inside] >> _U(64 - bits)))
     return (packed >> _U(bits)).astype(np.int64), packed & _U((1 << bits) - 1)
 
 
