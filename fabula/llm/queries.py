@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import leak, neardup, overlap, pairs, terms
+from fabula.llm import abuse, leak, mixing, neardup, overlap, packing, pairs, terms
 from fabula.tables import table
 
 _HELD = "case substring_index(id, '-', 1) when 'train' then false when 'valid' then true when 'test' then true end"
@@ -52,6 +52,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("id", "group_id")
 
 
+def p5_story_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_items(packing.story_items(table(spark, folder, "instruct_records")), 2048)
+
+
+def p5_request_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_items(packing.request_items(table(spark, folder, "bench_runs")), 512)
+
+
+def p5_packing_report(spark: SparkSession, folder: str) -> DataFrame:
+    stories = packing.packing_report(p5_story_packing(spark, folder), 2048).withColumn("kind", F.lit("stories"))
+    requests = packing.packing_report(p5_request_packing(spark, folder), 512).withColumn("kind", F.lit("requests"))
+    return stories.unionByName(requests)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
@@ -60,6 +74,27 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    scored = abuse.scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.where("passages > 0").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates_per_source(p8_scores(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
