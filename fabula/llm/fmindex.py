@@ -7,6 +7,8 @@ batch of patterns is one binary search: row' = number of keys below symbol * n +
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 
@@ -29,8 +31,12 @@ class FMIndex:
         self.owner = np.repeat(np.arange(len(documents), dtype=np.int32), lengths + 1)
         self.n = n
         self.rows = self._sort(text)
-        before = text[self.rows - 1]  # the text is a ring
-        self.keys = np.sort(before * n + np.arange(n)) if n else np.empty(0, np.int64)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """Made when the first backward search needs it."""
+        before = self.text[self.rows - 1].astype(np.int64)  # the text is a ring
+        return np.sort(before * self.n + np.arange(self.n))
 
     @staticmethod
     def _sort(text: np.ndarray) -> np.ndarray:

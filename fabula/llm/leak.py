@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.functions.words import hash_words, shingle_hashes, split_words
+from fabula.functions.words import distinct, hash_words, shingle_hashes, split_words
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +36,7 @@ def _count(size: int, wanted):
         seen = np.zeros(len(keys), np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                g = np.unique(_grams(split_words(text), size))
+                g = distinct(_grams(split_words(text), size))
                 at = np.searchsorted(keys, g)
                 at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == g)]
                 seen[at] += 1
@@ -51,7 +51,7 @@ def _count_all(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.unique(_grams(split_words(t), size)) for t in batch.column("text").to_pylist()]
+            parts = [distinct(_grams(split_words(t), size)) for t in batch.column("text").to_pylist()]
             g = np.concatenate(parts) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(np.ones(len(g), np.int64))], names=["gram", "n"])
 

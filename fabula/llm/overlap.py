@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.functions.words import flat_shingles, hash_words, jaccard, shingle_hashes, split_words
+from fabula.functions.words import distinct, flat_shingles, hash_words, jaccard, shingle_hashes, split_words
 from fabula.llm.fmindex import FMIndex
 from fabula.session import materialize
 
@@ -60,9 +60,14 @@ class _Shard:
         self.ids = np.array([h for h, _ in held], np.int64)
         hashes = [hash_words(w.split()) for _, w in held]
         self.index = FMIndex(hashes)
-        self.grams = [np.unique(shingle_hashes(x, size)) for x in hashes]
+        self.grams = [distinct(shingle_hashes(x, size)) for x in hashes]
         self.sizes = np.array([len(g) for g in self.grams], np.int64)
         self.known, self.low, self.high = self.index.table(size, shingle_hashes)
+        # where the hashes with the same leading bits begin in the table
+        bits = max(8, (2 * len(self.known)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.known, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.padded = np.append(self.known, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def search(self, train: list[tuple[int, str, int]]) -> Iterator[tuple]:
         """train: class, words and number of distinct shingles of the training texts."""
@@ -76,9 +81,8 @@ class _Shard:
         doc = np.repeat(np.arange(len(train)), lengths)
         start = np.cumsum(lengths) - lengths
         gram = shingle_hashes(flat, size)
-        slot = np.searchsorted(self.known, gram)
-        slot[slot == len(self.known)] = 0
-        begin = np.nonzero((self.known[slot] == gram) & (np.arange(len(gram)) + size <= (start + lengths)[doc[: len(gram)]]))[0]
+        slot = self._slots(gram)
+        begin = np.nonzero((self.padded[slot] == gram) & (np.arange(len(gram)) + size <= (start + lengths)[doc[: len(gram)]]))[0]
         need = np.ceil(self.least * total - 1e-9).astype(np.int64)
         hits = np.minimum(need, 1 + (self.extra * total).astype(np.int64))
         # at most as many distinct shingles are held here as were found; if they are too few the text has no partner
@@ -99,6 +103,15 @@ class _Shard:
         for lo, hi in self._slices(d, width):
             yield from self._candidates(train, flat, start, lengths, d[lo:hi], g[lo:hi], at[lo:hi], width[lo:hi], hits, total)
 
+    def _slots(self, gram: np.ndarray) -> np.ndarray:
+        """Where hashes stand in the table, or would stand."""
+        slot = self.first[(gram >> self.shift).astype(np.int64)].astype(np.int64)
+        short = np.nonzero(self.padded[slot] < gram)[0]
+        while len(short):
+            slot[short] += 1
+            short = short[self.padded[slot[short]] < gram[short]]
+        return slot
+
     @staticmethod
     def _slices(d: np.ndarray, width: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
         """Ranges of entries with about `most` places, cut between texts."""
@@ -130,7 +143,7 @@ class _Shard:
         by = np.argsort(key, kind="stable")
         for i, j, k in zip(a[ok].tolist(), b[ok].tolist(), pair[ok].tolist()):
             own = flat[begins[i] : begins[i] + lengths[i]]
-            s = jaccard(np.unique(shingle_hashes(own, self.size)), self.grams[j])
+            s = jaccard(distinct(shingle_hashes(own, self.size)), self.grams[j])
             if s < self.least - 1e-9:
                 continue
             seeds = by[np.searchsorted(key[by], k) : np.searchsorted(key[by], k, "right")]
@@ -183,7 +196,7 @@ def _stream(size: int, least: float, extra: float, at_once: int):
     return run
 
 
-def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, shard_words: int = 1_000_000, extra: float = 0.06) -> tuple[DataFrame, DataFrame]:
+def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, shard_words: int = 2_000_000, extra: float = 0.06) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts in and outside the held-out splits with a similarity of at least `least`.
 
     held: SQL expression over `id` that is true for held-out ids and false for training ids. pairs: classes train and
@@ -209,7 +222,7 @@ def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text
     # sizes up to cuts[0] are range 0, up to cuts[1] range 1, ...
     bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<int>")
     of = lambda x: F.size(F.filter(bounds, lambda c: c < x))
-    salts = max(1, -(-spark.sparkContext.defaultParallelism * 2 // shards), n_train // (200_000 * shards))
+    salts = max(1, -(-spark.sparkContext.defaultParallelism // shards), n_train // (200_000 * shards))
     blocks = (len(cuts) + 1) * inner * salts
     salted = evaluation.select(((of(F.col("size")) * inner + F.pmod("h", F.lit(inner))) * salts).alias("base"), "h", "words", "size")
     index = salted.select(F.explode(F.sequence(F.col("base").cast("int"), F.col("base").cast("int") + salts - 1)).alias("block"), F.lit(0).alias("kind"), "h", "words", "size")
