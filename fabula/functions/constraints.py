@@ -21,10 +21,9 @@ def has_word(word: Column, normal: Column, tokens: Column) -> Column:
 def word_mentions(words: Column | str, story: Column | str) -> Column:
     """Mean number of mentions, in any form, of the required words that are plain words; null if there are none."""
     plain = F.filter(text.filled(words), lambda w: F.lower(w).rlike(_PLAIN))
-    tokens = text.words(story)
-    counts = F.transform(plain, lambda w: F.size(F.filter(tokens, lambda t: F.array_contains(forms(w), t))))
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(plain) > 0, total / F.size(plain))
+    each = lambda tokens: F.transform(plain, lambda w: text.let(forms(w), lambda f: F.size(F.filter(tokens, lambda t: F.array_contains(f, t)))))
+    total = lambda counts: F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0), lambda a, x: a + x) / F.size(counts))
+    return text.let(text.let(text.words(story), each), total)
 
 
 def check(words: Column | str, features: Column | str, sentence: Column | str, story: Column | str) -> Column:
@@ -35,10 +34,13 @@ def check(words: Column | str, features: Column | str, sentence: Column | str, s
     """
     story = F.coalesce(F.col(story) if isinstance(story, str) else story, F.lit(""))
     sentence = F.col(sentence) if isinstance(sentence, str) else sentence
-    normal, tokens = text.normalize(story), F.array_distinct(text.words(story))
     required = text.filled(words)
-    hits = F.when(F.size(required) > 0, F.transform(required, lambda w: F.coalesce(has_word(w, normal, tokens), F.lit(False))))
-    return check_struct(required, hits, F.when(sentence != "", text.contains_sentence(story, sentence)), F.when(F.array_contains(F.col(features) if isinstance(features, str) else features, "Dialogue"), text.has_quoted_speech(story)))
+    read = F.struct(text.normalize(story).alias("normal"), F.array_distinct(text.words(story)).alias("tokens"))
+    marks = lambda r: F.transform(required, lambda w: F.coalesce(has_word(w, r["normal"], r["tokens"]), F.lit(False)))
+    hits = F.when(F.size(required) > 0, text.let(read, marks))
+    said = F.when(sentence != "", text.contains_sentence(story, sentence))
+    spoken = F.when(F.array_contains(F.col(features) if isinstance(features, str) else features, "Dialogue"), text.has_quoted_speech(story))
+    return text.let(hits, lambda h: check_struct(required, h, said, spoken))
 
 
 def check_struct(required: Column, hits: Column, sentence: Column, dialogue: Column) -> Column:

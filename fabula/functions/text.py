@@ -18,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once, however often (or inside whichever lambda) it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(_col(text), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
@@ -34,18 +39,20 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(normalize(text), F.lit("([a-z]+)"), 1)
 
 
-def grams(tokens: Column | str, n: int) -> Column:
-    """All runs of n successive entries of an array; an empty array if there are fewer."""
-    t = _col(tokens)
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(t, i, n))
+def grams(tokens: Column | str, n: int, joined: bool = False) -> Column:
+    """All runs of n successive entries of an array, as arrays or joined by spaces; none if there are fewer."""
+
+    def of(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " ") if joined else F.slice(t, i, n))
+
+    return let(_col(tokens), of)
 
 
 def repetition(text: Column | str, n: int = 4) -> Column:
     """Share of the text's word n-grams that repeat an earlier one; 0 if it has fewer than n words, null for null."""
-    g = grams(words(text), n)
-    distinct = 1 - F.size(F.array_distinct(g)) / F.size(g)
-    return F.when(_col(text).isNull(), None).when(F.size(g) == 0, F.lit(0.0)).otherwise(distinct)
+    share = lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
+    return F.when(_col(text).isNotNull(), let(grams(words(text), n, joined=True), share))
 
 
 def has_quoted_speech(text: Column | str) -> Column:
@@ -59,9 +66,10 @@ def contains_sentence(text: Column | str, sentence: Column | str) -> Column:
 
 def sentence_starts(sentence: Column | str, text: Column | str, n: int = 4) -> Column:
     """How often the text begins the sentence: places of its first n words; null if it has fewer."""
-    head = F.slice(words(sentence), 1, n)
-    found = F.size(F.filter(grams(words(text), n), lambda g: g == head))
-    return F.when(F.size(head) == n, found)
+    return let(
+        F.array_join(F.slice(words(sentence), 1, n), " "),
+        lambda head: F.when(F.size(F.split(head, " ")) == n, F.size(F.filter(grams(words(text), n, joined=True), lambda g: g == head))),
+    )
 
 
 def filled(items: Column | str) -> Column:
