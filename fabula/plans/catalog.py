@@ -6,7 +6,7 @@ import importlib
 
 from fabula.plans.registry import Query
 
-MODULES = ["corpus"]
+MODULES = ["corpus", "constraints"]
 
 
 def _registries():

@@ -32,5 +32,5 @@ def sentence_in(t: str, s: str) -> str:
 
 def has_word(w: str, normal: str, tokens: str, forms: str) -> str:
     """w: the lower-cased word, forms: SQL of its forms. RE2 knows no look-around, so the neighbours are matched."""
-    special = rf"regexp_replace({w}, '([^a-z0-9 ])', '\\\1', 'g')"
+    special = rf"regexp_replace({w}, '([!-/:-@\[-`{{-~])', '\\\1', 'g')"
     return rf"CASE WHEN regexp_matches({w}, '^[a-z]+$') THEN len(list_intersect({forms}, {tokens})) > 0 ELSE regexp_matches({normal}, '(^|[^a-z])' || {special} || '(s|es|ed|d|ing)?($|[^a-z])') END"
