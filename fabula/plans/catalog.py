@@ -6,7 +6,7 @@ import importlib
 
 from fabula.plans.registry import Query
 
-MODULES = ["corpus", "constraints"]
+MODULES = ["corpus", "constraints", "curves", "serving", "sampling"]
 
 
 def _registries():
