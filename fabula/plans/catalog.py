@@ -6,7 +6,7 @@ import importlib
 
 from fabula.plans.registry import Query
 
-MODULES = ["corpus", "constraints", "curves", "serving", "sampling"]
+MODULES = ["corpus", "constraints", "tokens", "curves", "serving", "sampling", "streams"]
 
 
 def _registries():
