@@ -215,15 +215,20 @@ def _calibrated(grams: dict[str, float], floor: float, clean: list[list[str]]) -
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """text, y of at most `most` labelled documents, chosen by a hash of their id; y is the mean of the labels 0 and 1."""
+    """text, y of at most `most` labelled documents, chosen by a hash of their id; y is the mean of the labels 0 and 1.
+
+    The ids are chosen first, so that no text is shuffled; of several texts with one id the greatest is taken.
+    """
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
-    texts = documents.where("text is not null").select("doc_id", "text")
-    return texts.join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text", "y")
+    there = documents.where("text is not null").select("doc_id")
+    chosen = y.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).select("doc_id", "text", "y")
 
 
 def fit_model(documents: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     """A model of the sample of labelled documents; without labels only the seed list speaks."""
-    rows = labelled_sample(documents, labels, most).collect()
+    rows = sorted(labelled_sample(documents, labels, most).collect(), key=lambda r: r.doc_id)  # at most `most`
     return fit([(read_tokens(r.text), r.y) for r in rows])
 
 

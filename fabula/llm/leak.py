@@ -28,6 +28,16 @@ def _grams(words: list[str], size: int) -> np.ndarray:
     return shingle_hashes(hash_words(words), size).view(np.int64)
 
 
+def _held(keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of g's entries that keys has, their places in keys)."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.searchsorted(keys, g)
+    at[at == len(keys)] = 0
+    here = np.nonzero(keys[at] == g)[0]
+    return here, at[here]
+
+
 def _count(size: int, wanted):
     """Number of documents for each wanted shingle, within a task."""
 
@@ -37,9 +47,7 @@ def _count(size: int, wanted):
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 g = distinct(_grams(split_words(text), size))
-                at = np.searchsorted(keys, g)
-                at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == g)]
-                seen[at] += 1
+                seen[_held(keys, g)[1]] += 1
         some = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int64()), pa.array(seen[some], pa.int64())], names=["gram", "n"])
 
@@ -91,7 +99,7 @@ def _probe(size: int, window: int, tokens):
     """Documents against broadcast tokens; one row per document and item, with the longest run of equal words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, entries = tokens.value
+        keys, entries, items = tokens.value
         for batch in batches:
             best: dict[tuple, int] = {}
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
@@ -99,9 +107,9 @@ def _probe(size: int, window: int, tokens):
                 if len(words) < window:
                     continue
                 g = _grams(words, size)
-                at = np.searchsorted(keys, g)
-                for i in np.nonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == g))[0].tolist():
-                    for item, j, item_words in entries[int(g[i])]:
+                for i in _held(keys, g)[0].tolist():
+                    for number, j in entries[int(g[i])]:
+                        item, item_words = items[number]
                         if min(i, j) + min(len(words) - i, len(item_words) - j) < window:  # position bound
                             continue
                         n = run_length(words, i, item_words, j)[1]
@@ -168,11 +176,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     known = grams.join(counts, "gram", "left").groupBy("item", "words").agg(F.collect_list(F.struct("gram", F.coalesce("n", F.lit(0)).alias("n"))).alias("c"))
     tokens = known.select("item", "words", F.col("c.gram").alias("grams"), F.col("c.n").alias("ns")).mapInArrow(_item_tokens(size, window), "gram long, item long, at int, item_words array<string>")
     if n_grams <= small:
+        # an item id may stand for several texts, so texts are numbered
         entries: dict[int, list] = {}
-        for r in tokens.collect():
-            entries.setdefault(r.gram, []).append((r.item, r.at, list(r.item_words)))
+        numbers: dict[tuple, int] = {}
+        for r in tokens.toLocalIterator():  # at most `small`
+            number = numbers.setdefault((r.item, tuple(r.item_words)), len(numbers))
+            entries.setdefault(r.gram, []).append((number, r.at))
         keys = np.array(sorted(entries), np.int64)
-        found = docs.mapInArrow(_probe(size, window, spark.sparkContext.broadcast((keys, entries))), "doc_id long, item_id long, run_words int")
+        found = docs.mapInArrow(_probe(size, window, spark.sparkContext.broadcast((keys, entries, [(i, list(w)) for i, w in numbers]))), "doc_id long, item_id long, run_words int")
     else:
         around = docs.mapInArrow(_doc_grams(size, window), "doc long, gram long, i int, around array<string>")
         found = around.join(tokens, "gram").mapInArrow(_check(window), "doc_id long, item_id long, run_words int")

@@ -1,15 +1,15 @@
 """Filling containers of fixed capacity (problem 5), along a space-filling curve.
 
 Items become points: hashed term vectors, projected to a few dimensions by random signs. The items are range-sorted by
-their Hilbert key, so neighbours on the curve are alike, and every partition packs its stretch of the curve: a window
-of successive items is filled by best fit, largest first; containers that are nearly full are closed, the others stay
-open for the next window. An item above the capacity is split into full containers and a rest, which is packed like
-any other item. One container for each partition may stay poorly filled, whatever the size of the data.
+their Hilbert key, so neighbours on the curve are alike, and every partition packs its stretch of the curve from a
+window of successive items: a container begins with the window's largest item and is filled up by the largest that
+fit, and at last by the item or the pair of items that leaves the least room. A part of the window always waits for
+the items to come, so that there is a choice. An item above the capacity is split into full containers and a rest,
+which is packed like any other item. Only a partition's last containers may stay poorly filled.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,54 +49,57 @@ def _curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("v"), batch.column("size"), pa.array(project(batch.column("text").to_pylist()), pa.int64())], names=["item", "v", "size", "curve"])
 
 
-class _Open:
-    """Open containers, ordered by the room that is left."""
-
-    def __init__(self):
-        self.rooms: list[tuple[int, int]] = []  # (room, number)
-
-    def best(self, size: int) -> tuple[int, int] | None:
-        at = bisect_left(self.rooms, (size, -1))
-        return self.rooms.pop(at) if at < len(self.rooms) else None
-
-
-def _pack(capacity: int, window: int, slack: float):
+def _fill(sizes: np.ndarray, capacity: int) -> list[int]:
+    """Places, in an ascending array of sizes, of the items of one container; the last (largest) is among them."""
+    chosen = [len(sizes) - 1]
+    room = capacity - int(sizes[-1])
+    free = np.ones(len(sizes), bool)
+    free[-1] = False
+    while room > 0:
+        places = np.nonzero(free[: np.searchsorted(sizes, room, "right")])[0]
+        if not len(places):
+            break
+        here = sizes[places]
+        if len(places) > 1 and room < 3 * int(here[-1]):
+            # of each item with the largest other one that still fits
+            other = np.minimum(np.searchsorted(here, room - here, "right") - 1, np.arange(len(here)) - 1)
+            total = np.where(other >= 0, here + here[other], 0)
+            best = int(total.argmax())
+            if total[best] > here[-1]:
+                take = [int(places[best]), int(places[other[best]])]
+            else:
+                take = [int(places[-1])]
+        else:
+            take = [int(places[-1])]
+        chosen.extend(take)
+        free[take] = False
+        room -= int(sizes[take].sum())
+    return chosen
+
+
+def _pack(capacity: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         name = f"{TaskContext.get().partitionId():06d}-"
         number = 0
-        opened = _Open()
-        filled: dict[int, list[tuple[str, int, int]]] = {}
         done: list[tuple] = []
 
-        def close(n: int) -> None:
-            items = filled.pop(n)
-            total = sum(size for _, _, size in items)
-            done.extend((item, piece, size, f"{name}{n:09d}", total) for item, piece, size in items)
-
-        def fill(items: list[tuple[str, int, int]]) -> None:
+        def place(items: list[tuple[int, str, int]], keep: int) -> list[tuple[int, str, int]]:
+            """Fill containers from items (size, item, piece) until at most `keep` are left, which are returned."""
             nonlocal number
-            for item, piece, size in sorted(items, key=lambda x: (-x[2], x[0], x[1])):
-                place = opened.best(size)
-                if place is None:
-                    number += 1
-                    place = (capacity, number)
-                    filled[number] = []
-                filled[place[1]].append((item, piece, size))
-                if place[0] - size <= 0:
-                    close(place[1])
-                else:
-                    insort(opened.rooms, (place[0] - size, place[1]))
-            # containers with little room, and the fuller ones of too many, are closed
-            keep = [(room, n) for room, n in opened.rooms if room > slack * capacity]
-            for room, n in opened.rooms:
-                if room <= slack * capacity:
-                    close(n)
-            extra = max(0, len(keep) - window)
-            for room, n in keep[:extra]:
-                close(n)
-            opened.rooms = keep[extra:]
+            items.sort()
+            sizes = np.array([i[0] for i in items], np.int64)
+            names = np.arange(len(items))
+            while len(sizes) > keep:
+                chosen = _fill(sizes, capacity)
+                number += 1
+                total = int(sizes[chosen].sum())
+                for i in names[chosen].tolist():
+                    size, item, piece = items[i]
+                    done.append((item, piece, size, f"{name}{number:09d}", total))
+                sizes, names = np.delete(sizes, chosen), np.delete(names, chosen)
+            return [items[i] for i in names.tolist()]
 
         def out() -> Iterator[pa.RecordBatch]:
             if done:
@@ -104,7 +107,7 @@ def _pack(capacity: int, window: int, slack: float):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=["item", "piece", "size", "container", "container_fill"])
                 done.clear()
 
-        waiting: list[tuple[str, int, int]] = []
+        waiting: list[tuple[int, str, int]] = []
         for batch in batches:
             for item, size in zip(batch.column("item").to_pylist(), batch.column("size").to_pylist()):
                 piece = 0
@@ -113,37 +116,32 @@ def _pack(capacity: int, window: int, slack: float):
                     done.append((item, piece, capacity, f"{name}{number:09d}", capacity))
                     size -= capacity
                     piece += 1
-                waiting.append((item, piece, size))
+                waiting.append((size, item, piece))
                 if len(waiting) >= window:
-                    fill(waiting)
-                    waiting = []
+                    waiting = place(waiting, window // 2)
             yield from out()
-        fill(waiting)
-        for _, n in opened.rooms:
-            close(n)
-        opened.rooms = []
+        place(waiting, 0)
         yield from out()
 
     return run
 
 
-def packed_items(items: DataFrame, capacity: int, window: int = 4096, slack: float = 0.002, items_per_partition: int = 50_000) -> DataFrame:
+def packed_items(items: DataFrame, capacity: int, window: int = 2048, items_per_partition: int = 50_000) -> DataFrame:
     """item, piece, size, container, container_fill: where every item of (item string, v timestamp, size long,
     text string) goes.
 
     Rows with a null item, or a size that is null or not above zero, are left out. An item that comes several times
     is packed once: its last row by v, among ties that with the greatest size. text places an item on the curve; null
     or empty texts lie together at one point. Ties on the curve are broken by item, so the packing of a stretch
-    doesn't depend on the order of rows. window: items that are packed together, and containers that stay open;
-    slack: share of the capacity below which a container is closed; items_per_partition: partitions follow from the
-    number of items.
+    doesn't depend on the order of rows. window: items from which containers are filled, half of which wait for the
+    next ones; items_per_partition: partitions follow from the number of items.
     """
     rows = items.where("item is not null and size > 0").select("item", F.col("v").cast("timestamp").alias("v"), F.col("size").cast("long").alias("size"), "text")
     once = rows.mapInArrow(_curve, _ITEM).groupBy("item").agg(F.max(F.struct("v", "size", "curve")).alias("c"))
     placed = materialize(once.select("item", "c.size", "c.curve"), "curve")
     n = max(1, -(-placed.count() // items_per_partition))
     ordered = placed.repartitionByRange(n, "curve", "item").sortWithinPartitions("curve", "item")
-    return ordered.mapInArrow(_pack(capacity, window, slack), _PLACE)
+    return ordered.mapInArrow(_pack(capacity, window), _PLACE)
 
 
 def story_items(records: DataFrame, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at") -> DataFrame:

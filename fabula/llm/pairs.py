@@ -220,7 +220,8 @@ _ABBREVIATION = re.compile(r"(?:^|[\s(\"“])(?:mr|mrs|ms|dr|st|prof|e\.g|i\.e|v
 _LIST_MARK = re.compile(r"(?:^|\n)[ \t]*(?:\d{1,3}[.)]|[-*•+])[ \t]*$")
 _STRUCTURE = re.compile(r"```|[()\[\]{}\"“”„«»]|</?([a-zA-Z][a-zA-Z0-9]{0,10})[^<>]{0,80}>|\n\s*\n")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
-_VOID = {"br", "hr", "img", "input", "meta", "link"}
+# fixed values: tags that must be closed
+_TAGS = set("a b i u em strong span div ul ol table h1 h2 h3 h4 code pre blockquote center".split())
 
 
 def unclosed(text: str) -> bool:
@@ -246,7 +247,7 @@ def unclosed(text: str) -> bool:
             if mark[1] == "/":
                 if f"<{name}" in stack:
                     del stack[stack.index(f"<{name}") :]
-            elif name not in _VOID and mark[-2] != "/":
+            elif name in _TAGS and mark[-2] != "/":
                 stack.append(f"<{name}")
         elif mark in "([{":
             stack.append(mark)
@@ -280,7 +281,7 @@ def unclosed(text: str) -> bool:
                 stack.pop()
             elif top != "»":
                 stack.append(mark)
-    return any(x in '"“„«([{' or x == "```" for x in stack)
+    return bool(stack) and any(x != "»" for x in stack)
 
 
 def is_truncated(story: str) -> bool:
@@ -298,7 +299,7 @@ def is_truncated(story: str) -> bool:
             return True
     if _LIST_MARK.search(body[-12:]) or _ABBREVIATION.search(body[-12:]):
         return True
-    return unclosed(body)
+    return unclosed(text)
 
 
 # --- pairs ---------------------------------------------------------------------------------------------------------
