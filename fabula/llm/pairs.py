@@ -54,7 +54,8 @@ def is_empty(story: str | None) -> bool:
 
 # --- quoted speech, sentences --------------------------------------------------------------------------------------
 
-_QUOTED = re.compile(r"\"[^\"\n]{0,2000}\"|[“”][^“”\n]{0,2000}”|„[^“”\n]{0,2000}[“”]|«[^»\n]{0,2000}»|‘[^’\n]{0,400}’(?=[\s,.;!?]|$)|(?:^|(?<=\s))'[^'\n]{2,400}'(?=[\s,.;!?]|$)|^[ \t]*[—–][^\n]*", re.M)
+# speech that is still open where the text breaks off is a character's too
+_QUOTED = re.compile(r"\"[^\"\n]{0,2000}\"|(?:^|(?<=\s))[\"“„«][^\"”“»\n]*\Z|[“”][^“”\n]{0,2000}”|„[^“”\n]{0,2000}[“”]|«[^»\n]{0,2000}»|‘[^’\n]{0,400}’(?=[\s,.;!?]|$)|(?:^|(?<=\s))'[^'\n]{2,400}'(?=[\s,.;!?]|$)|^[ \t]*[—–][^\n]*", re.M)
 _SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*")
 
 # --- refusal -------------------------------------------------------------------------------------------------------

@@ -21,6 +21,10 @@ def test_refusal(story):
     assert P.defect(story, PROMPT) == "refusal"
 
 
+def test_no_refusal_of_a_character_cut_off():
+    assert P.defect(STORY + ' "I\'m sorry, but I can\'t help you write the', PROMPT) == "truncated"
+
+
 @pytest.mark.parametrize("story", ['"I\'m sorry, but I can\'t help you write the letter," said the fox. They went home.', "“No, I won't continue this story,” said Milo. And he slept.", "Milo would not write the letter. He said he was not able to help with the task."])
 def test_no_refusal_of_a_character(story):
     assert P.defect(story, PROMPT) is None
