@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 # fixed values: letters that look like Latin ones
 _LOOKS = str.maketrans("авеёзікмнорстухцјѕԁһӏցυοαεικνρτχγβηωκΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХУІЈЅ", "abeezikmhopctyxujsdhlgyoaeikvptxybhwkABEZHIKMNOPTYXABEKMHOPCTXYIJS")
 _LEET = str.maketrans("430157@$!|8+", "aeoistasilbt")
-_TOKEN = regex.compile(r"[\p{L}\p{N}@$]+(?:[-._*@$!|+#'’^~]+[\p{L}\p{N}@$]+)*\*{0,12}|\*{2,}[\p{L}]+")
-_ASCII_TOKEN = re.compile(r"[a-z0-9@$]+(?:[-._*@$!|+#'^~]+[a-z0-9@$]+)*\*{0,12}|\*{2,}[a-z]+")
+_TOKEN = regex.compile(r"[.!?…\n\u2028\u2029]+(?![\p{L}\p{N}*])|\n+|[\p{L}\p{N}@$]+(?:[-._*@$!|+#'’^~]+[\p{L}\p{N}@$]+)*\*{0,12}|\*{2,}[\p{L}]+")
+_ASCII_TOKEN = re.compile(r"[.!?\n]+(?![a-z0-9*])|\n+|[a-z0-9@$]+(?:[-._*@$!|+#'^~]+[a-z0-9@$]+)*\*{0,12}|\*{2,}[a-z]+")
 _APART = regex.compile(r"(?:[\p{L}\p{N}@$][-._~+]+){2,}[\p{L}\p{N}@$]")
 _RUNS = re.compile(r"([^\W\d_])\1{2,}")
 _SPELT = re.compile(r"(?<!\w)(?:[a-z] ){3,}[a-z](?!\w)")
 _SIMPLE = regex.compile(r"[\p{L}\p{N}]+")
-MASK = "*"
+MASK, BREAK = "*", "."
 LEAST, MOST = -1.5, 4.0
 # fixed values: words that start with a raised prior, in four languages
 _SEEDS = """
@@ -44,7 +44,8 @@ _SEEDS = """
 
 
 def read_tokens(text: str | None) -> list[str]:
-    """The tokens of a text, in lower case and without disguise; a word with masked letters is `*`."""
+    """The tokens of a text, in lower case and without disguise; a word with masked letters is `*`, and `.` stands
+    between sentences and lines."""
     if not text:
         return []
     if not text.isascii():
@@ -57,6 +58,10 @@ def read_tokens(text: str | None) -> list[str]:
     out: list[str] = []
     for token in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text):
         if not token.isalpha():
+            if token[0] in ".!?…\n\u2028\u2029":
+                if out and out[-1] != BREAK:
+                    out.append(BREAK)
+                continue
             if "*" in token or "#" in token and any(c.isalpha() for c in token):
                 if any(c.isalpha() for c in token):
                     out.append(MASK)
@@ -70,6 +75,8 @@ def read_tokens(text: str | None) -> list[str]:
                 continue
             token = _RUNS.sub(r"\1", token)
         out.append(token)
+    if out and out[-1] == BREAK:
+        out.pop()
     return out
 
 
@@ -152,11 +159,20 @@ def _scores(table: dict[str, list], base: float, strength: float, even: float, s
     return {g: min(max(math.log(p / (1 - p)) - zero, LEAST), MOST) for g, p in share.items() if g.count(" ") == 0 or sum(table[g]) > 1}
 
 
+def _sentence(tokens: list[str], a: int, b: int) -> tuple[int, int]:
+    """The segment from a to b, widened to whole sentences."""
+    while a > 0 and tokens[a - 1] != BREAK:
+        a -= 1
+    while b < len(tokens) and tokens[b] != BREAK:
+        b += 1
+    return a, b
+
+
 def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns: int = 4) -> Model:
     """documents: tokens and label (0 to 1) of each document of the sample.
 
     An n-gram counts once for a document. At first all tokens of a document that is labelled toxic count as marked;
-    then only its best segments.
+    then only the sentences of its best segments.
     """
     seeds = {t for w in _SEEDS.split() for t in read_tokens(w)}
     marks = [[y > 0.5] * len(t) for t, y in documents]
@@ -178,6 +194,7 @@ def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns:
                 best = max((s for _, _, s in segments), default=0.0)
                 for a, b, s in segments:
                     if s >= max(3.0, 0.3 * best):
+                        a, b = _sentence(tokens, a, b)
                         m[a:b] = [True] * (b - a)
             fresh.append(m)
         marks = fresh
