@@ -35,12 +35,15 @@ def check(words: Column | str, features: Column | str, sentence: Column | str, s
     story = F.coalesce(F.col(story) if isinstance(story, str) else story, F.lit(""))
     sentence = F.col(sentence) if isinstance(sentence, str) else sentence
     required = text.filled(words)
-    read = F.struct(text.normalize(story).alias("normal"), F.array_distinct(text.words(story)).alias("tokens"))
-    marks = lambda r: F.transform(required, lambda w: F.coalesce(has_word(w, r["normal"], r["tokens"]), F.lit(False)))
-    hits = F.when(F.size(required) > 0, text.let(read, marks))
-    said = F.when(sentence != "", text.contains_sentence(story, sentence))
-    spoken = F.when(F.array_contains(F.col(features) if isinstance(features, str) else features, "Dialogue"), text.has_quoted_speech(story))
-    return text.let(hits, lambda h: check_struct(required, h, said, spoken))
+    wanted = F.regexp_replace(text.normalize(sentence), r"[.!?]+\z", "")
+    spoken = F.array_contains(F.col(features) if isinstance(features, str) else features, "Dialogue")
+
+    def results(n: Column) -> Column:
+        marks = lambda t: F.transform(required, lambda w: F.coalesce(has_word(w, n, t), F.lit(False)))
+        hits = F.when(F.size(required) > 0, text.let(F.array_distinct(F.regexp_extract_all(n, F.lit("([a-z]+)"), 1)), marks))
+        return text.let(hits, lambda h: check_struct(required, h, F.when(sentence != "", n.contains(wanted)), F.when(spoken, n.rlike(text.QUOTED))))
+
+    return text.let(text.normalize(story), results)
 
 
 def check_struct(required: Column, hits: Column, sentence: Column, dialogue: Column) -> Column:
