@@ -285,15 +285,28 @@ def unclosed(text: str) -> bool:
     return bool(stack) and any(x != "»" for x in stack)
 
 
+def _bare(text: str, step: int = 400) -> str:
+    """The text without ornaments at its end, looked at from the end step by step."""
+    while text:
+        tail = text[-step:]
+        m = _END.search(tail)
+        if m is None:
+            break
+        text = text[: len(text) - len(tail) + m.start()]
+        if m.start():
+            break
+    return text
+
+
 def is_truncated(story: str) -> bool:
     """The text breaks off inside a sentence or a word, or inside a fence, a bracket, a quotation or a list item."""
     text = story.rstrip()
     if text[-1:] in '.!?"”' and _STOP.search(text[-8:]):
         body = text
     else:
-        body = _END.sub("", text)
-        while (shorter := _END.sub("", _CLOSING.sub("", body[-200:]))) != body[-200:]:
-            body = body[:-200] + shorter if len(body) > 200 else shorter
+        body = _bare(text)
+        while (shorter := _CLOSING.sub("", body[-200:])) != body[-200:]:
+            body = _bare(body[:-200] + shorter)
         if not body:
             return False
         if not _STOP.search(body[-12:]):

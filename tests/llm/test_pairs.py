@@ -70,6 +70,11 @@ def test_long_text_is_read_whole():
     assert P.defect(STORY + " Then he slept." * 20_000 + " And", PROMPT) == "truncated"
 
 
+@pytest.mark.parametrize("end,defect", [("*" * 300_000, None), ("*" * 300_000 + " and", "truncated"), ('" ' * 100_001, "truncated"), (" ✨" * 100_000 + "\nThe End", None)])
+def test_long_ends(end, defect):
+    assert P.defect(STORY + end, PROMPT) == defect
+
+
 def test_operator(spark):
     now = dt.datetime(2025, 1, 1)
     later = now + dt.timedelta(days=1)
