@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import abuse, leak, mixing, neardup, overlap, packing, pairs, terms
+from fabula.llm import abuse, leak, mixing, neardup, overlap, packing, pairs, sql, terms
 from fabula.tables import table
 
 _HELD = "case substring_index(id, '-', 1) when 'train' then false when 'valid' then true when 'test' then true end"
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(sql, name) for name in queries() if hasattr(sql, name)}
