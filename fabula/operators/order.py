@@ -31,3 +31,28 @@ def running_total(df: DataFrame, order: list[str], value: str, into: str) -> Dat
 def row_numbers(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """df with the number of rows before this one, from 0."""
     return running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", into).drop("__one")
+
+
+def keyed_scan(df: DataFrame, keys: list[str], order: list[str], value: str, into: str, how: str = "sum", exclusive: bool = False) -> DataFrame:
+    """df with the running sum, or the last value that isn't null, of `value` within each key, in ascending order.
+
+    The rows are range-partitioned by key and order together, so a key with a third of all rows is spread over many
+    tasks; what a partition's first key brings along from earlier partitions comes from one row for each partition.
+    exclusive: without the row itself. Nulls count as 0 in sums and are passed over otherwise; where there is nothing
+    yet, a sum is 0 and a last value null. Null keys are a key. The order should be unique within a key.
+    """
+    key = F.struct(*(F.col(k) for k in keys))
+    ranged = materialize(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "keyed")
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    amount = F.coalesce(F.col(value), F.lit(0)) if how == "sum" else F.col(value)
+    scan = F.coalesce(F.sum(amount).over(inside), F.lit(0)) if how == "sum" else F.last(amount, ignorenulls=True).over(inside)
+    ends = ranged.groupBy("__part").agg(F.min(key).alias("__first"), F.max(key).alias("__last"))  # one row for each partition
+    of_last = ranged.join(F.broadcast(ends), "__part").where(key.eqNullSafe(F.col("__last")))
+    total = F.sum(amount) if how == "sum" else F.max_by(amount, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    left = of_last.groupBy("__part").agg(F.first("__last").alias("__key"), total.alias("__value")).where("__value is not null").withColumnRenamed("__part", "__from")
+    brought = ends.join(F.broadcast(left), F.col("__first").eqNullSafe(F.col("__key")) & (F.col("__from") < F.col("__part")))
+    carry = brought.groupBy("__part").agg(F.first("__first").alias("__first"), (F.sum("__value") if how == "sum" else F.max_by("__value", "__from")).alias("__carry"))
+    joined = ranged.withColumn("__scan", scan).join(F.broadcast(carry), "__part", "left")
+    own = F.when(key.eqNullSafe(F.col("__first")), F.col("__carry"))
+    result = F.col("__scan") + F.coalesce(own, F.lit(0)) if how == "sum" else F.coalesce("__scan", own)
+    return joined.withColumn(into, result).drop("__part", "__scan", "__first", "__carry")

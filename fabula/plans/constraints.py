@@ -200,12 +200,18 @@ def semi_sampled_rows(spark, d):
     return samples(spark, d).join(F.broadcast(chosen), "id", "left_semi").select("id", "sample", "run_id")
 
 
+def with_groups(rows):
+    """Rewarded samples with the mean and deviation of their group: two aggregates with a map-side part and a join, so
+    that a prompt with a third of all rows is spread."""
+    rows = rows.where("reward is not null")
+    stats = rows.groupBy("run_id", "id").agg(F.avg("reward").alias("mean"), F.stddev_pop("reward").alias("sd"))
+    return rows.join(stats, ["run_id", "id"])
+
+
 @query(f"""SELECT run_id, id, sample, round((reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-6), 6) AS advantage FROM {_SAMPLES} WHERE reward IS NOT NULL WINDOW w AS (PARTITION BY run_id, id)""")
 def group_advantages(spark, d):
     """Rewards standardized within their group, a run's samples of one prompt."""
-    w = Window.partitionBy("run_id", "id")
-    adv = (F.col("reward") - F.avg("reward").over(w)) / (F.stddev_pop("reward").over(w) + 1e-6)
-    return samples(spark, d).where("reward is not null").select("run_id", "id", "sample", F.round(adv, 6).alias("advantage"))
+    return with_groups(samples(spark, d)).select("run_id", "id", "sample", F.round((F.col("reward") - F.col("mean")) / (F.col("sd") + 1e-6), 6).alias("advantage"))
 
 
 @query(f"""WITH g AS (SELECT run_id, id, stddev_pop(reward) AS sd, avg(reward) AS m FROM {_SAMPLES} WHERE reward IS NOT NULL GROUP BY run_id, id),
@@ -213,9 +219,7 @@ def group_advantages(spark, d):
     SELECT run_id, CAST(count(*) AS BIGINT) AS groups, round(avg(CASE WHEN sd > 1e-9 THEN 1.0 ELSE 0.0 END), 9) AS informative, round(max(mean_abs), 6) AS mean_abs_advantage FROM g JOIN a USING (run_id) GROUP BY run_id""")
 def informative_groups(spark, d):
     """Share of groups whose rewards differ, and the mean absolute advantage, per run."""
-    rows = samples(spark, d).where("reward is not null")
-    w = Window.partitionBy("run_id", "id")
-    each = rows.select("run_id", "id", (F.abs(F.col("reward") - F.avg("reward").over(w)) / (F.stddev_pop("reward").over(w) + 1e-6)).alias("a"), F.stddev_pop("reward").over(w).alias("sd"))
+    each = with_groups(samples(spark, d)).select("run_id", "id", "sd", (F.abs(F.col("reward") - F.col("mean")) / (F.col("sd") + 1e-6)).alias("a"))
     groups = each.groupBy("run_id", "id").agg(F.max("sd").alias("sd"), F.sum("a").alias("a"), F.count("*").alias("n"))
     return groups.groupBy("run_id").agg(F.count("*").alias("groups"), F.round(F.avg(F.when(F.col("sd") > 1e-9, 1.0).otherwise(0.0)), 9).alias("informative"), F.round(F.sum("a") / F.sum("n"), 6).alias("mean_abs_advantage"))
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fabula.operators.order import keyed_scan
 from fabula.plans.registry import Registry
 from fabula.tables import table
 
@@ -36,8 +37,8 @@ def last_writer_wins(spark, d):
     FROM (SELECT *, max(step) OVER (PARTITION BY run_id, bucket) AS m FROM n) GROUP BY run_id, bucket""")
 def curve_buckets(spark, d):
     """Mean loss of every 100 logged steps of a run by position, with the last step's other columns."""
-    w = Window.partitionBy("run_id").orderBy("step")
-    rows = last_rows(table(spark, d, "train_log")).withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 100))
+    rows = last_rows(table(spark, d, "train_log")).withColumn("one", F.lit(1).cast("long"))
+    rows = keyed_scan(rows, ["run_id"], ["step"], "one", "i", exclusive=True).withColumn("bucket", F.floor(F.col("i") / 100))
     last = F.max(F.struct("step", "lr", "val_loss"))
     points = rows.groupBy("run_id", "bucket").agg(last.alias("r"), F.round(F.avg("loss"), 9).alias("train_loss"))
     return points.select("run_id", "bucket", "r.step", (F.col("r.step") * 65536).alias("tokens"), "train_loss", "r.lr", F.col("r.val_loss").alias("monitor_val_loss"))
@@ -46,8 +47,10 @@ def curve_buckets(spark, d):
 @query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS i, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS j FROM {_LAST})
     SELECT run_id, round(avg(loss) FILTER (i <= 25), 9) AS first_mean, round(avg(loss) FILTER (j <= 25), 9) AS last_mean FROM n GROUP BY run_id""")
 def first_last_means(spark, d):
-    w = Window.partitionBy("run_id")
-    rows = last_rows(table(spark, d, "train_log")).withColumn("i", F.row_number().over(w.orderBy("step"))).withColumn("j", F.row_number().over(w.orderBy(F.desc("step"))))
+    rows = last_rows(table(spark, d, "train_log")).withColumn("one", F.lit(1).cast("long"))
+    numbered = keyed_scan(rows, ["run_id"], ["step"], "one", "i")
+    counts = numbered.groupBy("run_id").agg(F.count("*").alias("n"))  # one row for each run
+    rows = numbered.join(counts, "run_id").withColumn("j", F.col("n") - F.col("i") + 1)
     mean = lambda c: F.round(F.avg(F.when(F.col(c) <= 25, F.col("loss"))), 9)
     return rows.groupBy("run_id").agg(mean("i").alias("first_mean"), mean("j").alias("last_mean"))
 
@@ -55,19 +58,19 @@ def first_last_means(spark, d):
 @query(f"""SELECT run_id, step, round(sum(65536) OVER w / sum(65536 / tokens_per_second) OVER w, 4) AS tokens_per_second FROM {_LAST} WHERE tokens_per_second > 0 WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_throughput(spark, d):
     """Tokens so far by seconds so far, with 65,536 tokens a step."""
-    w = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    rows = last_rows(table(spark, d, "train_log")).where("tokens_per_second > 0")
-    return rows.select("run_id", "step", F.round(F.sum(F.lit(65536.0)).over(w) / F.sum(65536 / F.col("tokens_per_second")).over(w), 4).alias("tokens_per_second"))
+    rows = last_rows(table(spark, d, "train_log")).where("tokens_per_second > 0").withColumn("one", F.lit(1).cast("long")).withColumn("seconds", 65536 / F.col("tokens_per_second"))
+    so_far = keyed_scan(keyed_scan(rows, ["run_id"], ["step"], "seconds", "t"), ["run_id"], ["step"], "one", "n")
+    return so_far.select("run_id", "step", F.round(F.col("n") * 65536.0 / F.col("t"), 4).alias("tokens_per_second"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, value, CASE WHEN value >= 40 THEN 1 WHEN value <= 30 THEN 0 END AS mark FROM events WHERE value IS NOT NULL)
     SELECT user_id, event_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS paused FROM e""")
 def hysteresis_state(spark, d):
     """A guard that pauses at 40 and resumes at 30: between the two it keeps its state."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("value") >= 40, 1).when(F.col("value") <= 30, 0)
     rows = table(spark, d, "events").where("value is not null").select("user_id", "event_id", "ts", mark.alias("mark"))
-    return rows.select("user_id", "event_id", (F.coalesce(F.last("mark", ignorenulls=True).over(w), F.lit(0)) == 1).alias("paused"))
+    state = keyed_scan(rows, ["user_id"], ["ts", "event_id"], "mark", "state", how="last")
+    return state.select("user_id", "event_id", (F.coalesce("state", F.lit(0)) == 1).alias("paused"))
 
 
 @query("""WITH t AS (SELECT i AS step, greatest(0, i - 50) / 950.0 AS p FROM range(1, 1001) t(i))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula.operators import simulate
+from fabula.operators.order import keyed_scan, row_numbers
 from fabula.plans.registry import Registry
 from fabula.tables import table
 
@@ -70,9 +71,9 @@ def mean_interval_per_user(spark, d):
 @query("""WITH g AS (SELECT event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000.0 AS gap FROM events)
     SELECT event_type, CAST(count(gap) AS BIGINT) AS gaps, round(quantile_cont(gap, 0.99), 3) AS p99_ms FROM g GROUP BY event_type""")
 def inter_event_p99(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = table(spark, d, "events").select("event_type", ((us - F.lag(us).over(w)) / 1000.0).alias("gap"))
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    before = keyed_scan(events, ["user_id"], ["us", "event_id"], "us", "before", how="last", exclusive=True)
+    gaps = before.select("event_type", ((F.col("us") - F.col("before")) / 1000.0).alias("gap"))
     return gaps.groupBy("event_type").agg(F.count("gap").alias("gaps"), F.round(F.percentile("gap", F.lit(0.99)), 3).alias("p99_ms"))
 
 
@@ -106,8 +107,6 @@ def burst_arrivals(spark, d):
 @query("""SELECT s AS step, j AS slot, p.id FROM range(50) a(s), range(8) b(j), (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM heldout_prompts)) p WHERE p.i = (s * 8 + j) % p.n""")
 def cyclic_schedule(spark, d):
     """Prompts of each of 50 steps of eight slots, going round the pool."""
-    from fabula.operators.order import row_numbers
-
     pool = row_numbers(table(spark, d, "heldout_prompts").select("id").distinct(), ["id"], "i")
     n = pool.count()
     slots = spark.range(400).select(F.floor(F.col("id") / 8).alias("step"), (F.col("id") % 8).alias("slot"), (F.col("id") % max(n, 1)).alias("i"))

@@ -26,6 +26,30 @@ def test_running_total_of_nothing(spark):
     assert order.row_numbers(spark.createDataFrame([], "k long"), ["k"], "n").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_keyed_scan(spark, parts, exclusive):
+    """One key holds a third of the rows; the result is that of a window over each key."""
+    r = random.Random(parts)
+    rows = [("hot" if i % 3 == 0 else r.choice(["a", "b", None, f"k{i}"]), i, r.choice([None, None, 1, 2, 7])) for i in range(240)]
+    df = spark.createDataFrame(r.sample(rows, 240), "k string, i long, v long")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        sums = {x.i: x.s for x in order.keyed_scan(df, ["k"], ["i"], "v", "s", exclusive=exclusive).collect()}
+        last = {x.i: x.s for x in order.keyed_scan(df, ["k"], ["i"], "v", "s", how="last", exclusive=exclusive).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    total, seen = Counter(), {}
+    for k, i, v in rows:
+        if exclusive:
+            assert (sums[i], last[i]) == (total[k], seen.get(k))
+        total[k] += v or 0
+        seen[k] = seen.get(k) if v is None else v
+        if not exclusive:
+            assert (sums[i], last[i]) == (total[k], seen[k])
+    assert order.keyed_scan(df.limit(0), ["k"], ["i"], "v", "s").count() == 0
+
+
 def naive_merges(counts, n):
     words = [[list(c.encode()), k] for c, k in counts]
     out = []
