@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # White space as Python's str.split and str.strip know it; Java's \s and Spark's trim know less.
 SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-# Double-quoted text, or single-quoted speech between a word start and a punctuation mark.
+# fixed value: double-quoted text, or single-quoted speech between a word start and a punctuation mark
 QUOTED = r"""\x22[^\x22]*[a-z][^\x22]*\x22|(?:^|[""" + SPACE + r"""])'[a-z][^'\n]{2,}[,.!?]'(?:[""" + SPACE + r"""]|$)"""
 
 

@@ -16,7 +16,7 @@ registry = Registry()
 query = registry.add
 
 # fixed values: the features in their canonical order
-FEATURES = ["Dialogue", "BadEnding", "Conflict", "Foreshadowing", "MoralValue", "Twist"]
+FEATURES = ["Dialogue", "BadEnding", "Twist", "Foreshadowing", "MoralValue", "Conflict"]
 _ORDER = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
 
 
