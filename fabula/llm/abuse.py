@@ -128,18 +128,34 @@ class Model:
         return maximal_segments(self.scores(tokens))
 
 
-def _counts(tokens: list[str], marked: list[bool], table: dict[str, list]) -> None:
+def _grams(tokens: list[str], marked: list[bool]) -> dict[str, bool]:
+    """The n-grams of a document, with whether they stand in a marked place."""
     one = two = ""
     seen: dict[str, bool] = {}
     for token, m in zip(tokens, marked):
         pair = one + " " + token
         for gram in (token, pair, two + " _ " + token, two + " " + pair):
-            seen[gram] = seen.get(gram, False) or m
+            seen[gram] = m or seen.get(gram, False)
         two, one = one, token
-    for gram, m in seen.items():
-        if (c := table.get(gram)) is None:
-            c = table[gram] = [0, 0]
-        c[m] += 1
+    return seen
+
+
+class _Repeated:
+    """Which n-grams stand in more than one document: two bits for each hash. A collision keeps an n-gram that is
+    dropped later by its count."""
+
+    SIZE = 1 << 24
+
+    def __init__(self, documents: list[tuple[list[str], float]]):
+        self.times = bytearray(self.SIZE)
+        for tokens, _ in documents:
+            for gram in _grams(tokens, [False] * len(tokens)):
+                h = hash(gram) & (self.SIZE - 1)
+                if self.times[h] < 2:
+                    self.times[h] += 1
+
+    def __contains__(self, gram: str) -> bool:
+        return self.times[hash(gram) & (self.SIZE - 1)] > 1
 
 
 def _order(gram: str) -> int:
@@ -152,11 +168,13 @@ def _scores(table: dict[str, list], base: float, strength: float, even: float, s
     share: dict[str, float] = {}
     for gram in sorted(table, key=_order):
         no, yes = table[gram]
+        if " " in gram and no + yes < 2:
+            continue  # one document shows nothing; of one that two documents hold, they hold the shorter one too
         shorter = gram.partition(" ")[2].removeprefix("_ ") if " " in gram else None
         prior = share[shorter] if shorter is not None else (max(base, 0.3) if gram in seeds else base)
         share[gram] = (yes + strength * prior) / (no + yes + strength)
     zero = math.log(even / (1 - even))
-    return {g: min(max(math.log(p / (1 - p)) - zero, LEAST), MOST) for g, p in share.items() if g.count(" ") == 0 or sum(table[g]) > 1}
+    return {g: min(max(math.log(p / (1 - p)) - zero, LEAST), MOST) for g, p in share.items()}
 
 
 def _sentence(tokens: list[str], a: int, b: int) -> tuple[int, int]:
@@ -168,7 +186,7 @@ def _sentence(tokens: list[str], a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns: int = 4) -> Model:
+def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns: int = 3) -> Model:
     """documents: tokens and label (0 to 1) of each document of the sample.
 
     An n-gram counts once for a document. At first all tokens of a document that is labelled toxic count as marked;
@@ -179,10 +197,22 @@ def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns:
     model = Model({s: 2.0 for s in seeds}, LEAST, 0.7, 0.1)
     if not any(map(any, marks)):
         return model
+    repeated = _Repeated(documents)
+    clean: dict[str, int] = {}  # counts of the documents that are never marked
+    for tokens, y in documents:
+        if y <= 0.5:
+            for gram in _grams(tokens, [False] * len(tokens)):
+                if gram in clean or " " not in gram or gram in repeated:
+                    clean[gram] = clean.get(gram, 0) + 1
+    toxic = [i for i, (_, y) in enumerate(documents) if y > 0.5]
     for turn in range(turns):
-        table: dict[str, list] = {}
-        for (tokens, _), m in zip(documents, marks):
-            _counts(tokens, m, table)
+        table = {gram: [n, 0] for gram, n in clean.items()}
+        for i in toxic:
+            for gram, marked in _grams(documents[i][0], marks[i]).items():
+                if (c := table.get(gram)) is not None:
+                    c[marked] += 1
+                elif " " not in gram or gram in repeated:
+                    table[gram] = [1 - marked, int(marked)]
         base = min(max(sum(map(any, marks)) / max(len(documents), 1), 0.002), 0.4) * (0.1 if turn else 1.0)
         grams = _scores(table, base, strength, 0.5 if turn else 0.6, seeds)
         model = Model(grams, LEAST, 0.7, 0.1)
@@ -243,7 +273,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> DataF
     return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).select("doc_id", "text", "y")
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
+def fit_model(documents: DataFrame, labels: DataFrame, most: int = 24_000) -> Model:
     """A model of the sample of labelled documents; without labels only the seed list speaks."""
     rows = sorted(labelled_sample(documents, labels, most).collect(), key=lambda r: r.doc_id)  # at most `most`
     return fit([(read_tokens(r.text), r.y) for r in rows])
@@ -269,7 +299,7 @@ def _score(shared, threshold: float):
     return run
 
 
-def scored_documents(documents: DataFrame, labels: DataFrame, threshold: float = 1e-3, most: int = 12_000) -> DataFrame:
+def scored_documents(documents: DataFrame, labels: DataFrame, threshold: float = 1e-3, most: int = 24_000) -> DataFrame:
     """doc_id, source, score, chance, passages, share: one row per row of documents.
 
     score: that of the best passage; chance: the probability that a clean text of this length has one as good;
