@@ -91,7 +91,7 @@ def test_mixture(spark):
 
 
 def test_mixture_beyond_what_is_there(spark):
-    targets = spark.createDataFrame([("a", 0.5, 1), ("c", 0.5, 3), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("c", 0.5, 3), ("b", 0.3, 0), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
     chosen, shares = mixing.mixture(documents(spark), targets, total_tokens=10_000)
     got = {r.source: r for r in shares.collect()}
     assert got["c"].taken_tokens == 3 * got["c"].available_tokens and got["c"].actual_share < 0.5
