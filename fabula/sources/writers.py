@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.functions import text
@@ -59,6 +60,13 @@ def manifest(row: dict) -> str:
     return json.dumps(row | {"manifest_sha256": hashlib.sha256(body.encode()).hexdigest()}, sort_keys=True, indent=2)
 
 
+def environment(spark: SparkSession) -> dict:
+    """What a result was made with: versions, master, parallelism and the settings that shape plans."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
+    context = spark.sparkContext
+    return {"spark": spark.version, "python": platform.python_version(), "machine": platform.machine(), "master": context.master, "parallelism": context.defaultParallelism} | {k: spark.conf.get(k, None) for k in keys}
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table; raises if it has more than `most` rows."""
     rows = df.limit(most + 1).collect()

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fabula.operators import bpe, ngram, order, simulate
+from fabula.operators import blocks, bpe, ngram, order, simulate
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
@@ -157,3 +157,43 @@ def test_replay_limits():
     assert {r["reason"] for r in slow} == {None, "queue_timeout"}
     full = simulate.run_trace([dict(r, arrival=0.0) for r in trace(20, 3)], "continuous", max_queue=5)
     assert sum(r["reason"] == "capacity" for r in full) == 15
+
+
+def test_cancel_and_prefixes():
+    rows = simulate.run_trace([dict(r, cancel=0.05 if i == 3 else None) for i, r in enumerate(dict(r, arrival=0.0, output=32) for r in trace(10, 4))], "continuous", max_batch=2)
+    assert rows[3]["status"] == "cancelled" and {r["status"] for r in rows} == {"completed", "cancelled"}
+    shared = list(range(160))
+    same = [{"id": f"r{i}", "arrival": i * 1.0, "prompt": 170, "output": 4, "tokens": shared + [1000 + i] * 10} for i in range(4)]
+    cold = simulate.run_trace(same, "chunked")
+    warm = simulate.run_trace([dict(r, tokens=shared + [7] * 10) for r in same], "chunked", prefixes=4)
+    wait = lambda rows: [r["first"] - r["arrival"] for r in rows]
+    assert wait(warm)[0] == wait(cold)[0] and all(a < b for a, b in zip(wait(warm)[1:], wait(cold)[1:]))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_blocks(seed):
+    """Random reservations, writes, prefixes and releases never lose or share a block by mistake."""
+    r = random.Random(seed)
+    memory, live = blocks.Blocks(24, 4, 3), {}
+    for i in range(400):
+        move = r.random()
+        if move < 0.5:
+            prompt = [r.randrange(2) for _ in range(r.randint(1, 20))]
+            before = len(memory.held)
+            there = memory.reserve(f"q{i}", len(prompt) + 3, prompt)
+            assert (there is None) == (len(memory.held) == before)
+            if there is not None:
+                assert there < len(prompt) and there % 4 == 0
+                live[f"q{i}"] = prompt
+        elif live:
+            name = r.choice(sorted(live))
+            if move < 0.7:
+                memory.remember(name, live[name])
+            elif move < 0.85:
+                place = r.randrange(len(live[name]))
+                if memory.write(name, place):
+                    assert memory.references[memory.held[name][place // 4]] == 1
+            else:
+                memory.release(name)
+                del live[name]
+        memory.check()

@@ -75,6 +75,7 @@ def test_reports(spark):
     assert writers.markdown(df) == "| k | v |\n|---|---|\n| a | 0.5000 |\n| b |  |\n"
     with pytest.raises(ValueError):
         writers.markdown(df, most=1)
+    assert writers.environment(spark)["spark"] == spark.version
     assert json.loads(writers.manifest({"b": 1, "a": 2}))["a"] == 2
 
 
