@@ -160,7 +160,7 @@ def is_copy(words: list[str], prompt: Prompt, lead_in: int = 8, loose: float = 0
         return " ".join(words) in prompt.short
     first = covered.index(True)
     rest = covered[first:]
-    return first <= lead_in and sum(rest) >= max(3, first) and (len(rest) - sum(rest)) <= loose * len(rest)
+    return first <= lead_in and sum(rest) >= max(3, first) and (len(rest) - sum(rest)) <= max(1, loose * len(rest))
 
 
 # --- language ------------------------------------------------------------------------------------------------------

@@ -33,7 +33,7 @@ def test_no_refusal_of_a_character(story):
 SUMMARY = "Milo wants to find the kite, yet the fox has other plans."
 
 
-@pytest.mark.parametrize("story", [SUMMARY, SUMMARY.upper(), f"Here is the story: {SUMMARY}", (SUMMARY + " ") * 3, "It was the bluest kite that Milo had ever seen.\n" + SUMMARY, P.render_prompt(SUMMARY, ["kite", "brave"], ["Dialogue"], None), SUMMARY[:40]])
+@pytest.mark.parametrize("story", [SUMMARY, SUMMARY.upper(), f"Here is the story: {SUMMARY}", (SUMMARY + " ") * 3, "It was the bluest kite that Milo had ever seen.\n" + SUMMARY, P.render_prompt(SUMMARY, ["kite", "brave"], ["Dialogue"], None), SUMMARY[:40], SUMMARY[:30]])
 def test_prompt_copy(story):
     assert P.defect(story, PROMPT) == "prompt_copy"
 
