@@ -1,12 +1,16 @@
 """Groups of near-same records (problem 4): BagMinHash, banding, verification, connected components.
 
 1. A text's class is the hash of its raw text; every row is signed, but copies within a task are signed once.
-2. A task buckets its documents by band key. Within the task each bucket is reduced to a star at once, and only its
-   smallest and its greatest class travel on, in blobs of sorted keys; so a bucket that holds a third of all rows
-   costs one or two entries a task, and no bucket is ever enumerated in pairs.
-3. The task that owns a range of keys joins the entries of each bucket, again as stars around the smallest and the
-   greatest class. A 128-bit sketch that travels with the entries drops pairs that are far apart (below).
-4. The remaining pairs are verified on their exact shingles, and the verified links are merged into components.
+2. A task buckets its documents by band key and sends every entry, in blobs of sorted keys, to the task that owns the
+   key. Entries that differ only in copies are one.
+3. The owner of a bucket of up to `whole` classes pairs all of them; a 128-bit sketch that travels with the entries
+   drops pairs that are far apart (below). A larger bucket is first reduced to stars around its smallest and its
+   greatest class, and its entries are kept.
+4. The pairs are verified on their exact shingles, and the verified links are merged into components.
+5. A kept bucket that now lies in one component needs nothing more, which is so for copies and small edits. The others
+   are searched exactly: all links between their classes that join components are found through the rarest shingles of
+   the smaller text (a pair that reaches the bound shares one of them). So a hot group of texts that share boilerplate
+   without being alike loses no link to its size; its shared shingles are never looked up.
 
 Recall of a pair of similarity s with b bands of r rows: 1 - (1 - s**r)**b. With r = 4 and b = 64 it is 0.998 at
 0.55 and above 0.9999 at 0.6; the sketch loses less than 2 in 100,000 of such pairs.
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.functions.words import flat_shingles, jaccard
+from fabula.functions.words import flat_shingles, jaccard, mix
 from fabula.llm.bagminhash import band_keys, bit_sketch, signatures
 from fabula.llm.components import components
 from fabula.session import materialize
@@ -31,24 +35,39 @@ _BLOB = "part int, keys binary, owner binary, classes binary, sketches binary"
 _PAIR = "a long, b long"
 
 
-def _stars(key: np.ndarray, cls: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries sorted by (key, class): the index pairs of each entry with its bucket's first and last entry, and
-    the indexes of these firsts and lasts."""
-    k = key[order]
+def _bucket_pairs(key: np.ndarray, cls: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of entries that share a bucket: all pairs in a bucket of up to `whole` classes, and those with the
+    smallest and the greatest class in a larger one; the bucket and the index of each entry of the larger ones, of which
+    those with the same classes are given once."""
+    order = np.lexsort((cls, key))
+    k, c = key[order], cls[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    order, k, c = order[fresh], k[fresh], c[fresh]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     starts = np.nonzero(new)[0]
     lengths = np.diff(np.append(starts, len(k)))
-    first = np.repeat(starts, lengths)
-    last = np.repeat(starts + lengths - 1, lengths)
+    first, length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
     here = np.arange(len(k))
-    several = np.repeat(lengths, lengths) > 1
-    up = several & (here != first)
-    down = several & (here != last) & (here != first)
-    a = np.concatenate([first[up], here[down]])
-    b = np.concatenate([here[up], last[down]])
-    ends = np.unique(np.concatenate([starts, starts + lengths - 1]))
-    return np.stack([order[a], order[b]], 1), order[ends], lengths
+    left, right = [], []
+    some = here[(length > 1) & (length <= whole)]
+    for distance in range(1, whole):
+        some = some[some + distance < first[some] + length[some]]
+        if not len(some):
+            break
+        left.append(some), right.append(some + distance)
+    large = length > whole
+    last = first + length - 1
+    up, down = large & (here != first), large & (here != first) & (here != last)
+    left += [first[up], here[down]]
+    right += [here[up], last[down]]
+    # equal sets of classes get one name; two sets of one name would be searched together, which loses nothing
+    names = np.add.reduceat(mix(c.view(_U)), starts).view(np.int64)
+    once = np.zeros(len(starts), bool)
+    once[np.nonzero(lengths > whole)[0][np.unique(names[lengths > whole], return_index=True)[1]]] = True
+    kept = np.repeat(once, lengths)
+    return np.stack([order[np.concatenate(left)], order[np.concatenate(right)]], 1), np.repeat(names, lengths)[kept], order[kept]
 
 
 def _near(pairs: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
@@ -63,8 +82,8 @@ def _pairs_of(pairs: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return np.unique(both, axis=0) if len(both) else both
 
 
-def _sign(size: int, bands: int, rows: int, parts: int, most: int, weighted: bool, flush: int):
-    """Rows (h, text) to blobs for the owners of key ranges; local stars are sent as blobs of a negative part."""
+def _sign(size: int, bands: int, rows: int, parts: int, weighted: bool, flush: int):
+    """Rows (h, text) to blobs for the owners of key ranges."""
     registers = bands * rows
 
     def work(texts: dict[int, str]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +115,12 @@ def _sign(size: int, bands: int, rows: int, parts: int, most: int, weighted: boo
         who = np.repeat(np.arange(len(owner)), bands)
         key = key.ravel()
         mine = cls[owner]
-        order = np.lexsort((mine[who], key))
-        pairs, ends, _ = _stars(key, mine, order)
-        local = _pairs_of(_near(who[pairs], sketch, most), mine)
-        if len(local):
-            yield _blob([(-1 - abs(int(local[0, 0])) % parts, b"", b"", local.astype(np.int64).tobytes(), b"")])
         out = []
-        part = (key[ends] >> _U(20)) % _U(parts)
+        part = (key >> _U(20)) % _U(parts)
         for p in range(parts):
-            chosen = ends[part == p]
+            chosen = np.nonzero(part == p)[0]
             if len(chosen):
+                chosen = chosen[np.argsort(key[chosen], kind="stable")]
                 docs_here, index = np.unique(who[chosen], return_inverse=True)
                 out.append((p, np.ascontiguousarray(_squeeze(key[chosen])), index.astype(np.uint32 if len(docs_here) > 65535 else np.uint16).tobytes(), mine[docs_here].tobytes(), sketch[docs_here].tobytes()))
         yield _blob(out)
@@ -156,17 +171,15 @@ def _blob(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "owner", "classes", "sketches"])
 
 
-def _collide(most: int):
-    """Blobs to candidate pairs. The blobs of one part, and only these, are in the partition."""
+def _collide(most: int, whole: int):
+    """Blobs to candidate pairs, with a null bucket, and to the entries (bucket, class) of buckets of more than `whole`
+    classes. The blobs of one part, and only these, are in the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, cls, sketch, who = [], [], [], []
         total = 0
         for batch in batches:
-            for part, k, o, c, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if part < 0:
-                    yield _pairs_batch(np.frombuffer(c, np.int64).reshape(-1, 2))
-                    continue
+            for k, o, c, s in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 n = len(k) // 5
                 keys.append(_widen(k))
                 who.append(np.frombuffer(o, np.uint16 if len(o) == 2 * n else np.uint32).astype(np.int64) + total)
@@ -176,15 +189,52 @@ def _collide(most: int):
         if not keys:
             return
         key, own, k, s = np.concatenate(keys), np.concatenate(who), np.concatenate(cls), np.concatenate(sketch)
-        order = np.lexsort((k[own], key))
-        pairs, _, _ = _stars(key, k, order)
-        yield _pairs_batch(_pairs_of(_near(own[pairs], s, most), k))
+        pairs, names, kept = _bucket_pairs(key, k[own], whole)
+        pairs = _pairs_of(_near(own[pairs], s, most), k)
+        none = pa.nulls(len(pairs), pa.int64())
+        yield _found_batch(none, pairs[:, 0], pairs[:, 1])
+        if len(kept):
+            yield _found_batch(names, k[own[kept]], pa.nulls(len(kept), pa.int64()))
 
     return run
 
 
-def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+def _found_batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=["bucket", "a", "b"])
+
+
+def _search(size: int, least: float):
+    """The rows (bucket, a, label, ta) of one bucket to links (a, b, similarity) that join its labels; every two classes
+    that reach `least` are connected by the links and labels afterwards."""
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        h, texts = table.column("a").to_numpy(), table.column("ta").to_pylist()
+        grams = [flat_shingles([t], size)[1] for t in texts]
+        label = table.column("label").to_numpy().copy()
+        order = sorted(range(len(grams)), key=lambda i: (len(grams[i]), h[i]))
+        h, label, grams = h[order], label[order], [np.unique(grams[i]) for i in order]
+        lengths = np.array([len(g) for g in grams])
+        _, gram, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        cut = np.cumsum(lengths)[:-1]
+        coded = np.split(gram, cut)
+        place = np.repeat(np.arange(len(grams)), lengths)[np.argsort(gram, kind="stable")]
+        begin = np.append(0, np.cumsum(count))
+        found = []
+        for i, codes in enumerate(coded):
+            if (label == label[0]).all():
+                break
+            # a partner of at least this size shares 2 s / (1 + s) of the shingles, so one of the rarest of the others
+            need = int(np.ceil(2 * least / (1 + least) * len(codes) - 1e-9))
+            rare = codes[np.argsort(count[codes], kind="stable")][: len(codes) - need + 1]
+            near = np.unique(np.concatenate([place[begin[g] : begin[g + 1]] for g in rare])) if len(rare) else rare
+            for j in near[(near > i) & (label[near] != label[i])] if len(near) else ():
+                if label[j] != label[i] and lengths[i] >= least * lengths[j] and (s := jaccard(grams[i], grams[j])) >= least:
+                    found.append((min(h[i], h[j]), max(h[i], h[j]), s))
+                    label[label == label[j]] = label[i]
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds.types)], schema=kinds)
+
+    return run
 
 
 def _verify(size: int, least: float):
@@ -216,13 +266,13 @@ def text_members(records: DataFrame, id_column: str, text_column: str, version:
     return rows.groupBy("id").agg(F.max("c").alias("c")).select("id", F.col("c.h").alias("h"))
 
 
-def near_duplicate_links(records: DataFrame, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, bands: int = 64, rows: int = 4, weighted: bool = False, flush: int = 20_000, small_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_duplicate_links(records: DataFrame, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, bands: int = 64, rows: int = 4, weighted: bool = False, flush: int = 20_000, small_ids: int = 1_000_000, whole: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, members, copied): a, b, similarity of verified pairs of text classes; id, h of all ids; h of classes of
     two or more ids whose text has shingles.
 
     size: words in a shingle; least: the similarity from which texts are linked; bands, rows: of the signature;
-    weighted: candidates by multiset instead of set similarity. Links are stars, not all pairs: classes that are
-    alike are connected through them, directly or through others. A text of fewer than `size` words has no shingles
+    weighted: candidates by multiset instead of set similarity; whole: classes up to which a bucket is paired at once.
+    Links are not all pairs: classes that are alike are connected through them, directly or through others. A text of fewer than `size` words has no shingles
     and no link. small_ids: number of ids up to which the ids to verify are broadcast (at about 40 bytes each).
     """
     spark = records.sparkSession
@@ -233,10 +283,11 @@ def near_duplicate_links(records: DataFrame, id_column: str = "id", text_column:
     p = (1 - least) / 2
     most = int(128 * p + 5 * (128 * p * (1 - p)) ** 0.5)
     texts = records.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.xxhash64(F.col(text_column)).alias("h"), F.col(text_column).alias("text"))
-    blobs = texts.mapInArrow(_sign(size, bands, rows, parts, most, weighted, flush), _BLOB)
+    blobs = texts.mapInArrow(_sign(size, bands, rows, parts, weighted, flush), _BLOB)
     placed = blobs.repartitionById(parts, F.pmod(F.col("part"), F.lit(parts)))
-    pairs = materialize(placed.mapInArrow(_collide(most), _PAIR).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().withColumn("paired", F.lit(True))
+    found = materialize(placed.mapInArrow(_collide(most, whole), "bucket long, " + _PAIR).distinct(), "pairs")
+    pairs, large = found.where("bucket is null").select("a", "b"), found.where("bucket is not null").select("bucket", "a")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct().withColumn("paired", F.lit(True))
     classes = members.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(wanted, "h", "left").where("paired or n > 1")
     chosen = materialize(classes.select("h", "id", "n"), "chosen")
     ids = chosen if chosen.count() > small_ids else F.broadcast(chosen)
@@ -245,6 +296,13 @@ def near_duplicate_links(records: DataFrame, id_column: str = "id", text_column:
     left, right = bodies.select(F.col("h").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("h").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     links = materialize(joined.mapInArrow(_verify(size, least), _PAIR + ", similarity double"), "links")
+    if not large.isEmpty():
+        known = components(links.select("a", "b")).select(F.col("node").alias("a"), "label")
+        entries = large.join(known, "a", "left").select("bucket", "a", F.coalesce("label", "a").alias("label"))
+        mixed = entries.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        members_of = entries.join(mixed, "bucket").join(left, "a").select("bucket", "a", "label", "ta")
+        more = members_of.groupBy("bucket").applyInArrow(_search(size, least), _PAIR + ", similarity double")
+        links = materialize(links.unionByName(more), "links")
     copied = bodies.where("n > 1").select("h", "text").mapInArrow(_long_enough(size), "h long")
     return links, members, copied
 

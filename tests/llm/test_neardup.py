@@ -176,3 +176,19 @@ def test_hot_group(spark):
     got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(6), size=3, least=0.5, flush=60)
     groups = got.groupBy("group_id").agg(F.count("*").alias("n")).collect()
     assert sorted(g.n for g in groups) == [300, 300]
+
+
+@pytest.mark.parametrize("whole", [8, 64])
+def test_links_inside_a_hot_template(spark, whole):
+    """A third of all rows share a template, unlike one another, but for some pairs that are alike."""
+    r = random.Random(11)
+    template = story(r, 50, 4000)
+    hot = [template + " " + story(r, 30, 40_000) for _ in range(500)]
+    for k in range(0, 400, 2):
+        w = hot[k].split()
+        hot[k + 1] = " ".join(w[:60]) + " " + story(r, 20, 40_000)
+    texts = hot + [story(r) for _ in range(1000)]
+    rows = [(f"train-{i:05d}", t, "a", NOW, 1, "") for i, t in enumerate(texts)]
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(6), size=3, least=0.5, flush=500, whole=whole)
+    want = brute_groups(rows, 3, 0.5)
+    assert len(want) == 400 and {(x.id, x.group_id) for x in got.collect()} == want
