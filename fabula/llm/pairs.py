@@ -60,56 +60,50 @@ _SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*")
 
 # --- refusal -------------------------------------------------------------------------------------------------------
 
-# stems without which no sentence declines, looked for before the costly grammar
-_HINTS = tuple(
-    "can't|cannot|can not|couldn't|unable|not able|won't|will not|declin|refus|pass on|rather not|prefer not|not be right|not right|not be appropriate|not appropriate|not suitable|not allowed|not permitted|not comfortable|not possible|not something|n't something|shouldn't|don't feel|don't want|not going to|not wish|n't wish|not be provided|no story|no text|no tale|no answer|falls outside|outside of|outside what|outside my|beyond what|against the rules|against my|against our|different topic|different theme|different prompt|another topic|another theme|another prompt|guideline|policy|language model|assistant|as an ai|skip this|turn down|leider|ablehnen|nicht schreiben|nicht helfen|nicht möglich|peux pas|puis pas|désolé|refuse|regrette|no puedo|lo siento|lamento|niego|prefiero no|rechazar".split("|")
-)
-
-
-def _hinted(text: str) -> bool:
-    return any(h in text for h in _HINTS)
-
-
 _OBJECT = r"(?:this|that|it|these|those|your|the|such|any|with|about|on|for|a|an|writing|story|text|request|prompt|task|content|topic|words)"
 _WORK = r"(?:writ(?:e|ing)|creat(?:e|ing)|produc(?:e|ing)|generat(?:e|ing)|continu(?:e|ing)|complet(?:e|ing)|help(?:ing)?|assist(?:ing)?|provid(?:e|ing)|tell(?:ing)?|fulfil(?:l|ling)?|answer(?:ing)?|compos(?:e|ing)|finish(?:ing)?|respond(?:ing)?|comply(?:ing)?|proceed(?:ing)?|do(?:ing)?|mak(?:e|ing)|craft(?:ing)?|offer(?:ing)?|deliver(?:ing)?|go(?:ing)?|take|engag(?:e|ing)|work(?:ing)?)"
 _NO = r"(?:can ?no?t|can't|could ?n[o']t|am unable to|'m unable to|am not able to|'m not able to|am not in a position to|will not|won't|would rather not|'d rather not|would prefer not to|'d prefer not to|must decline to|have to decline to|decline to|refuse to|must refuse to|am not allowed to|'m not allowed to|am not permitted to|do not wish to|don't wish to|don't want to|do not want to|am not going to|'m not going to|am not comfortable|'m not comfortable|shouldn't|should not|don't feel (?:able|comfortable))"
 _THING = r"(?:story|text|tale|request|prompt|task|content|topic|theme|piece|words|instruction|writing|narrative|continuation|one|this|that|it)"
+# each pattern with literals of which every text it matches holds one, looked for before the costly search
 _REFUSALS = [
-    re.compile(p)
-    for p in (
-        rf"\b(?:i|we) ?{_NO}(?: \w+){{0,3}}? {_WORK} (?:\w+ ){{0,4}}?{_OBJECT}\b(?:.*\b{_THING}\b)?",
-        rf"\b(?:i|we) (?:must|have to|will have to|need to|'ll have to|am going to have to|would like to|respectfully|politely) ?(?:decline|pass on|refuse|say no to|turn down|skip|stop)\b",
-        rf"\b(?:i|we) (?:respectfully |politely )?(?:decline|refuse)\b.*\b{_THING}\b",
-        r"\b(?:is|was|be|would|will) not (?:be )?(?:right|appropriate|possible|suitable|proper|safe|okay|ok) for (?:me|us)\b",
-        r"\bisn't (?:right|appropriate|possible|suitable|proper|safe|okay|ok) for (?:me|us)\b",
-        r"\bnot (?:be )?(?:right|appropriate|suitable|possible) for (?:me|us) to (?:write|continue|create|tell|produce)\b",
-        r"\b(?:this|that|it) (?:isn't|is not) something (?:that )?(?:i|we)(?: can| will|'m| am|'ll)?\b",
-        r"\bno (?:story|text|tale|answer|continuation) (?:will|can|may|shall) be (?:provided|written|given|told|created|produced|generated)\b",
-        r"\bwriting (?:this|that|such a story|about (?:this|that)) (?:would|is|will) (?:not|n't) be\b|\bwriting (?:this|that|such a story) (?:would not|wouldn't|is not|isn't) (?:be )?\w+",
-        r"\b(?:this|the|your|that) (?:request|prompt|topic|task|theme|content|story)\b.{0,40}\b(?:falls outside|goes against|violates|is against|is outside|is beyond|cannot be|can't be|may not be|is not (?:allowed|permitted|suitable|something|appropriate)|isn't (?:allowed|permitted|suitable|something|appropriate))",
-        r"\b(?:against|outside|beyond|under|violates?) (?:the rules|my rules|my guidelines|our guidelines|the guidelines|my policy|our policy|content policy|what i (?:do|can|am|may)|my (?:abilities|limits|scope))\b",
-        r"\b(?:let's|let us|please|could we|can we|shall we) (?:pick|choose|try|talk about|use) (?:something else|(?:a|an|some)?(?:other|another|different| ) ?(?:different |other )?(?:topic|theme|prompt|words|story))\b.*(?:not suitable|not right|not appropriate|instead|this one|can't|cannot)",
-        r"\bas an? (?:ai|artificial|language model|assistant|writing assistant|automated|large language)\b",
-        r"\bthere is no (?:text|story) to show\b|\bnot suitable for me\b",
-        r"\bich (?:kann|darf|möchte|werde|muss)\b.{0,60}\b(?:nicht|ablehnen|leider)\b.{0,40}(?:schreiben|helfen|erfüllen|fortsetzen|erzählen|ablehnen|geschichte|anfrage|text|$)|\bkann ich (?:\w+ ){0,6}?(?:nicht|leider)\b.{0,40}(?:schreiben|helfen|erfüllen|fortsetzen|erzählen)",
-        r"\bje (?:ne (?:peux|puis|veux) pas|regrette|refuse|dois refuser|suis désolée?|préfère ne pas)\b.{0,60}(?:écrire|aider|continuer|répondre|raconter|histoire|texte|demande)",
-        r"\b(?:no puedo|no podré|lamento|me niego a|prefiero no|debo rechazar|no voy a)\b.{0,60}(?:escribir|ayudar|continuar|responder|contar|historia|cuento|texto|petición|solicitud)",
+    (re.compile(p), tuple(h.split("|")))
+    for p, h in (
+        (rf"\b(?:i|we) ?{_NO}(?: \w+){{0,3}}? {_WORK} (?:\w+ ){{0,4}}?{_OBJECT}\b(?:.*\b{_THING}\b)?", "can't|cann|can n|couldn|could n|unable|not able|not in a position|will not|won't|rather not|prefer not|declin|refus|not allowed|not permitted|not wish|n't wish|n't want|not want|not going to|not comfortable|shouldn't|should not|don't feel"),
+        (rf"\b(?:i|we) (?:must|have to|will have to|need to|'ll have to|am going to have to|would like to|respectfully|politely) ?(?:decline|pass on|refuse|say no to|turn down|skip|stop)\b", "declin|pass on|refus|say no to|turn down|skip|stop"),
+        (rf"\b(?:i|we) (?:respectfully |politely )?(?:decline|refuse)\b.*\b{_THING}\b", "declin|refus"),
+        (r"\b(?:is|was|be|would|will) not (?:be )?(?:right|appropriate|possible|suitable|proper|safe|okay|ok) for (?:me|us)\b", "for me|for us"),
+        (r"\bisn't (?:right|appropriate|possible|suitable|proper|safe|okay|ok) for (?:me|us)\b", "for me|for us"),
+        (r"\bnot (?:be )?(?:right|appropriate|suitable|possible) for (?:me|us) to (?:write|continue|create|tell|produce)\b", "for me|for us"),
+        (r"\b(?:this|that|it) (?:isn't|is not) something (?:that )?(?:i|we)(?: can| will|'m| am|'ll)?\b", "n't something|not something"),
+        (r"\bno (?:story|text|tale|answer|continuation) (?:will|can|may|shall) be (?:provided|written|given|told|created|produced|generated)\b", "no story|no text|no tale|no answer|no continuation"),
+        (r"\bwriting (?:this|that|such a story|about (?:this|that)) (?:would|is|will) (?:not|n't) be\b|\bwriting (?:this|that|such a story) (?:would not|wouldn't|is not|isn't) (?:be )?\w+", "writing "),
+        (r"\b(?:this|the|your|that) (?:request|prompt|topic|task|theme|content|story)\b.{0,40}\b(?:falls outside|goes against|violates|is against|is outside|is beyond|cannot be|can't be|may not be|is not (?:allowed|permitted|suitable|something|appropriate)|isn't (?:allowed|permitted|suitable|something|appropriate))", "outside|against|violates|beyond|cannot be|can't be|may not be|is not|isn't"),
+        (r"\b(?:against|outside|beyond|under|violates?) (?:the rules|my rules|my guidelines|our guidelines|the guidelines|my policy|our policy|content policy|what i (?:do|can|am|may)|my (?:abilities|limits|scope))\b", "the rules|my rules|guidelines|policy|what i |my abilities|my limits|my scope"),
+        (r"\b(?:let's|let us|please|could we|can we|shall we) (?:pick|choose|try|talk about|use) (?:something else|(?:a|an|some)?(?:other|another|different| ) ?(?:different |other )?(?:topic|theme|prompt|words|story))\b.*(?:not suitable|not right|not appropriate|instead|this one|can't|cannot)", "not suitable|not right|not appropriate|instead|this one|can't|cannot"),
+        (r"\bas an? (?:ai|artificial|language model|assistant|writing assistant|automated|large language)\b", "as a ai|as an ai|artificial|language model|assistant|automated|large language"),
+        (r"\bthere is no (?:text|story) to show\b|\bnot suitable for me\b", "no text|no story|not suitable"),
+        (r"\bich (?:kann|darf|möchte|werde|muss)\b.{0,60}\b(?:nicht|ablehnen|leider)\b.{0,40}(?:schreiben|helfen|erfüllen|fortsetzen|erzählen|ablehnen|geschichte|anfrage|text|$)|\bkann ich (?:\w+ ){0,6}?(?:nicht|leider)\b.{0,40}(?:schreiben|helfen|erfüllen|fortsetzen|erzählen)", "nicht|ablehnen|leider"),
+        (r"\bje (?:ne (?:peux|puis|veux) pas|regrette|refuse|dois refuser|suis désolée?|préfère ne pas)\b.{0,60}(?:écrire|aider|continuer|répondre|raconter|histoire|texte|demande)", "peux pas|puis pas|veux pas|regrette|refuse|suis désolé|préfère ne pas"),
+        (r"\b(?:no puedo|no podré|lamento|me niego a|prefiero no|debo rechazar|no voy a)\b.{0,60}(?:escribir|ayudar|continuar|responder|contar|historia|cuento|texto|petición|solicitud)", "no puedo|no podré|lamento|me niego|prefiero no|debo rechazar|no voy a"),
     )
 ]
+_HINTS = tuple(sorted({h for _, hints in _REFUSALS for h in hints}))
+
+
+def _hinted(text: str, hints: tuple[str, ...] = _HINTS) -> bool:
+    return any(h in text for h in hints)
 
 
 def is_refusal(story: str) -> bool:
     """A sentence outside quoted speech declines, in the model's own voice, to write or continue."""
-    plain = story.lower() if story.isascii() else unicodedata.normalize("NFKC", story).replace("\u2019", "'").lower()
-    if not _hinted(plain):
-        return False
     own = _QUOTED.sub(" ", story)
-    plain = unicodedata.normalize("NFKC", own).replace("\u2019", "'").lower()
+    plain = own.lower() if own.isascii() else unicodedata.normalize("NFKC", own).replace("\u2019", "'").lower()
+    if not _hinted(" ".join(plain.split())):
+        return False
     for sentence in _SENTENCE.findall(plain):
-        if _hinted(sentence):
-            s = " ".join(sentence.replace("i'd rather", "i 'd rather").replace("i'm ", "i 'm ").replace("i'll", "i 'll").split())
-            if any(p.search(s) for p in _REFUSALS):
-                return True
+        s = " ".join(sentence.replace("i'd rather", "i 'd rather").replace("i'm ", "i 'm ").replace("i'll", "i 'll").split())
+        if any(_hinted(s, hints) and p.search(s) for p, hints in _REFUSALS):
+            return True
     return False
 
 

@@ -1,6 +1,8 @@
 """Defects of pairs: hand-written cases, the parser, the tiling, and the whole operator on a small table."""
 
 import datetime as dt
+import random
+from re import _parser
 
 import pytest
 
@@ -21,6 +23,46 @@ def test_refusal(story):
     assert P.defect(story, PROMPT) == "refusal"
 
 
+@pytest.mark.parametrize("story", ["I do not want to write this story.", "I should not write about this.", "I could not continue this story.", "I must say no to this request.", "This isn't right for me.", "I will  not write this story.", "Ich kann diese Geschichte nicht erzählen.", "Ich kann diese Geschichte nicht fortsetzen.", "Ich kann diese Anfrage nicht erfüllen.", "Je préfère ne pas écrire cette histoire.", "Je ne veux pas écrire cette histoire.", "No voy a escribir esta historia.", "No podré continuar el cuento."])
+def test_refusal_of_every_wording(story):
+    assert P.defect(story, PROMPT) == "refusal"
+
+
+def _example(r, tree):
+    """A random text that a parsed pattern matches."""
+    out = []
+    for op, value in tree:
+        match str(op):
+            case "LITERAL":
+                out.append(chr(value))
+            case "ANY":
+                out.append(" ")
+            case "IN":
+                kind, of = r.choice(value)
+                out.append(chr(of) if str(kind) == "LITERAL" else "w")
+            case "BRANCH":
+                out.append(_example(r, r.choice(value[1])))
+            case "SUBPATTERN":
+                out.append(_example(r, value[3]))
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                low, high, of = value
+                out += [_example(r, of) for _ in range(r.randint(low, min(high, low + 2)))]
+            case "AT":
+                pass
+            case _:
+                raise ValueError(op)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("number", range(len(P._REFUSALS)))
+def test_every_branch_of_a_refusal_is_hinted(number):
+    r = random.Random(number)
+    pattern, hints = P._REFUSALS[number]
+    texts = [_example(r, _parser.parse(pattern.pattern)) for _ in range(5000)]
+    texts = [t for t in texts if pattern.search(t)]
+    assert len(texts) > 500 and [t for t in texts if not P._hinted(t, hints)] == []
+
+
 def test_no_refusal_of_a_character_cut_off():
     assert P.defect(STORY + ' "I\'m sorry, but I can\'t help you write the', PROMPT) == "truncated"
 
