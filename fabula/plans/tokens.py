@@ -12,7 +12,9 @@ from fabula.tables import table
 
 registry = Registry()
 query = registry.add
-MERGES = 256
+VOCABULARIES = (2048, 4096, 8192)
+FIRST = 257  # 256 bytes and the end of text, which no merge may take
+MERGES = VOCABULARIES[-1] - FIRST
 
 
 def _part(spark, d, odd):
@@ -112,12 +114,14 @@ def decode_roundtrip(spark, d):
 
 @query()
 def bytes_per_token(spark, d):
-    """Bytes a token of growing vocabularies, all prefixes of one list of merges; held-out texts."""
+    """Bytes a token of growing vocabularies, all prefixes of one list of merges; held-out texts. A vocabulary is smaller than
+    asked for where no pair is left to merge."""
     merges = _merges(spark, d)
     parts = []
-    for keep in (0, MERGES // 4, MERGES):
-        e = bpe.encoded(_part(spark, d, 1), merges[:keep], "doc_id")
-        parts.append(e.agg(F.lit(256 + keep).alias("vocabulary"), F.sum(F.size("tokens")).alias("tokens"), F.sum("n_bytes").alias("bytes"), F.round(F.sum("n_bytes") / F.sum(F.size("tokens")), 6).alias("bytes_per_token")))
+    for size in VOCABULARIES:
+        kept = merges[: size - FIRST]
+        e = bpe.encoded(_part(spark, d, 1), kept, "doc_id")
+        parts.append(e.agg(F.lit(FIRST + len(kept)).alias("vocabulary"), F.sum(F.size("tokens")).alias("tokens"), F.sum("n_bytes").alias("bytes"), F.round(F.sum("n_bytes") / F.sum(F.size("tokens")), 6).alias("bytes_per_token")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
