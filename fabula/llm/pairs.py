@@ -35,21 +35,27 @@ _PLACEHOLDER = {
     "story here", "story goes here", "text here", "lorem ipsum", "xxx", "x", "test", "eos", "bos", "pad", "unk", "endoftext", "end of text", "end", "the end", "story",
     "keine", "ninguno", "aucun",
 }
+_EMPTY_WORDS = {w for p in _PLACEHOLDER for w in p.split()} | set(re.findall(r"\w+", _LABELS))
 
 
 def is_empty(story: str | None) -> bool:
     """Null, or nothing but white space, punctuation, markers, labels or a placeholder."""
     if story is None or not _LETTER.search(story):
         return True
-    if len(story) > 200 and sum(map(str.isalpha, story.split())) > 15:
+    # a plain word that no placeholder, label or marker holds is left in the end
+    if "<" not in story and "[" not in story and any(t.isascii() and t.isalpha() and t.lower() not in _EMPTY_WORDS for t in story.split()):
         return False
     rest = _MARKER.sub(" ", story)
     while (shorter := _LABEL.sub("\n", rest, count=1)) != rest:
         rest = shorter
-    if len(rest) > 400:
-        return not _LETTER.search(rest)
+    if not _LETTER.search(rest):
+        return True
     words = split_words(rest)
-    return " ".join(words) in _PLACEHOLDER or len(words) <= 12 and bool(words) and set(words) <= {"n", "a", "na", "none", "null", "todo", "tbd"}
+    if set(words) <= {"n", "a", "na", "none", "null", "todo", "tbd"}:
+        return True
+    # one placeholder, or the same several times
+    longest = max(len(p.split()) for p in _PLACEHOLDER)
+    return any(" ".join(words[:n]) in _PLACEHOLDER and words == words[:n] * (len(words) // n) for n in range(1, min(longest, len(words)) + 1))
 
 
 # --- quoted speech, sentences --------------------------------------------------------------------------------------

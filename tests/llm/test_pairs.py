@@ -18,6 +18,11 @@ def test_empty(story):
     assert P.defect(story, PROMPT) == "empty"
 
 
+@pytest.mark.parametrize("story", ["N/A" + " " * 400, "\n" * 500 + "TODO", "- " * 250 + "tbd", "TODO " * 60, "No story. " * 50, "<|pad|> " * 80 + "none", "Story: none " + "." * 600, "ＴＯＤＯ" + " " * 500])
+def test_empty_of_any_length(story):
+    assert P.defect(story, PROMPT) == "empty"
+
+
 @pytest.mark.parametrize("story", ["I'm sorry, but I can’t write this story.", "Unfortunately, it would not be right for me to write this at the moment.", "No story will be provided for these words.", STORY.split(". ")[0] + ". To be honest, I have to pass on this one. Please try another prompt.", "As a writing assistant, I won't be writing about this.", "Let's pick a different topic; this one is not suitable for me.", "Es tut mir leid, aber ich kann diese Geschichte leider nicht schreiben.", "Lo siento, no puedo escribir esta historia."])
 def test_refusal(story):
     assert P.defect(story, PROMPT) == "refusal"
