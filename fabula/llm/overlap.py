@@ -3,12 +3,12 @@
 The evaluation texts are cut into shards by their number of shingles and, within a range of sizes, by hash. The
 training texts are streamed through the shards whose sizes can reach the similarity. In a shard:
 
-* every shingle of a training text gets its range of rows, and so its number of places, from the index: by backward
-  search, whose first steps a jump table of all the index's shingles spares;
+* every shingle of a training text gets its range of rows in the suffix order, and so its number of places, from a table
+  of all the index's shingles; no backward search is run;
 * a partner of similarity s holds at least s of the text's n shingles, so of its n - ceil(s * n) + k rarest shingles
   it holds at least k: only these few are located, and only evaluation texts met k times become candidates (exact);
-* the located places are extended to maximal matches, whose spans are merged into the shared words and the longest
-  run of a pair, and the pair's similarity is counted on its distinct shingles.
+* the similarity of a candidate is counted on its distinct shingles, and all places that a pair has in common are joined
+  along diagonals into maximal matches, whose spans give the shared words and the longest run.
 
 Copies of a text are sent once by each task; ids are joined to the pairs of texts at the end.
 """
@@ -52,6 +52,27 @@ def _prepare(size: int, keep: int):
     return run
 
 
+def common_words(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int]:
+    """Of two texts of word hashes: the words of the first that lie in a common run of at least `size` words, and the
+    length of the longest such run."""
+    ga, gb = shingle_hashes(a, size), shingle_hashes(b, size)
+    order = np.argsort(gb, kind="stable")
+    low, high = np.searchsorted(gb[order], ga), np.searchsorted(gb[order], ga, "right")
+    width = high - low
+    if not width.any():
+        return 0, 0
+    i = np.repeat(np.arange(len(ga)), width)
+    j = order[np.arange(width.sum()) + np.repeat(low - (np.cumsum(width) - width), width)]
+    by = np.lexsort((i, i - j))
+    i, diagonal = i[by], (i - j)[by]
+    new = np.append(True, (np.diff(i) != 1) | (np.diff(diagonal) != 0))
+    longest = int(np.diff(np.append(np.nonzero(new)[0], len(i))).max()) + size - 1
+    covered = np.zeros(len(a), bool)
+    for k in range(size):
+        covered[i + k] = True
+    return int(covered.sum()), longest
+
+
 class _Shard:
     """The index of a shard's evaluation texts, and the search of training texts in it."""
 
@@ -59,6 +80,7 @@ class _Shard:
         self.size, self.least, self.extra = size, least, extra
         self.ids = np.array([h for h, _ in held], np.int64)
         hashes = [hash_words(w.split()) for _, w in held]
+        self.hashes = hashes
         self.index = FMIndex(hashes)
         self.grams = [distinct(shingle_hashes(x, size)) for x in hashes]
         self.sizes = np.array([len(g) for g in self.grams], np.int64)
@@ -139,24 +161,13 @@ class _Shard:
         ok = (n >= hits[a]) & (small >= self.least * large - 1e-9)
         if not ok.any():
             return
-        key = d[source].astype(np.int64) * len(self.ids) + who
-        by = np.argsort(key, kind="stable")
-        for i, j, k in zip(a[ok].tolist(), b[ok].tolist(), pair[ok].tolist()):
+        for i, j in zip(a[ok].tolist(), b[ok].tolist()):
             own = flat[begins[i] : begins[i] + lengths[i]]
             s = jaccard(distinct(shingle_hashes(own, self.size)), self.grams[j])
             if s < self.least - 1e-9:
                 continue
-            seeds = by[np.searchsorted(key[by], k) : np.searchsorted(key[by], k, "right")]
-            pattern = index.symbols(own)
-            covered, longest = np.zeros(lengths[i], bool), 0
-            for seed in seeds.tolist():
-                start = int(at[source[seed]])
-                if covered[start : start + self.size].all():
-                    continue
-                begin, length = index.extend(place[seed : seed + 1], pattern, start, self.size)
-                covered[begin[0] : begin[0] + length[0]] = True
-                longest = max(longest, int(length[0]))
-            yield train[i][0], int(self.ids[j]), s, int(covered.sum()), longest
+            covered, longest = common_words(own, self.hashes[j], self.size)
+            yield train[i][0], int(self.ids[j]), s, covered, longest
 
 
 def _stream(size: int, least: float, extra: float, at_once: int):

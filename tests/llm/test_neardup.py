@@ -192,3 +192,17 @@ def test_links_inside_a_hot_template(spark, whole):
     got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(6), size=3, least=0.5, flush=500, whole=whole)
     want = brute_groups(rows, 3, 0.5)
     assert len(want) == 400 and {(x.id, x.group_id) for x in got.collect()} == want
+
+
+def test_overlaps_give_all_shared_words_and_the_longest_run(spark):
+    """The rarest shingles lie in the short run; the longest run holds only frequent ones."""
+    r = random.Random(5)
+    common, rare = story(r, 50, 4000).split(), story(r, 48, 4000).split()
+    a = " ".join(common + ["left"] + rare)
+    b = " ".join(rare + ["right"] + common)
+    rows = [("train-1", a, "a", NOW, 1, ""), ("valid-2", b, "a", NOW, 1, "")]
+    rows += [(f"valid-{i}", " ".join(common), "a", NOW, 1, "") for i in range(10, 11)]
+    rows += [(f"test-{i}", " ".join(common + story(r, 20, 4000).split()), "a", NOW, 1, "") for i in range(20, 30)]
+    held = "not startswith(id, 'train')"
+    got = {x.held_id: (x.shared_words, x.longest_run) for x in overlap.overlapping_ids(spark.createDataFrame(rows, SCHEMA), held, size=3, least=0.7).collect()}
+    assert got["valid-2"] == (98, 50)
