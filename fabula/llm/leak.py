@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions.words import distinct, hash_words, shingle_hashes, split_words
@@ -133,33 +133,44 @@ def _doc_grams(size: int, window: int):
                     continue
                 g = _grams(words, size)
                 context = [words[max(0, i - window + 1) : i + window] for i in range(len(g))]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(g), pa.int64()), pa.array(g, pa.int64()), pa.array([min(i, window - 1) for i in range(len(g))], pa.int32()), pa.array(context, pa.list_(pa.string()))], names=["doc", "gram", "i", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(g), pa.int64()), pa.array(g, pa.int64()), pa.array([min(i, window - 1) for i in range(len(g))], pa.int32()), pa.array(context, pa.list_(pa.string())), pa.array([max(0, i - window + 1) for i in range(len(g))], pa.int32())], names=["doc", "gram", "i", "around", "begins"])
 
     return run
 
 
 def _check(window: int):
-    """Joined hits, with the words around them, to (document, item, run); runs are cut at the words around."""
+    """Joined hits, with the words around them, to pieces of runs: document, item, the item's text, diagonal, begin, end."""
+    names = ["doc", "item", "version", "diagonal", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple, int] = {}
-            for doc, i, around, item, j, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "i", "around", "item", "at", "item_words"))):
-                n = run_length(around, i, words, j)[1]
+            out = set()
+            for doc, i, around, begins, item, j, words, version in zip(*(batch.column(c).to_pylist() for c in ("doc", "i", "around", "begins", "item", "at", "item_words", "version"))):
+                start, n = run_length(around, i, words, j)
                 if n >= window:
-                    best[doc, item] = max(n, best.get((doc, item), 0))
-            yield _found(best)
+                    out.add((doc, item, version, begins + i - j, begins + start, begins + start + n))
+            rows = list(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=names)
 
     return run
 
 
+def _joined(pieces: DataFrame) -> DataFrame:
+    """Pieces that touch on one diagonal as whole runs: doc_id, item_id, run_words."""
+    line = Window.partitionBy("doc", "item", "version", "diagonal").orderBy("low", "high")
+    before = F.max("high").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    marked = pieces.withColumn("new", F.coalesce(F.col("low") > before, F.lit(True)).cast("int"))
+    runs = marked.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("doc", "item", "version", "diagonal", "run").agg((F.max("high") - F.min("low")).cast("int").alias("run_words"))
+    return whole.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run_words")
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, window: int = 10, small: int = 200_000) -> DataFrame:
     """doc_id, item_id, run_words: every document that holds `window` successive words of an item, with the length of
     the longest run that was verified (at least `window`).
 
     A null or short text has no window and is never found; repeated rows count once; an item or document id of null
-    is left out. small: number of item shingles up to which tokens are broadcast; beyond it both joins shuffle, and
-    run_words is then cut at 2 * window - 1 words around a hit.
+    is left out. small: number of item shingles up to which tokens are broadcast; beyond it both joins shuffle.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -185,8 +196,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
         keys = np.array(sorted(entries), np.int64)
         found = docs.mapInArrow(_probe(size, window, spark.sparkContext.broadcast((keys, entries, [(i, list(w)) for i, w in numbers]))), "doc_id long, item_id long, run_words int")
     else:
-        around = docs.mapInArrow(_doc_grams(size, window), "doc long, gram long, i int, around array<string>")
-        found = around.join(tokens, "gram").mapInArrow(_check(window), "doc_id long, item_id long, run_words int")
+        around = docs.mapInArrow(_doc_grams(size, window), "doc long, gram long, i int, around array<string>, begins int")
+        hits = around.join(tokens.withColumn("version", F.xxhash64("item_words")), "gram")
+        found = _joined(hits.mapInArrow(_check(window), "doc long, item long, version long, diagonal long, low long, high long"))
     return found.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
 
 

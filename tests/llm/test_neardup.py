@@ -206,3 +206,12 @@ def test_overlaps_give_all_shared_words_and_the_longest_run(spark):
     held = "not startswith(id, 'train')"
     got = {x.held_id: (x.shared_words, x.longest_run) for x in overlap.overlapping_ids(spark.createDataFrame(rows, SCHEMA), held, size=3, least=0.7).collect()}
     assert got["valid-2"] == (98, 50)
+
+
+def test_runs_of_leaks_do_not_depend_on_the_size(spark):
+    r = random.Random(3)
+    item = story(r, 60, 900)
+    docs = spark.createDataFrame([(1, story(r, 30) + " " + item + " " + story(r, 20)), (2, " ".join(item.split()[5:40]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for small in (10**6, 0):
+        assert {(x.doc_id, x.run_words) for x in leak.leaked_items(docs, items, small=small).collect()} == {(1, 60), (2, 35)}
