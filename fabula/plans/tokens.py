@@ -8,6 +8,7 @@ from fabula.functions import text
 from fabula.operators import bpe, ngram
 from fabula.plans import sql as Q
 from fabula.plans.registry import Registry
+from fabula.session import materialize
 from fabula.tables import table
 
 registry = Registry()
@@ -90,8 +91,13 @@ def chunk_counts(spark, d):
     return bpe.chunk_counts(table(spark, d, "documents"))
 
 
+def _counts(spark, d):
+    """The corpus is read once; its distinct chunks are a small table."""
+    return materialize(bpe.chunk_counts(table(spark, d, "documents")), "chunk_counts")
+
+
 def _merges(spark, d):
-    return bpe.learn_merges(bpe.chunk_counts(table(spark, d, "documents")), MERGES)
+    return bpe.learn_merges(_counts(spark, d), MERGES)
 
 
 @query()
@@ -103,7 +109,8 @@ def bpe_merges(spark, d):
 
 @query()
 def bpe_encode_counts(spark, d):
-    return bpe.encoded_counts(bpe.chunk_counts(table(spark, d, "documents")), _merges(spark, d))
+    counts = _counts(spark, d)
+    return bpe.encoded_counts(counts, bpe.learn_merges(counts, MERGES))
 
 
 @query()

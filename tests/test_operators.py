@@ -74,6 +74,29 @@ def test_merges(seed):
     assert bpe.merges_of(iter(counts), 40) == naive_merges(counts, 40)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_merges_on_the_cluster(spark, seed):
+    """Both sides of the size bound give the same merges, in the same order."""
+    r = random.Random(seed)
+    counts = list({"".join(r.choices("aabcdé", k=r.randint(1, 9))): r.randint(1, 30) for _ in range(50)}.items())
+    df = spark.createDataFrame(counts, "chunk string, n long").repartition(3)
+    assert bpe.learn_merges(df, 25) == bpe.learn_merges(df, 25, most_bytes=0) == naive_merges(counts, 25)
+
+
+def test_merges_of_repeated_letters():
+    counts = [("aaaaaaa", 5), ("aaab", 2), ("baaaa", 7), ("ab", 30), ("a", 100)]
+    assert bpe.merges_of(iter(counts), 20) == naive_merges(counts, 20)
+    assert bpe.merges_of(iter([]), 5) == []
+
+
+def test_specials():
+    encoder = bpe.Encoder(MERGES, specials=("<|end|>", "<|end|>x"))
+    first = 256 + len(MERGES)
+    assert encoder.encode("a<|end|>b<|end|>x") == [*encoder.encode("a", False), first, *encoder.encode("b", False), first + 1]
+    assert first not in encoder.encode("a<|end|>b", False)
+    assert encoder.decode(encoder.encode("a<|end|>b<|end|>x")) == "a<|end|>b<|end|>x"
+
+
 TEXT = "the cat and the hat, the bat; it's 12345 o'clock\n\n"
 MERGES = bpe.merges_of(((w, 3) for w in bpe.Encoder([]).pattern.findall(TEXT)), 30)
 
@@ -170,18 +193,31 @@ def test_cancel_and_prefixes():
     assert wait(warm)[0] == wait(cold)[0] and all(a < b for a, b in zip(wait(warm)[1:], wait(cold)[1:]))
 
 
+def test_stop_token():
+    rows = simulate.run_trace([{"id": "a", "arrival": 0.0, "prompt": 8, "output": 20, "stop": 5}, {"id": "b", "arrival": 0.0, "prompt": 8, "output": 20}], "chunked")
+    assert [r["made"] for r in rows] == [5, 20] and {r["status"] for r in rows} == {"completed"}
+
+
+def test_shares():
+    """A budget of 10 with 2 decoding requests leaves 8, and the row begins one further each turn."""
+    lacks = np.array([5, 6, 7])
+    assert simulate.shares("chunked", lacks, 2, 10, 0).tolist() == [5, 3, 0]
+    assert simulate.shares("chunked", lacks, 2, 10, 1).tolist() == [0, 6, 2]
+    assert simulate.shares("static", lacks, 2, 10, 1).tolist() == [5, 6, 7]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_blocks(seed):
     """Random reservations, writes, prefixes and releases never lose or share a block by mistake."""
     r = random.Random(seed)
-    memory, live = blocks.Blocks(24, 4, 3), {}
+    memory, live = blocks.Pages(24, 4, 3), {}
     for i in range(400):
         move = r.random()
         if move < 0.5:
             prompt = [r.randrange(2) for _ in range(r.randint(1, 20))]
-            before = len(memory.held)
+            before = len(memory.tables)
             there = memory.reserve(f"q{i}", len(prompt) + 3, prompt)
-            assert (there is None) == (len(memory.held) == before)
+            assert (there is None) == (len(memory.tables) == before)
             if there is not None:
                 assert there < len(prompt) and there % 4 == 0
                 live[f"q{i}"] = prompt
@@ -192,7 +228,7 @@ def test_blocks(seed):
             elif move < 0.85:
                 place = r.randrange(len(live[name]))
                 if memory.write(name, place):
-                    assert memory.references[memory.held[name][place // 4]] == 1
+                    assert memory.uses[memory.tables[name][place // 4]] == 1
             else:
                 memory.release(name)
                 del live[name]
