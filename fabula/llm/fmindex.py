@@ -1,15 +1,20 @@
-"""A full-text index of word sequences: Burrows-Wheeler order, backward search, maximal matches.
+"""A compressed full-text index of word sequences: Burrows-Wheeler transform, backward search, sampled places.
 
-The rows of all suffixes are sorted; `keys` holds, for each symbol, the rows it precedes, as one ascending array of
-symbol * n + row. As there are as many smaller keys as the index's C array says, a backward-search step of a whole
-batch of patterns is one binary search: row' = number of keys below symbol * n + row.
+Rows are the suffixes of all documents in order; each document is followed by an end, the smallest symbol. What is
+stored is the transform alone (the symbol before each row), as compressed bytes with the vocabulary and the lengths of
+the documents: about a byte and a half a word. Loaded, the index holds for each symbol the rows that it precedes, one
+ascending list of 32-bit numbers, of which every 16th entry is a sample that a search begins at. A step of backward
+search from a range of rows to the range of those with one more word in front is a rank in that list; it is made for
+a whole batch of patterns at once. The place of a row is found by walking back to one of the sampled places, every 8th
+word of a document.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
-
 import numpy as np
+import zstandard
+
+_EVERY, _PLACES = 16, 8
 
 
 class FMIndex:
@@ -18,105 +23,147 @@ class FMIndex:
     def __init__(self, documents: list[np.ndarray]):
         lengths = np.array([len(d) for d in documents], np.int64)
         words = np.concatenate(documents) if len(documents) else np.empty(0, np.uint64)
-        self.vocabulary, ids = np.unique(words, return_inverse=True)
+        vocabulary, ids = np.unique(words, return_inverse=True)
         n = len(words) + len(documents)
-        # each document is followed by an end, symbol 0
-        self.start = np.concatenate([[0], np.cumsum(lengths + 1)])[: len(documents)]
-        self.length = lengths
+        start = np.cumsum(lengths + 1) - lengths - 1
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
-        inside[self.start + lengths] = False
+        inside[start + lengths] = False
         text[inside] = ids + 1
-        self.text = text.astype(np.int32)
-        self.owner = np.repeat(np.arange(len(documents), dtype=np.int32), lengths + 1)
-        self.n = n
-        self.rows = self._sort(text)
-
-    @cached_property
-    def keys(self) -> np.ndarray:
-        """Made when the first backward search needs it."""
-        before = self.text[self.rows - 1].astype(np.int64)  # the text is a ring
-        return np.sort(before * self.n + np.arange(self.n))
-
-    @staticmethod
-    def _sort(text: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling; ends are ordered by their places, so every suffix becomes unique."""
-        n = len(text)
-        if not n:
-            return np.empty(0, np.int64)
-        ends = text == 0
-        rank = text + int(ends.sum())
-        rank[ends] = np.arange(int(ends.sum()))
-        step = 1
-        place = np.arange(n)
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        new = np.append(True, ordered[1:] != ordered[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.nonzero(new)[0][np.cumsum(new) - 1]
-        open_ = np.nonzero(~(new & np.append(new[1:], True)))[0]  # rows that share their rank with others
-        while len(open_):
-            suffix = order[open_]
-            head = rank[suffix]
-            tail = rank[(suffix + step) % n]
-            by = np.lexsort((tail, head))
-            suffix, head, tail = suffix[by], head[by], tail[by]
-            order[open_] = suffix
-            new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
-            rank[suffix] = open_[np.nonzero(new)[0]][np.cumsum(new) - 1]
-            open_ = open_[~(new & np.append(new[1:], True))]
-            step *= 2
-        del place
-        return order
+        self._open(vocabulary, lengths, text[suffix_order(text) - 1].astype(np.int32))  # the text is a ring
+
+    def _open(self, vocabulary: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> None:
+        self.vocabulary, self.length, self.before, self.n = vocabulary, lengths, before, len(before)
+        self.start = np.cumsum(lengths + 1) - lengths - 1
+        # `first[s]`: the first row that begins with symbol s, which is also where the list of its rows begins
+        self.first = np.zeros(len(vocabulary) + 2, np.int64)
+        np.cumsum(np.bincount(before, minlength=len(vocabulary) + 1), out=self.first[1:])
+        self.rows = np.argsort(before, kind="stable").astype(np.int32)
+        sampled = self.rows[::_EVERY]
+        self.samples = before[sampled].astype(np.int64) * self.n + sampled
+        self._unroll()
+
+    def _unroll(self) -> None:
+        """The text, and the sampled places, by walking all documents back from their ends at once."""
+        back = np.empty(self.n, np.int32)
+        back[self.rows] = np.arange(self.n, dtype=np.int32)
+        self.back = back
+        self.text = np.zeros(self.n, np.int32)
+        doc = np.argsort(-self.length, kind="stable")
+        row = doc.copy()  # the ends are ordered by their places
+        left = self.length[doc]
+        rows, places = [row[left % _PLACES == 0]], [(self.start[doc] + left)[left % _PLACES == 0]]
+        while len(doc) and left[0]:
+            n = np.searchsorted(-left, 0)  # documents with words left come first
+            doc, row, left = doc[:n], row[:n], left[:n] - 1
+            place = self.start[doc] + left
+            self.text[place] = self.before[row]
+            row = back[row]
+            some = left % _PLACES == 0
+            rows.append(row[some])
+            places.append(place[some])
+        rows, places = np.concatenate(rows), np.concatenate(places)
+        by = np.argsort(rows)
+        self.known_rows, self.known_places = rows[by].astype(np.int32), places[by].astype(np.int32)
+
+    def dump(self) -> bytes:
+        """The stored form."""
+        head = np.array([len(self.vocabulary), len(self.length), self.n], np.int64).tobytes()
+        planes = np.ascontiguousarray(self.before.view(np.uint8).reshape(-1, 4).T).tobytes()  # small bytes beside small bytes
+        body = self.vocabulary.tobytes() + self.length.astype(np.int64).tobytes() + planes
+        return head + zstandard.ZstdCompressor(level=3).compress(body)
+
+    @classmethod
+    def load(cls, raw: bytes) -> FMIndex:
+        words, documents, n = np.frombuffer(raw[:24], np.int64).tolist()
+        body = zstandard.ZstdDecompressor().decompress(raw[24:], max_output_size=max(1, 8 * words + 8 * documents + 4 * n))
+        index = cls.__new__(cls)
+        planes = np.frombuffer(body, np.uint8, offset=8 * (words + documents)).reshape(4, n)
+        before = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+        index._open(np.frombuffer(body, np.uint64, words), np.frombuffer(body, np.int64, documents, 8 * words), before)
+        return index
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of word hashes; -1 for words that no document has."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1)
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
-        return np.where(known, at + 1, -1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, -1)
+
+    def _rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The row of the first suffix that is `symbol` before a suffix from `row` on."""
+        block = np.searchsorted(self.samples, symbol * self.n + row)
+        low = np.maximum(np.maximum(block - 1, 0) * _EVERY, self.first[symbol])
+        high = np.minimum(block * _EVERY, self.first[symbol + 1])
+        while len(wide := np.nonzero(low < high)[0]):
+            middle = (low[wide] + high[wide]) >> 1
+            less = self.rows[middle] < row[wide]
+            low[wide] = np.where(less, middle + 1, low[wide])
+            high[wide] = np.where(less, high[wide], middle)
+        return low
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, past the last) row of the suffixes that begin with each pattern; patterns: symbols (m, k)."""
         m, k = patterns.shape
-        low, high = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
+        low, high = np.zeros(m, np.int64), np.zeros(m, np.int64)
         live = np.nonzero((patterns > 0).all(1))[0]
-        low[(patterns <= 0).any(1)] = high[(patterns <= 0).any(1)] = 0
-        for i in range(k - 1, -1, -1):
-            base = patterns[live, i] * self.n
-            low[live] = np.searchsorted(self.keys, base + low[live])
-            high[live] = np.searchsorted(self.keys, base + high[live])
-            live = live[high[live] > low[live]]
-        return low, np.maximum(low, high)
-
-    def table(self, k: int, gram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The row ranges of all patterns of k words that occur: (hashes in ascending order, first row, past the last).
-
-        This jump table spares the first k steps of every search. gram: hashes of all runs of k of an array of word
-        hashes.
-        """
-        inside = np.nonzero(self.length[self.owner[self.rows]] + self.start[self.owner[self.rows]] - self.rows >= k)[0]
-        words = np.zeros(self.n + k, np.uint64)
-        here = self.text > 0
-        words[: self.n][here] = self.vocabulary[self.text[here] - 1]
-        hashes = gram(words, k)[self.rows[inside]]
-        if not len(hashes):
-            empty = np.empty(0, np.int64)
-            return hashes, empty, empty
-        new = np.nonzero(np.append(True, hashes[1:] != hashes[:-1]))[0]
-        low, count = inside[new], np.diff(np.append(new, len(hashes)))
-        order = np.argsort(hashes[new])
-        return hashes[new][order], low[order], (low + count)[order]
-
-    def extend(self, place: np.ndarray, pattern: np.ndarray, at: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start in the pattern, length) of the maximal match around each place where pattern[at : at + size] stands."""
-        start, length = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-        for i, p in enumerate(place.tolist()):
-            back = 0
-            while at - back > 0 and p - back > 0 and self.text[p - back - 1] == pattern[at - back - 1]:
-                back += 1
-            ahead = size
-            while at + ahead < len(pattern) and p + ahead < self.n and self.text[p + ahead] == pattern[at + ahead]:
-                ahead += 1
-            start[i], length[i] = at - back, back + ahead
-        return start, length
+        last = patterns[live, k - 1]
+        a, b = self.first[last], self.first[last + 1]
+        for i in range(k - 2, -1, -1):
+            symbol = patterns[live, i]
+            a, b = self._rank(symbol, a), self._rank(symbol, b)
+            some = b > a
+            live, a, b = live[some], a[some], b[some]
+        low[live], high[live] = a, b
+        return low, high
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places of rows in the text."""
+        place, row, steps = np.empty(len(rows), np.int64), rows.astype(np.int64), 0
+        left = np.arange(len(rows))
+        while len(left):
+            at = np.searchsorted(self.known_rows, row)
+            at[at == len(self.known_rows)] = 0
+            here = self.known_rows[at] == row
+            place[left[here]] = self.known_places[at[here]] + steps
+            left, row = left[~here], self.back[row[~here]].astype(np.int64)
+            steps += 1
+        return place
+
+    def owner(self, places: np.ndarray) -> np.ndarray:
+        """Documents of places."""
+        return np.searchsorted(self.start, places, "right") - 1
+
+    def document(self, i: int) -> np.ndarray:
+        """The word hashes of a document."""
+        return self.vocabulary[self.text[self.start[i] : self.start[i] + self.length[i]] - 1]
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes by prefix doubling; ends (0) are ordered by their places, so every suffix is unique."""
+    n = len(text)
+    if not n:
+        return np.empty(0, np.int64)
+    ends = text == 0
+    rank = text + int(ends.sum())
+    rank[ends] = np.arange(int(ends.sum()))
+    step = 1
+    order = np.argsort(rank, kind="stable")
+    ordered = rank[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.nonzero(new)[0][np.cumsum(new) - 1]
+    open_ = np.nonzero(~(new & np.append(new[1:], True)))[0]  # rows that share their rank with others
+    while len(open_):
+        suffix = order[open_]
+        head = rank[suffix]
+        tail = rank[(suffix + step) % n]
+        by = np.lexsort((tail, head))
+        suffix, head, tail = suffix[by], head[by], tail[by]
+        order[open_] = suffix
+        new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+        rank[suffix] = open_[np.nonzero(new)[0]][np.cumsum(new) - 1]
+        open_ = open_[~(new & np.append(new[1:], True))]
+        step *= 2
+    return order

@@ -1,20 +1,21 @@
-"""Same or near-same records across splits (problem 3), by full-text indexes of the evaluation texts.
+"""Same or near-same records across splits (problem 3), by compressed full-text indexes of the evaluation texts.
 
-The evaluation texts are cut into shards by their number of shingles and, within a range of sizes, by hash. The
-training texts are streamed through the shards whose sizes can reach the similarity. In a shard:
+The evaluation texts are cut into shards by their number of shingles and, within a range of sizes, by hash. Each shard
+is indexed once, and its compressed index is sent to the tasks that stream training texts through it: those whose
+sizes can reach the similarity. In a task:
 
-* every shingle of a training text gets its range of rows in the suffix order, and so its number of places, from a table
-  of all the index's shingles; no backward search is run;
+* backward search gives every shingle of a training text its range of rows, and so its number of places in the shard;
 * a partner of similarity s holds at least s of the text's n shingles, so of its n - ceil(s * n) + k rarest shingles
   it holds at least k: only these few are located, and only evaluation texts met k times become candidates (exact);
-* the similarity of a candidate is counted on its distinct shingles, and all places that a pair has in common are joined
-  along diagonals into maximal matches, whose spans give the shared words and the longest run.
+* the matches of a candidate are joined along diagonals into maximal matches, and these merged: the shingles they hold
+  decide the similarity, their spans give the shared words and the longest run.
 
 Copies of a text are sent once by each task; ids are joined to the pairs of texts at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.functions.words import distinct, flat_shingles, hash_words, jaccard, shingle_hashes, split_words
+from fabula.functions.words import distinct, flat_shingles, hash_words, shingle_hashes, split_words
 from fabula.llm.fmindex import FMIndex
 from fabula.session import materialize
 
@@ -52,15 +53,15 @@ def _prepare(size: int, keep: int):
     return run
 
 
-def common_words(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int]:
-    """Of two texts of word hashes: the words of the first that lie in a common run of at least `size` words, and the
-    length of the longest such run."""
+def common_runs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int, int]:
+    """The maximal matches of at least `size` words of two texts of word hashes, merged: the number of distinct
+    shingles they hold, the words of the first text they cover, and the length of the longest."""
     ga, gb = shingle_hashes(a, size), shingle_hashes(b, size)
     order = np.argsort(gb, kind="stable")
     low, high = np.searchsorted(gb[order], ga), np.searchsorted(gb[order], ga, "right")
     width = high - low
     if not width.any():
-        return 0, 0
+        return 0, 0, 0
     i = np.repeat(np.arange(len(ga)), width)
     j = order[np.arange(width.sum()) + np.repeat(low - (np.cumsum(width) - width), width)]
     by = np.lexsort((i, i - j))
@@ -70,75 +71,61 @@ def common_words(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int]:
     covered = np.zeros(len(a), bool)
     for k in range(size):
         covered[i + k] = True
-    return int(covered.sum()), longest
+    return len(distinct(ga[width > 0])), int(covered.sum()), longest
 
 
-class _Shard:
+class Shard:
     """The index of a shard's evaluation texts, and the search of training texts in it."""
 
-    def __init__(self, held: list[tuple[int, str]], size: int, least: float, extra: float):
+    def __init__(self, raw: bytes, size: int, least: float, extra: float):
         self.size, self.least, self.extra = size, least, extra
-        self.ids = np.array([h for h, _ in held], np.int64)
-        hashes = [hash_words(w.split()) for _, w in held]
-        self.hashes = hashes
-        self.index = FMIndex(hashes)
-        self.grams = [distinct(shingle_hashes(x, size)) for x in hashes]
-        self.sizes = np.array([len(g) for g in self.grams], np.int64)
-        self.known, self.low, self.high = self.index.table(size, shingle_hashes)
-        # where the hashes with the same leading bits begin in the table
-        bits = max(8, (2 * len(self.known)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.known, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        self.padded = np.append(self.known, np.uint64(0xFFFFFFFFFFFFFFFF))
+        n = int.from_bytes(raw[:8], "little")
+        self.ids = np.frombuffer(raw, np.int64, n, 8)
+        self.sizes = np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64)
+        self.index = FMIndex.load(raw[8 + 12 * n :])
+
+    @staticmethod
+    def dump(held: list[tuple[int, int, str]]) -> bytes:
+        """The stored form of evaluation texts, given as class, number of distinct shingles and words."""
+        ids, sizes = np.array([h for h, _, _ in held], np.int64), np.array([n for _, n, _ in held], np.int32)
+        return len(held).to_bytes(8, "little") + ids.tobytes() + sizes.tobytes() + FMIndex([hash_words(w.split()) for _, _, w in held]).dump()
 
     def search(self, train: list[tuple[int, str, int]]) -> Iterator[tuple]:
         """train: class, words and number of distinct shingles of the training texts."""
-        if not len(self.known):
-            return
-        size = self.size
+        index, size = self.index, self.size
         words = [w.split() for _, w, _ in train]
         total = np.array([n for _, _, n in train], np.int64)
         lengths = np.array([len(w) for w in words])
         flat = hash_words([x for w in words for x in w])
-        doc = np.repeat(np.arange(len(train)), lengths)
         start = np.cumsum(lengths) - lengths
-        gram = shingle_hashes(flat, size)
-        slot = self._slots(gram)
-        begin = np.nonzero((self.padded[slot] == gram) & (np.arange(len(gram)) + size <= (start + lengths)[doc[: len(gram)]]))[0]
+        doc = np.repeat(np.arange(len(train)), lengths)
+        at = np.nonzero(np.arange(len(flat)) + size <= (start + lengths)[doc])[0]
+        symbol = index.symbols(flat)
+        low, high = index.search(np.stack([symbol[at + k] for k in range(size)], 1))
+        some = high > low
+        d, low, width = doc[at[some]], low[some], (high - low)[some]
         need = np.ceil(self.least * total - 1e-9).astype(np.int64)
         hits = np.minimum(need, 1 + (self.extra * total).astype(np.int64))
         # at most as many distinct shingles are held here as were found; if they are too few the text has no partner
-        begin = begin[(np.bincount(doc[begin], minlength=len(train)) >= need)[doc[begin]]]
-        if not len(begin):
+        some = (np.bincount(d, minlength=len(train)) >= need)[d]
+        d, low, width = d[some], low[some], width[some]
+        if not len(d):
             return
-        d, at, g = doc[begin], begin - start[doc[begin]], slot[begin]
-        one = np.unique(d * len(self.known) + g, return_index=True)[1]
-        d, at, g = d[one], at[one], g[one]
-        width = (self.high - self.low)[g]
+        one = np.unique(d * index.n + low, return_index=True)[1]  # equal shingles have equal rows
+        d, low, width = d[one], low[one], width[one]
         order = np.lexsort((width, d))
-        d, g, at, width = d[order], g[order], at[order], width[order]
+        d, low, width = d[order], low[order], width[order]
         found = np.bincount(d, minlength=len(train))
         # rank among all shingles of the text, those that occur nowhere in the index first
         rank = np.arange(len(d)) - np.repeat(np.cumsum(found) - found, found) + (total - found)[d]
         prefix = rank < (total - need + hits)[d]
-        d, g, at, width = d[prefix], g[prefix], at[prefix], width[prefix]
+        d, low, width = d[prefix], low[prefix], width[prefix]
         for lo, hi in self._slices(d, width):
-            yield from self._candidates(train, flat, start, lengths, d[lo:hi], g[lo:hi], at[lo:hi], width[lo:hi], hits, total)
-
-    def _slots(self, gram: np.ndarray) -> np.ndarray:
-        """Where hashes stand in the table, or would stand."""
-        slot = self.first[(gram >> self.shift).astype(np.int64)].astype(np.int64)
-        short = np.nonzero(self.padded[slot] < gram)[0]
-        while len(short):
-            slot[short] += 1
-            short = short[self.padded[slot[short]] < gram[short]]
-        return slot
+            yield from self._candidates(train, flat, start, lengths, d[lo:hi], low[lo:hi], width[lo:hi], hits, total)
 
     @staticmethod
-    def _slices(d: np.ndarray, width: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    def _slices(d: np.ndarray, width: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
         """Ranges of entries with about `most` places, cut between texts."""
-        if not len(d):
-            return
         cuts = np.append(np.nonzero(np.diff(d))[0] + 1, len(d))
         done = np.cumsum(width)
         lo, base = 0, 0
@@ -147,58 +134,71 @@ class _Shard:
                 yield lo, cut
                 lo, base = cut, done[cut - 1]
 
-    def _candidates(self, train, flat, begins, lengths, d, g, at, width, hits, total) -> Iterator[tuple]:
-        index = self.index
-        row = np.repeat(self.low[g] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        place = index.rows[row]
-        who, source = index.owner[place].astype(np.int64), np.repeat(np.arange(len(d)), width)
+    def _candidates(self, train, flat, begins, lengths, d, low, width, hits, total) -> Iterator[tuple]:
+        index, size = self.index, self.size
+        row = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        who, source = index.owner(index.locate(row)), np.repeat(np.arange(len(d)), width)
         # a shingle counts once for an evaluation text, wherever it stands in it
-        single = np.unique(source * len(self.ids) + who, return_index=True)[1]
-        who, source, place = who[single], source[single], place[single]
+        single = np.unique(source * len(self.ids) + who)
+        who, source = single % len(self.ids), single // len(self.ids)
         pair, n = np.unique(d[source].astype(np.int64) * len(self.ids) + who, return_counts=True)
         a, b = pair // len(self.ids), pair % len(self.ids)
         small, large = np.minimum(total[a], self.sizes[b]), np.maximum(total[a], self.sizes[b])
         ok = (n >= hits[a]) & (small >= self.least * large - 1e-9)
-        if not ok.any():
-            return
         for i, j in zip(a[ok].tolist(), b[ok].tolist()):
-            own = flat[begins[i] : begins[i] + lengths[i]]
-            s = jaccard(distinct(shingle_hashes(own, self.size)), self.grams[j])
-            if s < self.least - 1e-9:
-                continue
-            covered, longest = common_words(own, self.hashes[j], self.size)
-            yield train[i][0], int(self.ids[j]), s, covered, longest
+            shared, covered, longest = common_runs(flat[begins[i] : begins[i] + lengths[i]], index.document(j), size)
+            similarity = shared / (total[i] + self.sizes[j] - shared)
+            if similarity >= self.least - 1e-9:
+                yield train[i][0], int(self.ids[j]), float(similarity), covered, longest
+
+
+_PIECE = 4 << 20
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The evaluation texts (shard, h, size, words), sorted by shard, to the stored index of each shard in pieces."""
+    here, held = None, []
+
+    def built() -> Iterator[pa.RecordBatch]:
+        if held:
+            raw = Shard.dump(held)
+            for i in range(0, len(raw), _PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([i // _PIECE], pa.int64()), pa.array([raw[i : i + _PIECE]], pa.binary())], names=["shard", "piece", "body"])
+
+    for batch in batches:
+        for shard, h, n, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "h", "size", "words"))):
+            if shard != here:
+                yield from built()
+                here, held = shard, []
+            held.append((h, n, words))
+    yield from built()
 
 
 def _stream(size: int, least: float, extra: float, at_once: int):
-    """The rows of each (shard, salt), evaluation texts first, to pairs."""
+    """The rows of each (shard, salt), the pieces of the index first, to pairs."""
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, train, shard = None, [], [], None
+        here, raw, train, shard, last = None, [], [], None, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal train, shard
-            if train and held:
+            nonlocal raw, train, shard
+            if train and (raw or shard):
                 if shard is None:
-                    shard = _Shard(held, size, least, extra)
+                    shard, raw = Shard(b"".join(raw), size, least, extra), []
                 rows = list(shard.search(train))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["train", "held", "similarity", "shared_words", "longest_run"])
             train = []
 
         for batch in batches:
-            last = None
-            for block, kind, h, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "h", "words", "size"))):
+            for block, body, h, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "body", "h", "words", "size"))):
                 if block != here:
                     yield from flush()
-                    here, held, shard, last = block, [], None, None
-                if (kind, h) == last:
-                    continue
-                last = (kind, h)
-                if kind == 0:
-                    if not held or held[-1][0] != h:
-                        held.append((h, words))
-                else:
+                    here, raw, shard, last = block, [], None, None
+                if body is not None:
+                    raw.append(body)
+                elif h != last:
+                    last = h
                     train.append((h, words, n))
                     if len(train) >= at_once:
                         yield from flush()
@@ -207,13 +207,14 @@ def _stream(size: int, least: float, extra: float, at_once: int):
     return run
 
 
-def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, shard_words: int = 2_000_000, extra: float = 0.06) -> tuple[DataFrame, DataFrame]:
+def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, shard_words: int = 8_000_000, block_bytes: int = 32_000_000, extra: float = 0.06) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts in and outside the held-out splits with a similarity of at least `least`.
 
     held: SQL expression over `id` that is true for held-out ids and false for training ids. pairs: classes train and
     held, similarity on distinct shingles of `size` words, words of the training text in common runs, longest common
-    run. members: id, held, h (class) of every id. shard_words: words in an index; extra: the further share of
-    shingles that raises the hits a candidate needs (any value gives the same pairs).
+    run. members: id, held, h (class) of every id. shard_words: words in an index; block_bytes: training text that one
+    task streams through an index; extra: the further share of shingles that raises the hits a candidate needs. None
+    of them changes the pairs.
     """
     spark = records.sparkSession
     v = F.col(version) if version else F.lit(0)
@@ -223,28 +224,45 @@ def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text
     members = materialize(last.where("held is not null"), "members")
     texts = lambda part: rows.where(part).select("h", "text").mapInArrow(_prepare(size, 200_000), _TEXT)
     evaluation = materialize(texts("held").groupBy("h").agg(F.first("size").alias("size"), F.first("words").alias("words")), "held")
-    stats = evaluation.agg(F.count("*").alias("n"), F.sum(F.length("words") / 6).alias("words")).first()
-    n_train = members.where("not held").count()
-    shards = max(1, round((stats.words or 0) / shard_words))
-    ranges = min(shards, 24)
-    inner = -(-shards // ranges)
+    n_words = F.sum(F.length("words") / 6)
+    stats = evaluation.agg(n_words.alias("words"), F.avg(F.length("words")).alias("mean")).first()
+    # ranges of sizes, each cut into as many shards by hash as its words need
+    ranges = min(24, max(1, math.ceil((stats.words or 0) / shard_words)))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(evaluation.agg(F.percentile_approx("size", shares, 10_000).alias("q")).first().q or [])) if shares else []
-    # sizes up to cuts[0] are range 0, up to cuts[1] range 1, ...
     bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<int>")
     of = lambda x: F.size(F.filter(bounds, lambda c: c < x))
-    salts = max(1, -(-spark.sparkContext.defaultParallelism // shards), n_train // (200_000 * shards))
-    blocks = (len(cuts) + 1) * inner * salts
-    salted = evaluation.select(((of(F.col("size")) * inner + F.pmod("h", F.lit(inner))) * salts).alias("base"), "h", "words", "size")
-    index = salted.select(F.explode(F.sequence(F.col("base").cast("int"), F.col("base").cast("int") + salts - 1)).alias("block"), F.lit(0).alias("kind"), "h", "words", "size")
+    weights = {r.r: r.w for r in evaluation.groupBy(of(F.col("size")).alias("r")).agg(n_words.alias("w")).collect()}  # at most 24 rows
+    inner = [max(1, math.ceil(weights.get(r, 0) / shard_words)) for r in range(len(cuts) + 1)]
+    begin = np.cumsum([0, *inner]).tolist()
+    at = lambda values, r: F.element_at(F.array(*map(F.lit, values)), r + 1)
+    shards = begin[-1]
+    place = at(begin, of(F.col("size"))) + F.pmod("h", at(inner, of(F.col("size")))).cast("int")
+    sorted_ = evaluation.select(place.alias("shard"), "h", "size", "words").repartitionById(shards, "shard").sortWithinPartitions("shard", "h")
+    index = materialize(sorted_.mapInArrow(_build, "shard int, piece long, body binary"), "index")
+    streamed = members.where("not held").count() * (stats.mean or 0)
+    salts = max(1, math.ceil(spark.sparkContext.defaultParallelism / shards), math.ceil(streamed / block_bytes))
+    none = lambda kind: F.lit(None).cast(kind)
+    copies = index.select(F.explode(F.sequence(F.col("shard") * salts, F.col("shard") * salts + salts - 1)).alias("block"), F.lit(0).alias("kind"), F.col("piece").alias("h"), "body", none("string").alias("words"), none("int").alias("size"))
     low, high = F.ceil(F.col("size") * least - 1e-9).cast("int"), F.floor(F.col("size") / least + 1e-9).cast("int")
-    visits = F.explode(F.sequence(of(low) * inner, of(high) * inner + inner - 1)).alias("shard")
-    stream = texts("not held").select(visits, "h", "words", "size").select((F.col("shard") * salts + F.pmod(F.shiftright("h", 7), F.lit(salts))).cast("int").alias("block"), F.lit(1).alias("kind"), "h", "words", "size")
-    placed = index.unionByName(stream).repartitionById(int(blocks), "block").sortWithinPartitions("block", "kind", "h")
+    visits = F.explode(F.sequence(at(begin, of(low)), at(begin[1:], of(high)) - 1)).alias("shard")
+    stream = texts("not held").select(visits, "h", "words", "size").select((F.col("shard") * salts + F.pmod(F.shiftright("h", 7), F.lit(salts))).cast("int").alias("block"), F.lit(1).alias("kind"), "h", none("binary").alias("body"), "words", "size")
+    placed = copies.unionByName(stream).repartitionById(shards * salts, "block").sortWithinPartitions("block", "kind", "h")
     pairs = placed.mapInArrow(_stream(size, least, extra, 2000), _PAIR)
     return materialize(pairs, "overlaps"), members
 
 
+def _spread(pairs: DataFrame, members: DataFrame, key: str, most: int = 50_000) -> DataFrame:
+    """pairs with the ids of the class in `key`. A class of more than `most` ids is one of several keys, so that the
+    copies of one text are no single task."""
+    ids = members.select(F.col("id").alias(f"{key}_id"), F.col("h").alias(key))
+    linked = ids.join(pairs.select(key).distinct(), key, "left_semi")
+    parts = linked.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    salted = linked.join(parts, key, "left").withColumn("salt", F.pmod(F.xxhash64(f"{key}_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    wide = pairs.join(parts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return wide.join(salted, [key, "salt"]).drop("salt")
+
+
 def overlapping_ids(records: DataFrame, held: str, **more) -> DataFrame:
     """train_id, held_id, similarity, shared_words, longest_run: all pairs of a training and a held-out id that overlap.
 
@@ -252,18 +270,20 @@ def overlapping_ids(records: DataFrame, held: str, **more) -> DataFrame:
     pair. An id delivered several times takes part once, with its last text. An empty table gives no rows.
     """
     pairs, members = overlapping_texts(records, held, **more)
-    train = members.where("not held").select(F.col("id").alias("train_id"), F.col("h").alias("train"))
-    test = members.where("held").select(F.col("id").alias("held_id"), F.col("h").alias("held"))
-    return pairs.join(train, "train").join(test, "held").select("train_id", "held_id", "similarity", "shared_words", "longest_run")
+    both = _spread(_spread(pairs, members.where("not held"), "train"), members.where("held"), "held")
+    return both.select("train_id", "held_id", "similarity", "shared_words", "longest_run")
 
 
 def overlap_report(records: DataFrame, held: str, split: str, source: str, **more) -> DataFrame:
     """split, source, pairs, ids of the held-out ids that overlap with training: counts per split and source.
 
-    split: SQL expression over id; source: column, trimmed and lower-cased, null as '(none)'.
+    split: SQL expression over id; source: column, trimmed and lower-cased, null as '(none)'. Pairs of ids are counted
+    by their classes, without being made.
     """
-    found = overlapping_ids(records, held, **more)
-    per_id = found.groupBy(F.col("held_id").alias("id")).agg(F.count("*").alias("pairs"))
+    found, members = overlapping_texts(records, held, **more)
+    copies = members.where("not held").groupBy(F.col("h").alias("train")).agg(F.count("*").alias("copies"))
+    per_class = found.join(copies, "train").groupBy(F.col("held").alias("h")).agg(F.sum("copies").alias("pairs"))
+    per_id = members.where("held").select("id", "h").join(per_class, "h").select("id", "pairs")
     names = records.where("id is not null").groupBy("id").agg(F.max(F.lower(F.trim(F.col(source)))).alias("source"))
     joined = per_id.join(names, "id").select(F.expr(split).alias("split"), F.coalesce("source", F.lit("(none)")).alias("source"), "pairs")
     return joined.groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("ids"))

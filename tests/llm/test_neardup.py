@@ -85,7 +85,7 @@ def test_groups_of_multisets_and_nothing(spark):
 def test_overlaps(spark, seed, size, least, shard):
     rows = collection(seed)
     held = "case substring_index(id, '-', 1) when 'train' then false when 'valid' then true when 'test' then true end"
-    got = overlap.overlapping_ids(spark.createDataFrame(rows, SCHEMA).repartition(3), held, size=size, least=least, shard_words=shard).collect()
+    got = overlap.overlapping_ids(spark.createDataFrame(rows, SCHEMA).repartition(3), held, size=size, least=least, shard_words=shard, block_bytes=20_000).collect()
     texts = {i: grams(t, size) for i, t, *_ in rows if i and t}
     want = {(a, b) for a in texts for b in texts if a.startswith("train") and b[:4] in ("vali", "test") and sim(texts[a], texts[b]) >= least}
     assert {(r.train_id, r.held_id) for r in got} == want and len(got) == len(want)
@@ -100,6 +100,15 @@ def test_overlap_report(spark):
     report = overlap.overlap_report(df, held, "substring_index(id, '-', 1)", "source", size=3, least=0.7).collect()
     assert sum(r.pairs for r in report) == pairs.count() and {r.source for r in report} <= {"a", "(none)"}
     assert overlap.overlapping_ids(df.limit(0), held).count() == 0
+    assert overlap.overlap_report(df.limit(0), held, "substring_index(id, '-', 1)", "source").count() == 0
+
+
+def test_hot_class_of_overlaps(spark):
+    """A text that many ids of both parts have is several keys, and loses no pair."""
+    pairs = spark.createDataFrame([(1, 2, 1.0), (3, 4, 0.8)], "train long, held long, similarity double")
+    members = spark.createDataFrame([(f"t{i}", 1) for i in range(40)] + [("u", 3)], "id string, h long")
+    got = overlap._spread(pairs, members, "train", 7).collect()
+    assert {(r.train_id, r.held) for r in got} == {(f"t{i}", 2) for i in range(40)} | {("u", 4)} and len(got) == 41
 
 
 @pytest.mark.parametrize("small", [10**6, 0])
@@ -142,14 +151,35 @@ def test_signatures_are_unbiased():
 def test_full_text_index():
     r = random.Random(2)
     docs = [np.array([r.randrange(6) for _ in range(r.randint(0, 30))], np.uint64) for _ in range(20)]
-    index = fmindex.FMIndex(docs)
+    built = fmindex.FMIndex(docs)
+    index = fmindex.FMIndex.load(built.dump())
+    assert all((index.document(i) == d).all() for i, d in enumerate(docs))
     for k in (1, 2, 3, 5):
         pattern = np.array([[r.randrange(7) for _ in range(k)] for _ in range(60)], np.uint64)
         low, high = index.search(index.symbols(pattern.ravel()).reshape(-1, k))
         for p, lo, hi in zip(pattern, low, high):
             want = sorted((i, j) for i, d in enumerate(docs) for j in range(len(d) - k + 1) if (d[j : j + k] == p).all())
-            places = index.rows[lo:hi]
-            assert sorted((int(index.owner[x]), int(x - index.start[index.owner[x]])) for x in places) == want
+            places = index.locate(np.arange(lo, hi))
+            assert sorted((int(d), int(x - index.start[d])) for x, d in zip(places, index.owner(places))) == want
+    empty = fmindex.FMIndex.load(fmindex.FMIndex([]).dump())
+    assert [x.tolist() for x in empty.search(empty.symbols(np.array([1, 2], np.uint64)).reshape(1, 2))] == [[0], [0]]
+
+
+def test_index_is_compressed():
+    r = random.Random(4)
+    docs = [np.array([hash(w) for w in story(r, 150, 900).split()], np.int64).view(np.uint64) for _ in range(300)]
+    docs += [d.copy() for d in docs]
+    assert len(fmindex.FMIndex(docs).dump()) < 3 * sum(map(len, docs))
+
+
+def test_overlaps_come_from_backward_search(monkeypatch):
+    texts = [story(random.Random(i)) for i in range(20)]
+    held = [(i, len(grams(t, 3)), " ".join(t.lower().replace(",", "").replace(".", "").split())) for i, t in enumerate(texts)]
+    shard = overlap.Shard(overlap.Shard.dump(held), 3, 0.7, 0.06)
+    train = [(100 + h, w, n) for h, n, w in held]
+    assert {(a, b) for a, b, *_ in shard.search(train)} >= {(100 + i, i) for i in range(20)}
+    monkeypatch.setattr(fmindex.FMIndex, "search", lambda self, p: (np.zeros(len(p), np.int64),) * 2)
+    assert list(shard.search(train)) == []
 
 
 def test_components(spark):
