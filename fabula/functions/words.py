@@ -83,8 +83,9 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def flat_shingles(texts: list[str | None], size: int, bits: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, shingle hash of `bits` bits) of every distinct shingle, sorted by both.
+def flat_shingles(texts: list[str | None], size: int, bits: int = 48, counted: bool = False) -> tuple[np.ndarray, ...]:
+    """(document number, shingle hash of `bits` bits) of every distinct shingle, sorted by both; counted: and how often
+    it stands in the document.
 
     At most 2**(64 - bits) texts at a time.
     """
@@ -97,8 +98,11 @@ def flat_shingles(texts: list[str | None], size: int, bits: int = 48) -> tuple[n
     ends = np.repeat(np.cumsum(lengths), lengths)[: len(hashes)]
     docs = np.repeat(np.arange(len(lengths)), lengths)[: len(hashes)]
     inside = np.arange(len(hashes)) + size <= ends
-    packed = distinct((docs[inside].astype(np.uint64) << _U(bits)) | (hashes[inside] >> _U(64 - bits)))
-    return (packed >> _U(bits)).astype(np.int64), packed & _U((1 << bits) - 1)
+    packed = np.sort((docs[inside].astype(np.uint64) << _U(bits)) | (hashes[inside] >> _U(64 - bits)))
+    first = np.nonzero(np.append(True, packed[1:] != packed[:-1])[: len(packed)])[0]
+    one = packed[first]
+    found = (one >> _U(bits)).astype(np.int64), one & _U((1 << bits) - 1)
+    return (*found, np.diff(np.append(first, len(packed)))) if counted else found
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
