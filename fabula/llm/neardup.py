@@ -1,16 +1,19 @@
 """Groups of near-same records (problem 4): BagMinHash, banding, verification, connected components.
 
-1. A text's class is the hash of its raw text; every row is signed, but copies within a task are signed once.
+1. A text is the multiset of its shingles, weighted by their frequency. Its class is the hash of its raw text; every
+   row is signed, but copies within a task are signed once.
 2. A task buckets its documents by band key and sends every entry, in blobs of sorted keys, to the task that owns the
-   key. Entries that differ only in copies are one.
+   key. Entries that differ only in copies are one. The signature of a multiset holds that of its set (its first
+   interval), so where texts are to be linked by their sets, bands in which the two differ are keyed by both.
 3. The owner of a bucket of up to `whole` classes pairs all of them; a 128-bit sketch that travels with the entries
    drops pairs that are far apart (below). A larger bucket is first reduced to stars around its smallest and its
    greatest class, and its entries are kept.
-4. The pairs are verified on their exact shingles, and the verified links are merged into components.
+4. The pairs are verified on their exact shingles: the overlap of their multisets and that of their sets are counted,
+   and one of them, as asked, decides. The verified links are merged into components.
 5. A kept bucket that now lies in one component needs nothing more, which is so for copies and small edits. The others
-   are searched exactly: all links between their classes that join components are found through the rarest shingles of
-   the smaller text (a pair that reaches the bound shares one of them). So a hot group of texts that share boilerplate
-   without being alike loses no link to its size; its shared shingles are never looked up.
+   are searched exactly, block by block: all links between their classes that join components are found through the
+   rarest shingles of the smaller text (a pair that reaches the bound shares one of them). So a hot group of texts that
+   share boilerplate without being alike loses no link to its size, and no task holds more than two blocks of it.
 
 Recall of a pair of similarity s with b bands of r rows: 1 - (1 - s**r)**b. With r = 4 and b = 64 it is 0.998 at
 0.55 and above 0.9999 at 0.6; the sketch loses less than 2 in 100,000 of such pairs.
@@ -25,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.functions.words import flat_shingles, jaccard, mix
-from fabula.llm.bagminhash import band_keys, bit_sketch, signatures
+from fabula.functions.words import flat_shingles, mix
+from fabula.llm.bagminhash import bag_signatures, band_keys, bit_sketch, set_signatures
 from fabula.llm.components import components
 from fabula.session import materialize
 
@@ -82,38 +85,40 @@ def _pairs_of(pairs: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return np.unique(both, axis=0) if len(both) else both
 
 
-def _sign(size: int, bands: int, rows: int, parts: int, weighted: bool, flush: int):
+def _sign(size: int, bands: int, rows: int, parts: int, multisets: bool, flush: int):
     """Rows (h, text) to blobs for the owners of key ranges."""
     registers = bands * rows
 
     def work(texts: dict[int, str]) -> Iterator[pa.RecordBatch]:
         cls = np.fromiter(texts, np.int64, len(texts))
         bodies = list(texts.values())
-        keys, sketches, owners = [], [], []
+        keys, sketches, owners, places = [], [], [], []
         docs, grams, counts = [], [], []
         for i in range(0, len(bodies), 4096):
-            if weighted:
-                d, g, w = _bag(bodies[i : i + 4096], size)
-            else:
-                d, g = flat_shingles(bodies[i : i + 4096], size)
-                w = np.ones(len(d), np.int64)
+            d, g, w = flat_shingles(bodies[i : i + 4096], size, counted=True)
             docs.append(d + i), grams.append(g), counts.append(w)
         doc, gram, count = np.concatenate(docs), np.concatenate(grams), np.concatenate(counts)
         have, starts, lengths = np.unique(doc, return_index=True, return_counts=True)
+        done = 0
         for block in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(have) // 256)):
             if not len(block):
                 continue
             take = np.concatenate([np.arange(starts[j], starts[j] + lengths[j]) for j in block])
             local = np.repeat(np.arange(len(block)), lengths[block])
-            s = signatures(local, gram[take], count[take], len(block), registers)
-            keys.append(band_keys(s, rows)), sketches.append(bit_sketch(s)), owners.append(have[block])
+            plain = set_signatures(local, gram[take], len(block), registers)
+            bag = bag_signatures(plain, local, gram[take], count[take])
+            here, mine = np.broadcast_to(np.arange(done, done + len(block))[:, None], (len(block), bands)), band_keys(bag, rows)
+            keys.append(mine.ravel()), places.append(here.ravel())
+            if not multisets:
+                others = band_keys(plain, rows)
+                keys.append(others[others != mine]), places.append(here[others != mine])
+            sketches.append(bit_sketch(bag if multisets else plain)), owners.append(have[block])
+            done += len(block)
         if not keys:
             return
         owner = np.concatenate(owners)
         sketch = np.concatenate(sketches)
-        key = np.concatenate(keys)
-        who = np.repeat(np.arange(len(owner)), bands)
-        key = key.ravel()
+        key, who = np.concatenate(keys), np.concatenate(places)
         mine = cls[owner]
         out = []
         part = (key >> _U(20)) % _U(parts)
@@ -142,17 +147,6 @@ def _sign(size: int, bands: int, rows: int, parts: int, weighted: bool, flush: i
     return run
 
 
-def _bag(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As flat_shingles, with the number of times each shingle occurs."""
-    from fabula.functions.words import hash_words, shingle_hashes, split_words
-
-    docs, grams, counts = [], [], []
-    for i, text in enumerate(texts):
-        g, n = np.unique(shingle_hashes(hash_words(split_words(text)), size) >> _U(16), return_counts=True)
-        docs.append(np.full(len(g), i)), grams.append(g), counts.append(n)
-    return np.concatenate(docs), np.concatenate(grams), np.concatenate(counts)
-
-
 def _squeeze(key: np.ndarray) -> bytes:
     """The low 40 bits of keys whose upper bits choose the part."""
     raw = (key ^ (key >> _U(24))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
@@ -203,57 +197,90 @@ def _found_batch(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=["bucket", "a", "b"])
 
 
-def _search(size: int, least: float):
-    """The rows (bucket, a, label, ta) of one bucket to links (a, b, similarity) that join its labels; every two classes
-    that reach `least` are connected by the links and labels afterwards."""
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+def _search(size: int, least: float, multisets: bool):
+    """The rows (bucket, block, other, own, a, label, ta) of two blocks of a bucket to links that join its labels; every
+    two classes that reach `least`, one of each block, are connected by the links and labels afterwards."""
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("overlap", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
         h, texts = table.column("a").to_numpy(), table.column("ta").to_pylist()
-        grams = [flat_shingles([t], size)[1] for t in texts]
+        own, two = table.column("own").to_numpy(), table.column("block")[0].as_py() != table.column("other")[0].as_py()
+        doc, gram, times = flat_shingles(texts, size, counted=True)
         label = table.column("label").to_numpy().copy()
-        order = sorted(range(len(grams)), key=lambda i: (len(grams[i]), h[i]))
-        h, label, grams = h[order], label[order], [np.unique(grams[i]) for i in order]
-        lengths = np.array([len(g) for g in grams])
-        _, gram, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        cut = np.cumsum(lengths)[:-1]
-        coded = np.split(gram, cut)
-        place = np.repeat(np.arange(len(grams)), lengths)[np.argsort(gram, kind="stable")]
-        begin = np.append(0, np.cumsum(count))
+        lengths = np.bincount(doc, minlength=len(texts))
+        _, gram, count = np.unique(gram, return_inverse=True, return_counts=True)
+        begins = np.cumsum(lengths) - lengths
+        place, begin = doc[np.argsort(gram, kind="stable")], np.append(0, np.cumsum(count))
+        order = np.lexsort((h, lengths))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         found = []
-        for i, codes in enumerate(coded):
+        for i in order.tolist():
             if (label == label[0]).all():
                 break
+            codes = gram[begins[i] : begins[i] + lengths[i]]
+            if not len(codes):
+                continue
             # a partner of at least this size shares 2 s / (1 + s) of the shingles, so one of the rarest of the others
             need = int(np.ceil(2 * least / (1 + least) * len(codes) - 1e-9))
+            if multisets:  # frequencies may make up for missing shingles, so each shingle may be the only common one
+                need = 1
             rare = codes[np.argsort(count[codes], kind="stable")][: len(codes) - need + 1]
-            near = np.unique(np.concatenate([place[begin[g] : begin[g + 1]] for g in rare])) if len(rare) else rare
-            for j in near[(near > i) & (label[near] != label[i])] if len(near) else ():
-                if label[j] != label[i] and lengths[i] >= least * lengths[j] and (s := jaccard(grams[i], grams[j])) >= least:
-                    found.append((min(h[i], h[j]), max(h[i], h[j]), s))
+            near = np.unique(np.concatenate([place[begin[g] : begin[g + 1]] for g in rare]))
+            near = near[(rank[near] > rank[i]) & (label[near] != label[i])]
+            if two:
+                near = near[own[near] != own[i]]
+            if not multisets:
+                near = near[lengths[i] >= least * lengths[near]]
+            if not len(near):
+                continue
+            bag, set_ = overlaps(np.stack([np.zeros(len(near), np.int64), np.arange(1, len(near) + 1)], 1), [texts[i], *(texts[j] for j in near.tolist())], size)
+            for j, s, o in zip(near.tolist(), (bag if multisets else set_).tolist(), bag.tolist()):
+                if s >= least and label[j] != label[i]:
+                    found.append((min(h[i], h[j]), max(h[i], h[j]), s, o))
                     label[label == label[j]] = label[i]
         return pa.Table.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds.types)], schema=kinds)
 
     return run
 
 
-def _verify(size: int, least: float):
-    """(a, b, ta, tb) to (a, b, similarity) of pairs that reach `least`."""
+def overlaps(pairs: np.ndarray, texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(overlap of the multisets, overlap of the sets) of the shingles of pairs of texts, given by their numbers: the
+    sum of the smaller frequencies by that of the greater ones, and the number of common shingles by that of all."""
+    doc, gram, count = flat_shingles(texts, size, counted=True)
+    begin = np.searchsorted(doc, np.arange(len(texts) + 1))
+    kinds, total = np.diff(begin), np.bincount(doc, count, len(texts))
+    set_, bag = np.zeros(len(pairs)), np.zeros(len(pairs))
+    for lo in range(0, len(pairs), 4096):
+        some = pairs[lo : lo + 4096].ravel()
+        n = kinds[some]
+        at = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = (np.repeat(np.arange(len(some)) // 2, n).astype(_U) << _U(48)) | gram[at]
+        by = np.argsort(key, kind="stable")
+        key, times = key[by], count[at][by]
+        same = np.nonzero(key[1:] == key[:-1])[0]
+        pair = (key[same] >> _U(48)).astype(np.int64)
+        m = len(some) // 2
+        set_[lo : lo + m] = np.bincount(pair, minlength=m)
+        bag[lo : lo + m] = np.bincount(pair, np.minimum(times[same], times[same + 1]), m)
+    either = np.maximum(kinds[pairs].sum(1) - set_, 1)
+    return bag / np.maximum(total[pairs].sum(1) - bag, 1), set_ / either
+
+
+def _verify(size: int, least: float, multisets: bool):
+    """(a, b, ta, tb) to (a, b, similarity, overlap) of pairs that reach `least`: similarity is that of their sets, or
+    of their multisets as asked, overlap that of their multisets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            cache: dict[int, np.ndarray] = {}
-
-            def grams(h: int, text: str) -> np.ndarray:
-                if h not in cache:
-                    cache[h] = flat_shingles([text], size)[1]
-                return cache[h]
-
-            s = np.array([jaccard(grams(i, x), grams(j, y)) for i, j, x, y in zip(a.tolist(), b.tolist(), ta, tb)], float)
+            texts = dict(zip(a.tolist(), batch.column("ta").to_pylist())) | dict(zip(b.tolist(), batch.column("tb").to_pylist()))
+            number = {h: i for i, h in enumerate(texts)}
+            pairs = np.array([[number[i], number[j]] for i, j in zip(a.tolist(), b.tolist())], np.int64).reshape(-1, 2)
+            bag, set_ = overlaps(pairs, list(texts.values()), size)
+            s = bag if multisets else set_
             ok = s >= least
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64()), pa.array(s[ok], pa.float64())], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64()), pa.array(s[ok], pa.float64()), pa.array(bag[ok], pa.float64())], names=["a", "b", "similarity", "overlap"])
 
     return run
 
@@ -266,14 +293,16 @@ def text_members(records: DataFrame, id_column: str, text_column: str, version:
     return rows.groupBy("id").agg(F.max("c").alias("c")).select("id", F.col("c.h").alias("h"))
 
 
-def near_duplicate_links(records: DataFrame, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, bands: int = 64, rows: int = 4, weighted: bool = False, flush: int = 20_000, small_ids: int = 1_000_000, whole: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, members, copied): a, b, similarity of verified pairs of text classes; id, h of all ids; h of classes of
-    two or more ids whose text has shingles.
+def near_duplicate_links(records: DataFrame, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, bands: int = 64, rows: int = 4, multisets: bool = False, flush: int = 20_000, most_bytes: int = 64_000_000, whole: int = 64, block: int = 5_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, members, copied): a, b, similarity, overlap of verified pairs of text classes; id, h of all ids; h of
+    classes of two or more ids whose text has shingles.
 
-    size: words in a shingle; least: the similarity from which texts are linked; bands, rows: of the signature;
-    weighted: candidates by multiset instead of set similarity; whole: classes up to which a bucket is paired at once.
-    Links are not all pairs: classes that are alike are connected through them, directly or through others. A text of fewer than `size` words has no shingles
-    and no link. small_ids: number of ids up to which the ids to verify are broadcast (at about 40 bytes each).
+    size: words in a shingle; least: the similarity from which texts are linked; multisets: it is that of the
+    multisets of shingles, otherwise that of the sets; bands, rows: of the signature; whole: classes up to which a
+    bucket is paired at once; block: classes of a larger one that are searched against as many others in one task;
+    most_bytes: size up to which the ids of texts to verify, as measured, are broadcast. Links are not all pairs:
+    classes that are alike are connected through them, directly or through others. A text of fewer than `size` words
+    has no shingles and no link.
     """
     spark = records.sparkSession
     members = materialize(text_members(records, id_column, text_column, version), "members")
@@ -283,25 +312,29 @@ def near_duplicate_links(records: DataFrame, id_column: str = "id", text_column:
     p = (1 - least) / 2
     most = int(128 * p + 5 * (128 * p * (1 - p)) ** 0.5)
     texts = records.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.xxhash64(F.col(text_column)).alias("h"), F.col(text_column).alias("text"))
-    blobs = texts.mapInArrow(_sign(size, bands, rows, parts, weighted, flush), _BLOB)
+    blobs = texts.mapInArrow(_sign(size, bands, rows, parts, multisets, flush), _BLOB)
     placed = blobs.repartitionById(parts, F.pmod(F.col("part"), F.lit(parts)))
     found = materialize(placed.mapInArrow(_collide(most, whole), "bucket long, " + _PAIR).distinct(), "pairs")
     pairs, large = found.where("bucket is null").select("a", "b"), found.where("bucket is not null").select("bucket", "a")
     wanted = found.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct().withColumn("paired", F.lit(True))
     classes = members.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(wanted, "h", "left").where("paired or n > 1")
     chosen = materialize(classes.select("h", "id", "n"), "chosen")
-    ids = chosen if chosen.count() > small_ids else F.broadcast(chosen)
+    in_memory = chosen.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 64).alias("s")).first().s or 0
+    ids = chosen if in_memory > most_bytes else F.broadcast(chosen)
     with_text = records.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ids, "id").where(F.xxhash64("text") == F.col("h"))
     bodies = materialize(with_text.select("h", "n", "text").dropDuplicates(["h"]), "bodies")
     left, right = bodies.select(F.col("h").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("h").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    links = materialize(joined.mapInArrow(_verify(size, least), _PAIR + ", similarity double"), "links")
+    kind = _PAIR + ", similarity double, overlap double"
+    links = materialize(joined.mapInArrow(_verify(size, least, multisets), kind), "links")
     if not large.isEmpty():
         known = components(links.select("a", "b")).select(F.col("node").alias("a"), "label")
         entries = large.join(known, "a", "left").select("bucket", "a", F.coalesce("label", "a").alias("label"))
-        mixed = entries.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        members_of = entries.join(mixed, "bucket").join(left, "a").select("bucket", "a", "label", "ta")
-        more = members_of.groupBy("bucket").applyInArrow(_search(size, least), _PAIR + ", similarity double")
+        mixed = entries.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+        placed = entries.join(mixed.where("low <> high").select("bucket", "blocks"), "bucket").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        groups = placed.join(left, "a").select("bucket", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"), "own", "a", "label", "ta")
+        more = groups.groupBy("bucket", "block", "other").applyInArrow(_search(size, least, multisets), kind)
         links = materialize(links.unionByName(more), "links")
     copied = bodies.where("n > 1").select("h", "text").mapInArrow(_long_enough(size), "h long")
     return links, members, copied

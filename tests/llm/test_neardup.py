@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,12 +48,20 @@ def sim(a, b):
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def brute_groups(rows, size, least):
+def bag_sim(a, b):
+    """Similarity of the multisets of all runs of three words."""
+    x, y = (Counter(zip(*(split_words(t)[i:] for i in range(3)))) for t in (a, b))
+    return (x & y).total() / (x | y).total() if x and y else 0.0
+
+
+def brute_groups(rows, size, least, measure=None):
     texts = {i: grams(t, size) for i, t, *_ in rows if i and t is not None}
     label = {i: i for i in texts}
     ids = sorted(texts)
     changed = True
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sim(texts[a], texts[b]) >= least]
+    if measure:
+        texts = {i: t for i, t, *_ in rows if i and t is not None}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (measure or sim)(texts[a], texts[b]) >= least]
     while changed:
         changed = False
         for a, b in links:
@@ -72,15 +81,38 @@ def test_groups(spark, seed, size, least):
     assert {(r.id, r.group_id) for r in got.collect()} == want
 
 
-def test_groups_of_multisets_and_nothing(spark):
-    rows = collection(4, 60)
+def looping(r, n):
+    """Texts that repeat a passage, more or less often; between two of them sets and multisets differ."""
+    out = []
+    for i in range(n):
+        head, loop = story(r, 40), story(r, 12)
+        out += [head + (" " + loop) * k for k in r.sample([1, 2, 6, 7, 30], 3)]
+    return [(f"train-5{i:04d}", t, "a", NOW, 1, "") for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("multisets", [False, True])
+def test_groups_of_multisets_and_sets(spark, multisets):
+    rows = looping(random.Random(8), 40) + collection(4, 60)
     df = spark.createDataFrame(rows, SCHEMA)
-    want = brute_groups([r for r in rows if r[0]], 3, 0.8)
-    got = {(r.id, r.group_id) for r in neardup.near_duplicate_groups(df, size=3, least=0.8, weighted=True, small_ids=0).collect()}
+    want = brute_groups([r for r in rows if r[0]], 3, 0.6, bag_sim if multisets else None)
+    got = {(r.id, r.group_id) for r in neardup.near_duplicate_groups(df, size=3, least=0.6, multisets=multisets, most_bytes=0).collect()}
     assert got == want
+
+
+def test_groups_of_nothing(spark):
+    df = spark.createDataFrame(collection(4, 3), SCHEMA)
     assert neardup.near_duplicate_groups(df.limit(0)).count() == 0
 
 
+def test_overlaps_of_sets_and_multisets():
+    r = random.Random(2)
+    texts = [t for _, t, *_ in looping(r, 6)] + ["", "one two"]
+    pairs = np.array([[i, j] for i in range(len(texts)) for j in range(i)])
+    bag, set_ = neardup.overlaps(pairs, texts, 3)
+    for (i, j), x, y in zip(pairs.tolist(), bag, set_):
+        assert x == pytest.approx(bag_sim(texts[i], texts[j])) and y == pytest.approx(sim(grams(texts[i], 3), grams(texts[j], 3)))
+
+
 @pytest.mark.parametrize("seed,size,least,shard", [(1, 3, 0.7, 10**6), (2, 3, 0.7, 500), (3, 5, 0.8, 2000)])
 def test_overlaps(spark, seed, size, least, shard):
     rows = collection(seed)
@@ -145,6 +177,9 @@ def test_signatures_are_unbiased():
         doc = np.repeat([0, 1], [len(a), len(b)])
         hashes = np.concatenate([a, b]) * np.uint64(0x9E3779B97F4A7C15)
         s = bagminhash.signatures(doc, hashes, np.concatenate([wa, wb]), 2, m)
+        plain = bagminhash.set_signatures(doc, hashes, 2, m)
+        assert weights or (plain == s).all()
+        assert (s <= plain).all()
         assert bagminhash.similarity(s[0], s[1]) == pytest.approx(exact, abs=4 * (exact * (1 - exact) / m) ** 0.5)
 
 
@@ -208,8 +243,8 @@ def test_hot_group(spark):
     assert sorted(g.n for g in groups) == [300, 300]
 
 
-@pytest.mark.parametrize("whole", [8, 64])
-def test_links_inside_a_hot_template(spark, whole):
+@pytest.mark.parametrize("whole,block", [(8, 5000), (64, 90)])
+def test_links_inside_a_hot_template(spark, whole, block):
     """A third of all rows share a template, unlike one another, but for some pairs that are alike."""
     r = random.Random(11)
     template = story(r, 50, 4000)
@@ -219,7 +254,7 @@ def test_links_inside_a_hot_template(spark, whole):
         hot[k + 1] = " ".join(w[:60]) + " " + story(r, 20, 40_000)
     texts = hot + [story(r) for _ in range(1000)]
     rows = [(f"train-{i:05d}", t, "a", NOW, 1, "") for i, t in enumerate(texts)]
-    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(6), size=3, least=0.5, flush=500, whole=whole)
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(6), size=3, least=0.5, flush=500, whole=whole, block=block)
     want = brute_groups(rows, 3, 0.5)
     assert len(want) == 400 and {(x.id, x.group_id) for x in got.collect()} == want
 
