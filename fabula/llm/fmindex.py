@@ -1,12 +1,11 @@
-"""A compressed full-text index of word sequences: Burrows-Wheeler transform, backward search, sampled places.
+"""A compressed full-text index of word sequences: Burrows-Wheeler transform, backward search, document array.
 
 Rows are the suffixes of all documents in order; each document is followed by an end, the smallest symbol. What is
 stored is the transform alone (the symbol before each row), as compressed bytes with the vocabulary and the lengths of
-the documents: about a byte and a half a word. Loaded, the index holds for each symbol the rows that it precedes, one
-ascending list of 32-bit numbers, of which every 16th entry is a sample that a search begins at. A step of backward
-search from a range of rows to the range of those with one more word in front is a rank in that list; it is made for
-a whole batch of patterns at once. The place of a row is found by walking back to one of the sampled places, every 8th
-word of a document.
+the documents: a byte or two a word. Loaded, the index holds for each symbol the rows that it precedes, one ascending
+list of 32-bit numbers, of which every 16th entry is a sample that a search begins at. A step of backward search from a
+range of rows to the range of those with one more word in front is a rank in that list; it is made for a whole batch of
+patterns at once. The documents of the rows and the text are won back by walking all documents from their ends.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-_EVERY, _PLACES = 16, 8
+_EVERY = 16
 
 
 class FMIndex:
@@ -44,27 +43,19 @@ class FMIndex:
         self._unroll()
 
     def _unroll(self) -> None:
-        """The text, and the sampled places, by walking all documents back from their ends at once."""
+        """The text, and the document of each row, by walking all documents back from their ends at once."""
         back = np.empty(self.n, np.int32)
         back[self.rows] = np.arange(self.n, dtype=np.int32)
-        self.back = back
-        self.text = np.zeros(self.n, np.int32)
+        self.text, self.owner = np.zeros(self.n, np.int32), np.empty(self.n, np.int32)
         doc = np.argsort(-self.length, kind="stable")
         row = doc.copy()  # the ends are ordered by their places
         left = self.length[doc]
-        rows, places = [row[left % _PLACES == 0]], [(self.start[doc] + left)[left % _PLACES == 0]]
-        while len(doc) and left[0]:
-            n = np.searchsorted(-left, 0)  # documents with words left come first
-            doc, row, left = doc[:n], row[:n], left[:n] - 1
-            place = self.start[doc] + left
-            self.text[place] = self.before[row]
+        self.owner[row] = doc
+        while len(doc := doc[: (n := np.searchsorted(-left, 0))]):  # documents with words left come first
+            row, left = row[:n], left[:n] - 1
+            self.text[self.start[doc] + left] = self.before[row]
             row = back[row]
-            some = left % _PLACES == 0
-            rows.append(row[some])
-            places.append(place[some])
-        rows, places = np.concatenate(rows), np.concatenate(places)
-        by = np.argsort(rows)
-        self.known_rows, self.known_places = rows[by].astype(np.int32), places[by].astype(np.int32)
+            self.owner[row] = doc
 
     def dump(self) -> bytes:
         """The stored form."""
@@ -118,52 +109,41 @@ class FMIndex:
         low[live], high[live] = a, b
         return low, high
 
-    def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Places of rows in the text."""
-        place, row, steps = np.empty(len(rows), np.int64), rows.astype(np.int64), 0
-        left = np.arange(len(rows))
-        while len(left):
-            at = np.searchsorted(self.known_rows, row)
-            at[at == len(self.known_rows)] = 0
-            here = self.known_rows[at] == row
-            place[left[here]] = self.known_places[at[here]] + steps
-            left, row = left[~here], self.back[row[~here]].astype(np.int64)
-            steps += 1
-        return place
-
-    def owner(self, places: np.ndarray) -> np.ndarray:
-        """Documents of places."""
-        return np.searchsorted(self.start, places, "right") - 1
-
     def document(self, i: int) -> np.ndarray:
         """The word hashes of a document."""
         return self.vocabulary[self.text[self.start[i] : self.start[i] + self.length[i]] - 1]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by prefix doubling; ends (0) are ordered by their places, so every suffix is unique."""
+    """Order of the suffixes by prefix doubling; ends (0) are ordered by their places, so every suffix is unique.
+
+    The first order is that of as many symbols as fit into 62 bits; where an end is among these, place decides.
+    """
     n = len(text)
     if not n:
         return np.empty(0, np.int64)
-    ends = text == 0
-    rank = text + int(ends.sum())
-    rank[ends] = np.arange(int(ends.sum()))
-    step = 1
-    order = np.argsort(rank, kind="stable")
-    ordered = rank[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
+    bits = max(1, int(text.max()).bit_length())
+    step = 62 // bits
+    head, open_end = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(step):
+        symbol = np.where(open_end, np.roll(text, -i), 0)
+        head = head << bits | symbol
+        open_end &= symbol > 0
+    tie = np.where(open_end, 0, np.arange(1, n + 1))
+    order = np.lexsort((tie, head))
+    ordered, tie = head[order], tie[order]
+    new = np.append(True, (ordered[1:] != ordered[:-1]) | (tie[1:] != tie[:-1]))
     rank = np.empty(n, np.int64)
     rank[order] = np.nonzero(new)[0][np.cumsum(new) - 1]
-    open_ = np.nonzero(~(new & np.append(new[1:], True)))[0]  # rows that share their rank with others
-    while len(open_):
-        suffix = order[open_]
-        head = rank[suffix]
-        tail = rank[(suffix + step) % n]
+    rows = np.nonzero(~(new & np.append(new[1:], True)))[0]  # rows that share their rank with others
+    while len(rows):
+        suffix = order[rows]
+        head, tail = rank[suffix], rank[(suffix + step) % n]
         by = np.lexsort((tail, head))
         suffix, head, tail = suffix[by], head[by], tail[by]
-        order[open_] = suffix
+        order[rows] = suffix
         new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
-        rank[suffix] = open_[np.nonzero(new)[0]][np.cumsum(new) - 1]
-        open_ = open_[~(new & np.append(new[1:], True))]
+        rank[suffix] = rows[np.nonzero(new)[0]][np.cumsum(new) - 1]
+        rows = rows[~(new & np.append(new[1:], True))]
         step *= 2
     return order

@@ -111,10 +111,10 @@ class Shard:
         d, low, width = d[some], low[some], width[some]
         if not len(d):
             return
-        one = np.unique(d * index.n + low, return_index=True)[1]  # equal shingles have equal rows
-        d, low, width = d[one], low[one], width[one]
-        order = np.lexsort((width, d))
+        order = np.lexsort((low, width, d))  # equal shingles have equal rows
         d, low, width = d[order], low[order], width[order]
+        one = np.append(True, (d[1:] != d[:-1]) | (low[1:] != low[:-1]))
+        d, low, width = d[one], low[one], width[one]
         found = np.bincount(d, minlength=len(train))
         # rank among all shingles of the text, those that occur nowhere in the index first
         rank = np.arange(len(d)) - np.repeat(np.cumsum(found) - found, found) + (total - found)[d]
@@ -137,14 +137,15 @@ class Shard:
     def _candidates(self, train, flat, begins, lengths, d, low, width, hits, total) -> Iterator[tuple]:
         index, size = self.index, self.size
         row = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        who, source = index.owner(index.locate(row)), np.repeat(np.arange(len(d)), width)
-        # a shingle counts once for an evaluation text, wherever it stands in it
-        single = np.unique(source * len(self.ids) + who)
-        who, source = single % len(self.ids), single // len(self.ids)
-        pair, n = np.unique(d[source].astype(np.int64) * len(self.ids) + who, return_counts=True)
-        a, b = pair // len(self.ids), pair % len(self.ids)
+        who, texts = index.owner[row].astype(np.int64), len(self.ids)
+        # a text that holds a shingle twice is met twice: that can only make more candidates
+        key = np.sort(np.repeat(d, width) * texts + who)
+        new = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+        n, key = np.diff(np.append(new, len(key))), key[new]
+        enough = n >= hits[key // texts]
+        a, b = key[enough] // texts, key[enough] % texts
         small, large = np.minimum(total[a], self.sizes[b]), np.maximum(total[a], self.sizes[b])
-        ok = (n >= hits[a]) & (small >= self.least * large - 1e-9)
+        ok = small >= self.least * large - 1e-9
         for i, j in zip(a[ok].tolist(), b[ok].tolist()):
             shared, covered, longest = common_runs(flat[begins[i] : begins[i] + lengths[i]], index.document(j), size)
             similarity = shared / (total[i] + self.sizes[j] - shared)
