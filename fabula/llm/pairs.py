@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.functions.text import render_prompt
 from fabula.functions.words import split_words
 
 DEFECTS = ("empty", "refusal", "prompt_copy", "other_language", "truncated")
@@ -61,7 +62,7 @@ def is_empty(story: str | None) -> bool:
 # --- quoted speech, sentences --------------------------------------------------------------------------------------
 
 # speech that is still open where the text breaks off is a character's too
-_QUOTED = re.compile(r"\"[^\"\n]{0,2000}\"|(?:^|(?<=\s))[\"“„«][^\"”“»\n]*\Z|[“”][^“”\n]{0,2000}”|„[^“”\n]{0,2000}[“”]|«[^»\n]{0,2000}»|‘[^’\n]{0,400}’(?=[\s,.;!?]|$)|(?:^|(?<=\s))'[^'\n]{2,400}'(?=[\s,.;!?]|$)|^[ \t]*[—–][^\n]*", re.M)
+_QUOTED = re.compile(r"\"[^\"\n]*\"|(?:^|(?<=\s))[\"“„«][^\"”“»\n]*\Z|[“”][^“”\n]*”|„[^„“”\n]*[“”]|«[^«»\n]*»|‘[^‘’\n]*’(?=[\s,.;!?]|$)|(?:^|(?<=\s))'[^'\n]{2,}'(?=[\s,.;!?]|$)|^[ \t]*[—–][^\n]*", re.M)
 _SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*")
 
 # --- refusal -------------------------------------------------------------------------------------------------------
@@ -87,6 +88,13 @@ _REFUSALS = [
         (r"\b(?:against|outside|beyond|under|violates?) (?:the rules|my rules|my guidelines|our guidelines|the guidelines|my policy|our policy|content policy|what i (?:do|can|am|may)|my (?:abilities|limits|scope))\b", "the rules|my rules|guidelines|policy|what i |my abilities|my limits|my scope"),
         (r"\b(?:let's|let us|please|could we|can we|shall we) (?:pick|choose|try|talk about|use) (?:something else|(?:a|an|some)?(?:other|another|different| ) ?(?:different |other )?(?:topic|theme|prompt|words|story))\b.*(?:not suitable|not right|not appropriate|instead|this one|can't|cannot)", "not suitable|not right|not appropriate|instead|this one|can't|cannot"),
         (r"\bas an? (?:ai|artificial|language model|assistant|writing assistant|automated|large language)\b", "as a ai|as an ai|artificial|language model|assistant|automated|large language"),
+        (r"\b(?:stor(?:y|ies)|topics?|themes?|subjects?|requests?|prompts?|texts?|writing)\b.{0,40}\b(?:is|are|remains?|stays?) (?:strictly |simply |always )?(?:off[- ]limits|out of bounds|out of the question)\b", "off limits|off-limits|out of bounds|out of the question"),
+        (r"\b(?:this|that|it|your|the)(?: \w+){0,2}? is (?:one|something|a (?:topic|theme|subject|story|request|prompt)) (?:that )?(?:i|we) (?:will|must|shall|would rather|have to|need to|prefer to|am going to) (?:leave|skip|pass|avoid|set aside|stay away|decline|steer clear)", "leave|skip|pass|avoid|set aside|stay away|declin|steer clear"),
+        (rf"\b(?:i|we) (?:have to|must|will|shall|need to|would rather|prefer to|am going to) (?:leave|let) (?:this|that|your|the) {_THING}(?: \w+){{0,2}}? (?:unanswered|alone|aside|unwritten|untold|unfinished)\b", "unanswered|alone|aside|unwritten|untold|unfinished"),
+        (r"^(?:please |kindly )?(?:try|pick|choose|send|give|offer|suggest)(?: me| us)? (?:a |an |some )?(?:different|another|new|other) (?:prompt|topic|theme|request|subject|idea)\b", "different|another|new|other"),
+        (r"\b(?:non posso|non riesco a|non voglio|non potrò|mi dispiace|mi rifiuto di|preferisco non|devo rifiutare|non sono in grado di)\b.{0,60}(?:scrivere|aiutar|continuare|rispondere|raccontare|storia|racconto|testo|richiesta)", "non posso|non riesco|non voglio|non potrò|mi dispiace|mi rifiuto|preferisco non|devo rifiutare|non sono in grado"),
+        (r"\b(?:não posso|não consigo|não vou|lamento|recuso-me a|prefiro não|devo recusar)\b.{0,60}(?:escrever|ajudar|continuar|responder|contar|história|conto|texto|pedido)", "não posso|não consigo|não vou|lamento|recuso-me|prefiro não|devo recusar"),
+        (r"\bik (?:kan|mag|wil|zal|moet|ga)\b.{0,60}\b(?:niet|geen|weigeren|helaas)\b.{0,40}(?:schrijven|helpen|vertellen|voortzetten|verhaal|verzoek|tekst)", "niet|geen|weigeren|helaas"),
         (r"\bthere is no (?:text|story) to show\b|\bnot suitable for me\b", "no text|no story|not suitable"),
         (r"\bich (?:kann|darf|möchte|werde|muss)\b.{0,60}\b(?:nicht|ablehnen|leider)\b.{0,40}(?:schreiben|helfen|erfüllen|fortsetzen|erzählen|ablehnen|geschichte|anfrage|text|$)|\bkann ich (?:\w+ ){0,6}?(?:nicht|leider)\b.{0,40}(?:schreiben|helfen|erfüllen|fortsetzen|erzählen)", "nicht|ablehnen|leider"),
         (r"\bje (?:ne (?:peux|puis|veux) pas|regrette|refuse|dois refuser|suis désolée?|préfère ne pas)\b.{0,60}(?:écrire|aider|continuer|répondre|raconter|histoire|texte|demande)", "peux pas|puis pas|veux pas|regrette|refuse|suis désolé|préfère ne pas"),
@@ -116,37 +124,45 @@ def is_refusal(story: str) -> bool:
 # --- prompt copy ---------------------------------------------------------------------------------------------------
 
 
-def render_prompt(summary: str | None, words: list | None, features: list | None, sentence: str | None) -> str:
-    """The prompt as it is shown to the model: labelled fields in fixed order, empty ones left out."""
-    w = ", ".join(x for x in words or [] if x)
-    f = ", ".join(x for x in features or [] if x)
-    lines = [f"Summary: {summary}" if summary else "", f"Words: {w}" if w else "", f"Features: {f}" if f else "", f"Random sentence: {sentence}" if sentence else "", "Story:"]
-    return "\n".join(x for x in lines if x)
+def _longest(text: list[str], source: list[str], free: list[bool], unused: list[bool], places: dict[tuple, list[int]], least: int) -> list[tuple[int, int, int]]:
+    """(length, place in text, place in source) of all longest matches of free places with unused ones."""
+    best, found = least, []
+    for i in range(len(text) - least + 1):
+        if not free[i]:
+            continue
+        for j in places.get(tuple(text[i : i + least]), ()):
+            n = 0
+            while i + n < len(text) and j + n < len(source) and free[i + n] and unused[j + n] and text[i + n] == source[j + n]:
+                n += 1
+            if n > best:
+                best, found = n, []
+            if n == best:
+                found.append((n, i, j))
+    return found
 
 
 def tile(text: list[str], source: list[str], least: int = 3) -> list[bool]:
-    """Greedy string tiling: the words of text that lie in a tile, a run of at least `least` words that source holds
-    too. Longest tiles are laid first; a place of source may serve several tiles, so that repetitions are found."""
+    """Greedy string tiling: the words of text that lie in a tile, a run of at least `least` words that source holds.
+
+    Again and again the longest matches of what is not marked yet are laid as tiles and marked on both sides. When none
+    is left, the marks of source are taken off and its words may be used once more, so that repetitions are found; a
+    short source counts from its own length on.
+    """
+    least = max(1, min(least, len(source)))
     places: dict[tuple, list[int]] = {}
     for j in range(len(source) - least + 1):
         places.setdefault(tuple(source[j : j + least]), []).append(j)
-    matches = []
-    for i in range(len(text) - least + 1):
-        best = 0
-        for j in places.get(tuple(text[i : i + least]), ()):
-            n = least
-            while i + n < len(text) and j + n < len(source) and text[i + n] == source[j + n]:
-                n += 1
-            best = max(best, n)
-        if best:
-            matches.append((-best, i))
-    covered = [False] * len(text)
-    for n, i in sorted(matches):
-        free = [k for k in range(i, i - n) if not covered[k]]
-        if len(free) >= least or len(free) == -n or free and (free[0] == i or free[-1] == i - n - 1):
-            for k in free:
-                covered[k] = True
-    return covered
+    free = [True] * len(text)
+    while True:
+        unused, laid = [True] * len(source), False
+        while found := _longest(text, source, free, unused, places, least):
+            for n, i, j in found:
+                if all(free[i : i + n]) and all(unused[j : j + n]):
+                    free[i : i + n] = [False] * n
+                    unused[j : j + n] = [False] * n
+                    laid = True
+        if not laid:
+            return [not f for f in free]
 
 
 def is_copy(words: list[str], prompt: Prompt, lead_in: int = 8, loose: float = 0.1) -> bool:
@@ -194,10 +210,17 @@ def language(words: list[str]) -> str | None:
     return max(hits, key=lambda k: (hits[k], k == "en", k)) if hits else None
 
 
+# the share of function words that a text of 8 words or more has at least, if it is in the language
+_LEAST_SHARE = 0.05
+
+
 def is_other_language(story: str, words: list[str], expected: str) -> bool:
-    """Most of the words are in sentences of another language than the expected one."""
+    """Most of the words are in sentences of another language than the expected one, known or not: a text with next to
+    none of its function words is not in it."""
     hits = Counter(filter(None, map(_WORD_LANG.get, words)))
     own = hits[expected]
+    if len(words) >= 8 and expected in _FUNCTION_WORDS and sum(expected in _OWNERS.get(w, ()) for w in words) < _LEAST_SHARE * len(words):
+        return True
     if sum(hits.values()) <= 1.25 * own and own > 2 and (story.isascii() or not _OTHER_SCRIPT.search(story)):
         return False
     same = other = 0
@@ -219,7 +242,9 @@ _CLOSING = re.compile(r"(?:(?<=[.!?…\"”»“’')\]])\s+|\s*\n\s*|^\s*)[\[(*
 _STOP = re.compile(r"[.!?…。！？][\])}\"”’'»“*_]*$")
 _ABBREVIATION = re.compile(r"(?:^|[\s(\"“])(?:mr|mrs|ms|dr|st|prof|e\.g|i\.e|vs|z\.b|bzw|sr|sra|mme)\.$", re.I)
 _LIST_MARK = re.compile(r"(?:^|\n)[ \t]*(?:\d{1,3}[.)]|[-*•+])[ \t]*$")
-_STRUCTURE = re.compile(r"```|[()\[\]{}\"“”„«»]|</?([a-zA-Z][a-zA-Z0-9]{0,10})[^<>]{0,80}>|\n\s*\n")
+_ITEM = "item"
+_STRUCTURE = re.compile(r"```|(?:^|\n)[ \t]*(?:\d{1,3}[.)]|[-*•+])(?=\s|\Z)|[()\[\]{}\"“”„«»]|</?([a-zA-Z][a-zA-Z0-9]{0,10})[^<>]{0,80}>|\n\s*\n")
+_QUOTES = ('"', "“", "„", "«", "»")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 # fixed values: tags that must be closed
 _TAGS = set("a b i u em strong span div ul ol table h1 h2 h3 h4 code pre blockquote center".split())
@@ -229,19 +254,28 @@ def unclosed(text: str) -> bool:
     """A pushdown parser: something is still open at the end of the text.
 
     Fences, brackets and tags stay open until they are closed; quotations too, except that one left open in an earlier
-    paragraph is taken for a stray mark. A closing mark without an opening one is passed over.
+    paragraph is taken for a stray mark. A list item is open until it has a word; what a new item finds open in the one
+    before, but for fences and tags, ends with it. A closing mark without an opening one is passed over.
     """
     stack: list[str] = []
+    began = 0
     for m in _STRUCTURE.finditer(text):
         mark = m[0]
+        if stack and stack[-1] == _ITEM and _LETTER.search(text, began, m.start()):
+            stack.pop()
         top = stack[-1] if stack else ""
         if top == "```":
             if mark == "```":
                 stack.pop()
         elif mark == "```":
             stack.append(mark)
+        elif mark.strip()[:1] in "-*•+0123456789" and mark.strip():
+            while stack and stack[-1] in (_ITEM, *_QUOTES, *_PAIRS.values()):
+                stack.pop()
+            stack.append(_ITEM)
+            began = m.end()
         elif mark[0] == "\n":
-            while stack and stack[-1] in '"“„«»':
+            while stack and stack[-1] in _QUOTES:
                 stack.pop()
         elif mark[0] == "<":
             name = m[1].lower()
@@ -282,7 +316,9 @@ def unclosed(text: str) -> bool:
                 stack.pop()
             elif top != "»":
                 stack.append(mark)
-    return bool(stack) and any(x != "»" for x in stack)
+    if stack and stack[-1] == _ITEM and _LETTER.search(text, began):
+        stack.pop()
+    return any(x != "»" for x in stack)
 
 
 def _bare(text: str, step: int = 400) -> str:
@@ -305,8 +341,9 @@ def is_truncated(story: str) -> bool:
         body = text
     else:
         body = _bare(text)
-        while (shorter := _CLOSING.sub("", body[-200:])) != body[-200:]:
-            body = _bare(body[:-200] + shorter)
+        # a formula has fewer than 200 characters; what may follow it has any number
+        while (shorter := _CLOSING.sub("", body[(cut := max(0, len(body.rstrip('])*_~"”-.!…')) - 200)) :])) != body[cut:]:
+            body = _bare(body[:cut] + shorter)
         if not body:
             return False
         if not _STOP.search(body[-12:]):
@@ -322,8 +359,8 @@ def is_truncated(story: str) -> bool:
 class Prompt:
     """What the tests need of a prompt."""
 
-    def __init__(self, summary: str | None, words: list | None, features: list | None, sentence: str | None):
-        self.words = split_words(render_prompt(summary, words, features, sentence))
+    def __init__(self, shown: str | None, summary: str | None, words: list | None, sentence: str | None):
+        self.words = split_words(shown)
         self.known = set(self.words)
         own = split_words(" ".join([summary or "", sentence or ""]))
         self.language = language(own) or language(split_words(" ".join(x for x in words or [] if x))) or "en"
@@ -358,7 +395,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (key, story) in enumerate(zip(ids, stories)):
             if (prompt := prompts.get(key)) is None:
                 if fields is None:
-                    fields = [get[c].to_pylist() for c in ("summary", "words", "features", "sentence")]
+                    fields = [get[c].to_pylist() for c in ("shown", "summary", "words", "sentence")]
                 if len(prompts) >= 10_000:
                     prompts.clear()
                 prompt = prompts[key] = Prompt(*(f[i] for f in fields))
@@ -373,17 +410,26 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([get["run_id"], get["id"], get["sample"], get["v"], pa.array(out, pa.string())], names=["run_id", "id", "sample", "v", "defect"])
 
 
-def judged_pairs(samples: DataFrame, prompts: DataFrame, small: int = 50_000) -> DataFrame:
+def judged_pairs(samples: DataFrame, prompts: DataFrame, small: int = 64_000_000, hot: int = 200_000) -> DataFrame:
     """run_id, id, sample, defect: one row per key of samples whose id has a prompt; defect is null for usable answers.
 
     Of rows with one key the last loaded counts (of equal ones the greatest defect); of several prompts with one id
     the greatest content. Keys with a null run_id or sample are keys like others; a null id has no prompt. Empty
-    tables give no rows. small: number of prompts up to which they are broadcast, at about a kilobyte each.
+    tables give no rows. small: characters of all prompts up to which they are broadcast; beyond it the join shuffles,
+    and the samples of an id with more than `hot` of them are spread over several keys.
     """
     fields = ["summary", "words", "features", "sentence"]
     once = prompts.where("id is not null").groupBy("id").agg(F.max(F.struct(*fields)).alias("p")).select("id", *(F.col(f"p.{f}").alias(f) for f in fields))
-    side = F.broadcast(once) if once.count() <= small else once
-    rows = samples.select("run_id", "id", "sample", "story", F.col("loaded_at").cast("timestamp").alias("v")).join(side, "id")
-    judged = rows.select("run_id", "id", "sample", "v", "story", *fields).mapInArrow(_judge, _OUT)
+    once = once.withColumn("shown", render_prompt())
+    rows = samples.select("run_id", "id", "sample", "story", F.col("loaded_at").cast("timestamp").alias("v"))
+    if (once.agg(F.sum(F.length("shown")).alias("n")).first().n or 0) <= small:
+        both = rows.join(F.broadcast(once), "id")
+    else:
+        parts = rows.groupBy("id").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).where("parts > 1")
+        many = F.coalesce("parts", F.lit(1))
+        salted = rows.join(parts, "id", "left").withColumn("salt", F.pmod(F.xxhash64("run_id", "sample"), many).cast("int")).drop("parts")
+        wide = once.join(parts, "id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
+        both = salted.join(wide, ["id", "salt"])
+    judged = both.select("run_id", "id", "sample", "v", "story", *fields, "shown").mapInArrow(_judge, _OUT)
     last = judged.groupBy("run_id", "id", "sample").agg(F.max(F.struct("v", "defect")).alias("c"))
     return last.select("run_id", "id", "sample", F.col("c.defect").alias("defect"))

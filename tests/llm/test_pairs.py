@@ -8,8 +8,20 @@ import pytest
 
 from fabula.llm import pairs as P
 
-PROMPT = P.Prompt("Milo wants to find the kite, yet the fox has other plans.", ["kite", "", None, "brave"], ["Dialogue"], "It was the bluest kite that Milo had ever seen.")
-GERMAN = P.Prompt("Niemand wusste, warum der Hund auf dem Markt war.", ["Hund"], [], None)
+
+
+def shown(summary, words, features, sentence):
+    """The labelled fields, as text.render_prompt gives them."""
+    lines = [("Summary", summary), ("Words", ", ".join(w for w in words if w)), ("Features", ", ".join(features)), ("Random sentence", sentence)]
+    return "".join(f"{label}: {value}\n" for label, value in lines if value) + "Story:\n"
+
+
+def prompt(summary, words, features, sentence):
+    return P.Prompt(shown(summary, words, features, sentence), summary, words, sentence)
+
+
+PROMPT = prompt("Milo wants to find the kite, yet the fox has other plans.", ["kite", "", None, "brave"], ["Dialogue"], "It was the bluest kite that Milo had ever seen.")
+GERMAN = prompt("Niemand wusste, warum der Hund auf dem Markt war.", ["Hund"], [], None)
 STORY = "Milo went out with his kite. The wind was strong and he was brave. In the end they all went home."
 
 
@@ -80,7 +92,7 @@ def test_no_refusal_of_a_character(story):
 SUMMARY = "Milo wants to find the kite, yet the fox has other plans."
 
 
-@pytest.mark.parametrize("story", [SUMMARY, SUMMARY.upper(), f"Here is the story: {SUMMARY}", (SUMMARY + " ") * 3, "It was the bluest kite that Milo had ever seen.\n" + SUMMARY, P.render_prompt(SUMMARY, ["kite", "brave"], ["Dialogue"], None), SUMMARY[:40], SUMMARY[:30]])
+@pytest.mark.parametrize("story", [SUMMARY, SUMMARY.upper(), f"Here is the story: {SUMMARY}", (SUMMARY + " ") * 3, "It was the bluest kite that Milo had ever seen.\n" + SUMMARY, shown(SUMMARY, ["kite", "brave"], ["Dialogue"], None), SUMMARY[:40], SUMMARY[:30]])
 def test_prompt_copy(story):
     assert P.defect(story, PROMPT) == "prompt_copy"
 
@@ -108,6 +120,61 @@ def test_whole(end):
     assert P.defect(STORY + end, PROMPT) is None
 
 
+@pytest.mark.parametrize("story", ["Sorry, but stories about this are off limits for me.", "That theme is one I will leave alone. Try a different one.", "Unfortunately I have to leave this request unanswered.", "Please give me another topic. " + STORY, "Mi dispiace, ma non posso scrivere questa storia.", "Não posso escrever esta história.", "Ik kan dit verhaal helaas niet schrijven."])
+def test_refusal_by_grammar(story):
+    assert P.defect(story, PROMPT) == "refusal"
+
+
+@pytest.mark.parametrize("story", ["Küçük köpek bahçede koştu. Sonra eve döndü ve annesi ona sıcak süt verdi. Herkes çok mutluydu.", "Pieni koira juoksi puutarhassa. Sitten hän palasi kotiin ja äiti antoi hänelle lämmintä maitoa.", "Malý pes běhal po zahradě. Potom se vrátil domů a maminka mu dala teplé mléko."])
+def test_unknown_language(story):
+    assert P.defect(story, PROMPT) == "other_language"
+
+
+@pytest.mark.parametrize("quotes", ['""', "“”", "„“", "«»", "‘’", "''"])
+def test_speech_of_any_length_is_the_characters(quotes):
+    speech = quotes[0] + "Oh dear, " + "it is so very late now, " * 400 + "and I will not write this story." + quotes[1]
+    assert P.is_refusal("The fox said: " + speech + " Then they went home.") is False
+    assert P.is_refusal("I will not write this story. " + speech)
+
+
+@pytest.mark.parametrize("text,open_", [("\n1. Milk.\n2. Bread.", False), ("\n1. Milk.\n2.", True), ("\n- Milk.\n-  ", True), ("\n1.\n2. Bread.", False), ("\n- (Milk.\n- Bread.", False), ("\n- Milk.\n- (Bread.", True), ("```\n- a\n-\n```", False), ("<ul>\n- a", True), ("He paid 3. Then 4.", False)])
+def test_parser_of_lists(text, open_):
+    assert P.unclosed("They bought:" + text) is open_
+
+
+def test_closing_formula_before_a_long_ornament():
+    assert P.defect(STORY + "\n(The End" + ")" * 900, PROMPT) is None
+
+
+def plain_tiles(text, source, least):
+    """The definition, step by step: longest free match first, marks on both sides, marks of source lifted at the end."""
+    free, laid = [True] * len(text), True
+    while laid:
+        unused, laid = [True] * len(source), False
+        while True:
+            matches = []
+            for i in range(len(text)):
+                for j in range(len(source)):
+                    n = 0
+                    while i + n < len(text) and j + n < len(source) and free[i + n] and unused[j + n] and text[i + n] == source[j + n]:
+                        n += 1
+                    matches.append((-n, i, j))
+            n, i, j = min(matches, default=(0, 0, 0))
+            if -n < least:
+                break
+            for k in range(-n):
+                free[i + k] = unused[j + k] = False
+            laid = True
+    return [not f for f in free]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_are_greedy_string_tiling(seed):
+    r = random.Random(seed)
+    text, source = ([r.choice("abcd") for _ in range(r.randint(0, n))] for n in (40, 15))
+    assert P.tile(text, source) == plain_tiles(text, source, max(1, min(3, len(source))))
+
+
 def test_tiles():
     assert P.tile("a b c x a b c d".split(), "a b c d".split()) == [True] * 3 + [False] + [True] * 4
     assert P.tile([], ["a"]) == [] and P.tile(["a"], []) == [False]
@@ -131,4 +198,5 @@ def test_operator(spark):
     got = {(r.run_id, r.id, r["sample"]): r.defect for r in P.judged_pairs(samples, prompts).collect()}
     assert got == {("r", "p", 1): "empty", ("r", "p", 2): None, (None, "p", None): "empty"}
     assert P.judged_pairs(samples.limit(0), prompts.limit(0)).count() == 0
-    assert {(r.run_id, r.id, r["sample"]): r.defect for r in P.judged_pairs(samples, prompts, small=0).collect()} == got
+    for hot in (1, 1000):
+        assert {(r.run_id, r.id, r["sample"]): r.defect for r in P.judged_pairs(samples, prompts, small=0, hot=hot).collect()} == got
