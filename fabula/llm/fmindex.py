@@ -40,6 +40,12 @@ class FMIndex:
         self.rows = np.argsort(before, kind="stable").astype(np.int32)
         sampled = self.rows[::_EVERY]
         self.samples = before[sampled].astype(np.int64) * self.n + sampled
+        # the rows that begin with each pair of words, by which the first step of a search is looked up: in the order of
+        # `rows`, which is that of the rows one word further to the left, they lie together
+        starts = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first))
+        pair = before[self.rows].astype(np.int64) * len(self.first) + starts[self.rows]
+        new = np.nonzero(np.append(True, pair[1:] != pair[:-1])[: self.n])[0]
+        self.pairs, self.pair_rows = pair[new], np.append(new, self.n)
         self._unroll()
 
     def _unroll(self) -> None:
@@ -100,8 +106,16 @@ class FMIndex:
         low, high = np.zeros(m, np.int64), np.zeros(m, np.int64)
         live = np.nonzero((patterns > 0).all(1))[0]
         last = patterns[live, k - 1]
-        a, b = self.first[last], self.first[last + 1]
-        for i in range(k - 2, -1, -1):
+        if k == 1:
+            a, b = self.first[last], self.first[last + 1]
+        else:
+            key = patterns[live, k - 2] * len(self.first) + last
+            at = np.searchsorted(self.pairs, key)
+            at[at == len(self.pairs)] = 0
+            some = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
+            live, at = live[some], at[some]
+            a, b = self.pair_rows[at], self.pair_rows[at + 1]
+        for i in range(k - 3, -1, -1):
             symbol = patterns[live, i]
             a, b = self._rank(symbol, a), self._rank(symbol, b)
             some = b > a
