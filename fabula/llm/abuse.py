@@ -4,12 +4,15 @@
   drawn out or set apart, masked letters.
 * A token's score is its log-odds, given the one and two tokens before it, under Dirichlet priors: the prior of a
   trigram is its bigram, that of a bigram (or of a pair with any token between) its last token, that of a token a
-  small seed list or the base rate. The
-  counts come from a bounded sample of labelled documents; as only documents are labelled, the passages inside them
-  are found by repeating segment search and counting.
+  seed list or the base rate. The counts come from a bounded sample of labelled documents; as only documents are
+  labelled, the passages inside them are found by repeating segment search and counting.
 * Every maximal segment of positive score is found in one linear scan (Ruzzo and Tompa).
 * A segment's score is calibrated as an extreme value: the best segment of a clean text of n tokens exceeds x with
-  probability 1 - exp(-K n exp(-lambda x)); lambda and K are fitted on clean documents of the sample.
+  probability 1 - exp(-K n exp(-lambda x)). lambda and K are fitted to documents labelled clean, each scored by a model
+  that has not seen it. As some of these labels are wrong, the fit is that of a distribution of which the greatest
+  values are not observed (truncated maximum likelihood), so that it makes no difference what they are.
+
+n-grams are 64-bit hashes, and a model is a sorted array of them; all texts of a batch are scored at once in NumPy.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.functions.words import hash_words, mix
+
 # fixed values: letters that look like Latin ones
 _LOOKS = str.maketrans("авеёзікмнорстухцјѕԁһӏցυοαεικνρτχγβηωκΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХУІЈЅ", "abeezikmhopctyxujsdhlgyoaeikvptxybhwkABEZHIKMNOPTYXABEKMHOPCTXYIJS")
 _LEET = str.maketrans("430157@$!|8+", "aeoistasilbt")
@@ -101,80 +107,98 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi in found]
 
 
-class Model:
-    """Scores of n-grams up to three tokens, and the calibration of segment scores."""
-
-    def __init__(self, grams: dict[str, float], floor: float, rate: float, size: float):
-        self.grams, self.floor, self.rate, self.size = grams, floor, rate, size
-
-    def scores(self, tokens: list[str]) -> list[float]:
-        get, floor = self.grams.get, self.floor
-        one = two = ""
-        out = []
-        for token in tokens:
-            pair = one + " " + token
-            s = get(two + " " + pair)
-            if s is None and (s := get(pair)) is None and (s := get(two + " _ " + token)) is None and (s := get(token)) is None:
-                s = floor
-            out.append(s)
-            two, one = one, token
+_U = np.uint64
+_KINDS = 4  # token, bigram, pair with any token between, trigram
+
+
+def _grams(documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes (kinds, tokens), number of tokens of each document) of all places of all documents in a row."""
+    lengths = np.array([len(t) for t in documents], np.int64)
+    h = mix(hash_words([w for t in documents for w in t]))
+    ahead = np.zeros((2, len(h)), _U)  # the tokens before, 0 before the beginning
+    place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    for k in (1, 2):
+        ahead[k - 1, k:] = np.where(place[k:] >= k, h[:-k], _U(0))
+    one, two = ahead
+    pair = mix(one * _U(0x9E3779B97F4A7C15) + h)
+    return np.stack([h, pair, mix(two * _U(0xD6E8FEB86659FD93) + h), mix(two * _U(0xC2B2AE3D27D4EB4F) + pair)]), lengths
+
+
+class _Sums:
+    """Running sums of the scores of documents in a row."""
+
+    def __init__(self, scores: np.ndarray, lengths: np.ndarray):
+        self.scores, self.lengths = scores, lengths
+        self.end = np.cumsum(lengths)
+        self.begin = self.end - lengths
+        self.sum = np.append(0.0, np.cumsum(scores))
+
+    def best(self) -> np.ndarray:
+        """The greatest sum of a run of scores of each document, 0 if none is positive."""
+        n = len(self.lengths)
+        doc = np.repeat(np.arange(n), self.lengths)
+        step = 1.0 + np.ptp(self.sum)  # documents further on lie lower, so that minima don't reach across
+        lowest = np.minimum.accumulate(self.sum[:-1] - step * doc) + step * doc
+        out = np.zeros(n)
+        np.maximum.at(out, doc, self.sum[1:] - lowest)
         return out
 
-    def chance(self, score: float, n: int) -> float:
-        """The probability that a clean text of n tokens has a segment of this score."""
-        return -math.expm1(-self.size * max(n, 1) * math.exp(-min(self.rate * score, 700)))
+    def segments(self, i: int) -> list[tuple[int, int, float]]:
+        """All maximal segments of a document."""
+        a, b = int(self.begin[i]), int(self.end[i])
+        up = np.flatnonzero(self.scores[a:b] > 0)
+        return _segments(up.tolist(), self.sum[a + up].tolist(), self.sum[a + up + 1].tolist())
 
-    def passages(self, tokens: list[str]) -> list[tuple[int, int, float]]:
-        return maximal_segments(self.scores(tokens))
 
+def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
+    """(start, past the end, score) of all maximal segments of positive score, in linear time."""
+    return _Sums(np.array(scores, float), np.array([len(scores)])).segments(0)
 
-def _grams(tokens: list[str], marked: list[bool]) -> dict[str, bool]:
-    """The n-grams of a document, with whether they stand in a marked place."""
-    one = two = ""
-    seen: dict[str, bool] = {}
-    for token, m in zip(tokens, marked):
-        pair = one + " " + token
-        for gram in (token, pair, two + " _ " + token, two + " " + pair):
-            seen[gram] = m or seen.get(gram, False)
-        two, one = one, token
-    return seen
-
-
-class _Repeated:
-    """Which n-grams stand in more than one document: two bits for each hash. A collision keeps an n-gram that is
-    dropped later by its count."""
-
-    SIZE = 1 << 24
 
-    def __init__(self, documents: list[tuple[list[str], float]]):
-        self.times = bytearray(self.SIZE)
-        for tokens, _ in documents:
-            for gram in _grams(tokens, [False] * len(tokens)):
-                h = hash(gram) & (self.SIZE - 1)
-                if self.times[h] < 2:
-                    self.times[h] += 1
+def _segments(places: list[int], before: list[float], after: list[float]) -> list[tuple[int, int, float]]:
+    """The same from the places of the positive scores, and the running sums before and after them."""
+    found: list[tuple[int, int, float, float]] = []  # start, end, sum before the start, sum at the end
+    for i, low, high in zip(places, before, after):
+        start, end = i, i + 1
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= low:
+                j -= 1
+            if j < 0 or found[j][3] >= high:
+                found.append((start, end, low, high))
+                break
+            start, low = found[j][0], found[j][2]
+            del found[j:]
+    return [(a, b, hi - lo) for a, b, lo, hi in found]
 
-    def __contains__(self, gram: str) -> bool:
-        return self.times[hash(gram) & (self.SIZE - 1)] > 1
 
+class Model:
+    """Scores of n-grams up to three tokens, and the calibration of segment scores."""
 
-def _order(gram: str) -> int:
-    return gram.count(" ") - 1 if " _ " in gram else gram.count(" ")
+    def __init__(self, keys: np.ndarray, values: np.ndarray, floor: float, rate: float = 0.7, size: float = 0.1):
+        order = np.argsort(keys)
+        self.keys, self.values, self.floor, self.rate, self.size = keys[order], values[order], floor, rate, size
+
+    def score(self, documents: list[list[str]]) -> _Sums:
+        """The score of every token: that of its longest known n-gram."""
+        grams, lengths = _grams(documents)
+        scores = np.full(grams.shape[1], self.floor)
+        left = np.arange(grams.shape[1]) if len(self.keys) else np.empty(0, np.int64)
+        for kind in (3, 1, 2, 0):
+            h = grams[kind, left]
+            at = np.searchsorted(self.keys, h)
+            at[at == len(self.keys)] = 0
+            known = self.keys[at] == h
+            scores[left[known]] = self.values[at[known]]
+            left = left[~known]
+        return _Sums(scores, lengths)
 
+    def chance(self, score: float, n: int) -> float:
+        """The probability that a clean text of n tokens has a segment of this score."""
+        return -math.expm1(-self.size * max(n, 1) * math.exp(-min(self.rate * score, 700)))
 
-def _scores(table: dict[str, list], base: float, strength: float, even: float, seeds: set[str]) -> dict[str, float]:
-    """Log-odds of all n-grams over those of a token that is marked with the share `even`; each n-gram has the
-    shorter one as its prior. Scores are kept between LEAST and MOST, so that no single token decides or forbids."""
-    share: dict[str, float] = {}
-    for gram in sorted(table, key=_order):
-        no, yes = table[gram]
-        if " " in gram and no + yes < 2:
-            continue  # one document shows nothing; of one that two documents hold, they hold the shorter one too
-        shorter = gram.partition(" ")[2].removeprefix("_ ") if " " in gram else None
-        prior = share[shorter] if shorter is not None else (max(base, 0.3) if gram in seeds else base)
-        share[gram] = (yes + strength * prior) / (no + yes + strength)
-    zero = math.log(even / (1 - even))
-    return {g: min(max(math.log(p / (1 - p)) - zero, LEAST), MOST) for g, p in share.items()}
+    def passages(self, tokens: list[str]) -> list[tuple[int, int, float]]:
+        return self.score([tokens]).segments(0)
 
 
 def _sentence(tokens: list[str], a: int, b: int) -> tuple[int, int]:
@@ -186,79 +210,111 @@ def _sentence(tokens: list[str], a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns: int = 3) -> Model:
+class _Sample:
+    """The n-grams of the labelled documents as numbers, with the number of clean documents that hold each."""
+
+    def __init__(self, documents: list[tuple[list[str], float]]):
+        self.tokens = [t for t, _ in documents]
+        self.toxic = np.array([y > 0.5 for _, y in documents], bool)
+        grams, self.lengths = _grams(self.tokens)
+        self.doc = np.repeat(np.arange(len(documents)), self.lengths)
+        self.keys, first, self.gram = np.unique(grams.ravel(), return_index=True, return_inverse=True)
+        self.gram = self.gram.reshape(grams.shape)
+        kind, place = np.divmod(first, max(grams.shape[1], 1))
+        self.kind = kind
+        # the n-gram that is the prior of each: the bigram of a trigram, the last token of a pair
+        self.prior = self.gram[np.where(kind == 3, 1, 0), place] if len(first) else first
+        self.clean = self._count(~self.toxic[self.doc])
+        self.everywhere = self._count(np.ones(len(self.doc), bool))
+        self.ours = np.flatnonzero(self.toxic[self.doc])  # places in documents labelled toxic
+
+    def _count(self, chosen: np.ndarray) -> np.ndarray:
+        """Number of documents that hold each n-gram at a chosen place."""
+        gram, doc = self.gram[:, chosen], self.doc[chosen]
+        pair = np.sort((gram * len(self.tokens) + doc).ravel())
+        pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
+        return np.bincount(pair // max(len(self.tokens), 1), minlength=len(self.keys))
+
+    def scores(self, marked: np.ndarray, base: float, strength: float, even: float, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, log-odds) of all n-grams over those of a token that is marked with the share `even`; each n-gram has
+        the shorter one as its prior. Scores are kept between LEAST and MOST, so that no single token decides or
+        forbids. An n-gram of one document shows nothing and is left out."""
+        yes = self._count(marked)
+        ours = np.zeros(len(self.doc), bool)
+        ours[self.ours] = True
+        no = self.clean + self._count(ours) - yes
+        share = np.where(np.isin(self.keys, seeds), max(base, 0.3), base)
+        prior = share
+        for kinds in ((0,), (1, 2), (3,)):
+            mine = np.isin(self.kind, kinds)
+            if kinds != (0,):
+                prior = share[self.prior]
+            share = np.where(mine, (yes + strength * prior) / (no + yes + strength), share)
+        kept = (self.kind == 0) | (self.everywhere > 1)
+        p = share[kept]
+        return self.keys[kept], np.clip(np.log(p / (1 - p)) - math.log(even / (1 - even)), LEAST, MOST)
+
+
+def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns: int = 3, held_out: bool = True) -> Model:
     """documents: tokens and label (0 to 1) of each document of the sample.
 
     An n-gram counts once for a document. At first all tokens of a document that is labelled toxic count as marked;
-    then only the sentences of its best segments.
+    then only the sentences of its best segments. held_out: the calibration scores each half of the clean documents
+    by a model of the other half.
     """
-    seeds = {t for w in _SEEDS.split() for t in read_tokens(w)}
-    marks = [[y > 0.5] * len(t) for t, y in documents]
-    model = Model({s: 2.0 for s in seeds}, LEAST, 0.7, 0.1)
-    if not any(map(any, marks)):
+    seeds = np.unique(mix(hash_words(sorted({t for w in _SEEDS.split() for t in read_tokens(w)}))))
+    model = Model(seeds, np.full(len(seeds), 2.0), LEAST)
+    if not any(y > 0.5 and t for t, y in documents):
         return model
-    repeated = _Repeated(documents)
-    clean: dict[str, int] = {}  # counts of the documents that are never marked
-    for tokens, y in documents:
-        if y <= 0.5:
-            for gram in _grams(tokens, [False] * len(tokens)):
-                if gram in clean or " " not in gram or gram in repeated:
-                    clean[gram] = clean.get(gram, 0) + 1
-    toxic = [i for i, (_, y) in enumerate(documents) if y > 0.5]
+    sample = _Sample(documents)
+    toxic = np.flatnonzero(sample.toxic)
+    begin = np.cumsum(sample.lengths) - sample.lengths
+    marked = sample.toxic[sample.doc]
     for turn in range(turns):
-        table = {gram: [n, 0] for gram, n in clean.items()}
-        for i in toxic:
-            for gram, marked in _grams(documents[i][0], marks[i]).items():
-                if (c := table.get(gram)) is not None:
-                    c[marked] += 1
-                elif " " not in gram or gram in repeated:
-                    table[gram] = [1 - marked, int(marked)]
-        base = min(max(sum(map(any, marks)) / max(len(documents), 1), 0.002), 0.4) * (0.1 if turn else 1.0)
-        grams = _scores(table, base, strength, 0.5 if turn else 0.6, seeds)
-        model = Model(grams, LEAST, 0.7, 0.1)
-        fresh = []
-        for tokens, y in documents:
-            m = [False] * len(tokens)
-            if y > 0.5 and tokens:
-                segments = model.passages(tokens)
-                best = max((s for _, _, s in segments), default=0.0)
-                for a, b, s in segments:
-                    if s >= max(3.0, 0.3 * best):
-                        a, b = _sentence(tokens, a, b)
-                        m[a:b] = [True] * (b - a)
-            fresh.append(m)
-        marks = fresh
-    return _calibrated(model.grams, LEAST, [t for t, y in documents if y <= 0.5])
-
-
-def _calibrated(grams: dict[str, float], floor: float, clean: list[list[str]]) -> Model:
-    """lambda from the mean of exp(lambda * score) = 1 over clean tokens, K from the best segments of clean texts.
-
-    The labels are noisy, so the greatest 8 % of the clean texts' best segments don't count.
+        share = len(np.unique(sample.doc[marked])) / len(documents)
+        base = min(max(share, 0.002), 0.4) * (0.1 if turn else 1.0)
+        model = Model(*sample.scores(marked, base, strength, 0.5 if turn else 0.6, seeds), LEAST)
+        sums = model.score([sample.tokens[i] for i in toxic])
+        marked = np.zeros(len(sample.doc), bool)
+        for k, i in enumerate(toxic.tolist()):
+            segments = sums.segments(k)
+            best = max((x for _, _, x in segments), default=0.0)
+            for a, b, x in segments:
+                if x >= max(3.0, 0.3 * best):
+                    a, b = _sentence(sample.tokens[i], a, b)
+                    marked[begin[i] + a : begin[i] + b] = True
+    if held_out:
+        best, n = [], []
+        for half in (0, 1):
+            other = fit(documents[half::2], strength, turns, False)
+            clean = [t for t, y in documents[1 - half :: 2] if y <= 0.5 and t]
+            best.append(other.score(clean).best())
+            n.append(np.array([len(t) for t in clean]))
+        model.rate, model.size = calibrated(np.concatenate(best), np.concatenate(n))
+    return model
+
+
+def calibrated(best: np.ndarray, n: np.ndarray, low: float = 0.5, high: float = 0.9) -> tuple[float, float]:
+    """(lambda, K) of the best scores of clean texts of n tokens.
+
+    The values above the quantile `high` are taken as not observed, as wrong labels may be among them; of those below
+    `low` only that they are, as the law holds for the upper part. Given lambda, K has a closed form.
     """
-    model = Model(grams, floor, 0.7, 0.1)
-    best: list[tuple[float, int]] = []
-    rows = []
-    for tokens in clean:
-        if tokens:
-            s = model.scores(tokens)
-            best.append((max((x for _, _, x in maximal_segments(s)), default=0.0), len(tokens)))
-            rows.append(s)
-    if not best:
-        return model
-    cut = sorted(b for b, _ in best)[int(0.92 * (len(best) - 1))]
-    scores = [x for (b, _), r in zip(best, rows) if b <= cut for x in r]
-    # for exact log-odds lambda is 1; scores cut at LEAST and MOST may have a smaller one
-    low, high = 0.01, 1.0
-    for _ in range(40):
-        mid = (low + high) / 2
-        mean = sum(math.exp(min(mid * x, 50)) for x in scores) / max(len(scores), 1)
-        low, high = (mid, high) if mean < 1 else (low, mid)
-    rate = low
-    # P(best < x) = exp(-K n exp(-lambda x)): the maximum-likelihood K
-    kept = [(b, n) for b, n in best if b <= cut]
-    size = len(kept) / max(sum(n * math.exp(-rate * b) for b, n in kept), 1e-9)
-    return Model(grams, floor, rate, min(max(size, 1e-4), 10.0))
+    if len(best) < 20:
+        return 0.7, 0.1
+    x0, x1 = np.quantile(best, [low, high])
+    n, best = n[best <= x1], best[best <= x1]
+    upper = best > x0
+    if not upper.any() or x1 <= x0:
+        return 0.7, 0.1
+    chosen, greatest = (0.7, 0.1), -np.inf
+    for rate in np.linspace(0.05, 2.0, 118):
+        mass = float(np.sum(n * (np.exp(-rate * np.maximum(best, x0)) - np.exp(-rate * x1))))
+        size = int(upper.sum()) / mass
+        value = int(upper.sum()) * (math.log(size) + math.log(rate)) - rate * float(best[upper].sum()) - size * mass
+        if value > greatest:
+            greatest, chosen = value, (float(rate), float(size))
+    return chosen
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -284,15 +340,16 @@ def _score(shared, threshold: float):
         model = shared.value
         for batch in batches:
             score, chance, n, share = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = read_tokens(text)
-                segments = model.passages(tokens)
+            tokens = [read_tokens(t) for t in batch.column("text").to_pylist()]
+            sums = model.score(tokens)
+            for i, t in enumerate(tokens):
+                segments = sums.segments(i)
                 best = max((s for _, _, s in segments), default=0.0)
-                heavy = [(a, b) for a, b, s in segments if model.chance(s, len(tokens)) <= threshold]
+                heavy = [(a, b) for a, b, s in segments if model.chance(s, len(t)) <= threshold]
                 score.append(best)
-                chance.append(model.chance(best, len(tokens)) if segments else 1.0)
+                chance.append(model.chance(best, len(t)) if segments else 1.0)
                 n.append(len(heavy))
-                share.append(sum(b - a for a, b in heavy) / len(tokens) if tokens else 0.0)
+                share.append(sum(b - a for a, b in heavy) / len(t) if t else 0.0)
             arrays = [batch.column("doc_id"), batch.column("source"), pa.array(score, pa.float64()), pa.array(chance, pa.float64()), pa.array(n, pa.int32()), pa.array(share, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", "score", "chance", "passages", "share"])
 
