@@ -13,6 +13,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -89,9 +90,9 @@ _REFUSALS = [
         (r"\b(?:let's|let us|please|could we|can we|shall we) (?:pick|choose|try|talk about|use) (?:something else|(?:a|an|some)?(?:other|another|different| ) ?(?:different |other )?(?:topic|theme|prompt|words|story))\b.*(?:not suitable|not right|not appropriate|instead|this one|can't|cannot)", "not suitable|not right|not appropriate|instead|this one|can't|cannot"),
         (r"\bas an? (?:ai|artificial|language model|assistant|writing assistant|automated|large language)\b", "as a ai|as an ai|artificial|language model|assistant|automated|large language"),
         (r"\b(?:stor(?:y|ies)|topics?|themes?|subjects?|requests?|prompts?|texts?|writing)\b.{0,40}\b(?:is|are|remains?|stays?) (?:strictly |simply |always )?(?:off[- ]limits|out of bounds|out of the question)\b", "off limits|off-limits|out of bounds|out of the question"),
-        (r"\b(?:this|that|it|your|the)(?: \w+){0,2}? is (?:one|something|a (?:topic|theme|subject|story|request|prompt)) (?:that )?(?:i|we) (?:will|must|shall|would rather|have to|need to|prefer to|am going to) (?:leave|skip|pass|avoid|set aside|stay away|decline|steer clear)", "leave|skip|pass|avoid|set aside|stay away|declin|steer clear"),
-        (rf"\b(?:i|we) (?:have to|must|will|shall|need to|would rather|prefer to|am going to) (?:leave|let) (?:this|that|your|the) {_THING}(?: \w+){{0,2}}? (?:unanswered|alone|aside|unwritten|untold|unfinished)\b", "unanswered|alone|aside|unwritten|untold|unfinished"),
-        (r"^(?:please |kindly )?(?:try|pick|choose|send|give|offer|suggest)(?: me| us)? (?:a |an |some )?(?:different|another|new|other) (?:prompt|topic|theme|request|subject|idea)\b", "different|another|new|other"),
+        (r"\b(?:this|that|it|your|the)(?: \w+){0,2}? is (?:one|something|a (?:topic|theme|subject|story|request|prompt)) (?:that )?(?:i|we) (?:will|must|shall|would rather|have to|need to|prefer to|am going to) (?:leave|skip|pass|avoid|set aside|stay away|decline|steer clear)", "one i |one we |one that |something i |something we |something that |topic i |topic we |topic that |theme i |theme we |theme that |subject i |subject we |subject that |story i |story we |story that |request i |request we |request that |prompt i |prompt we |prompt that "),
+        (rf"\b(?:i|we) (?:have to|must|will|shall|need to|would rather|prefer to|am going to) (?:leave|let) (?:this|that|your|the) {_THING}(?: \w+){{0,2}}? (?:unanswered|alone|aside|unwritten|untold|unfinished)\b", "leave this|leave that|leave your|leave the|let this|let that|let your|let the"),
+        (r"^(?:please |kindly )?(?:try|pick|choose|send|give|offer|suggest)(?: me| us)? (?:a |an |some )?(?:different|another|new|other) (?:prompt|topic|theme|request|subject|idea)\b", "prompt|topic|theme|request|subject|idea"),
         (r"\b(?:non posso|non riesco a|non voglio|non potrò|mi dispiace|mi rifiuto di|preferisco non|devo rifiutare|non sono in grado di)\b.{0,60}(?:scrivere|aiutar|continuare|rispondere|raccontare|storia|racconto|testo|richiesta)", "non posso|non riesco|non voglio|non potrò|mi dispiace|mi rifiuto|preferisco non|devo rifiutare|non sono in grado"),
         (r"\b(?:não posso|não consigo|não vou|lamento|recuso-me a|prefiro não|devo recusar)\b.{0,60}(?:escrever|ajudar|continuar|responder|contar|história|conto|texto|pedido)", "não posso|não consigo|não vou|lamento|recuso-me|prefiro não|devo recusar"),
         (r"\bik (?:kan|mag|wil|zal|moet|ga)\b.{0,60}\b(?:niet|geen|weigeren|helaas)\b.{0,40}(?:schrijven|helpen|vertellen|voortzetten|verhaal|verzoek|tekst)", "niet|geen|weigeren|helaas"),
@@ -101,11 +102,15 @@ _REFUSALS = [
         (r"\b(?:no puedo|no podré|lamento|me niego a|prefiero no|debo rechazar|no voy a)\b.{0,60}(?:escribir|ayudar|continuar|responder|contar|historia|cuento|texto|petición|solicitud)", "no puedo|no podré|lamento|me niego|prefiero no|debo rechazar|no voy a"),
     )
 ]
-_HINTS = tuple(sorted({h for _, hints in _REFUSALS for h in hints}))
+_HINTS = ahocorasick.Automaton()
+for _hint in sorted({h for _, hints in _REFUSALS for h in hints}):
+    _HINTS.add_word(_hint, tuple(i for i, (_, hints) in enumerate(_REFUSALS) if _hint in hints))
+_HINTS.make_automaton()
 
 
-def _hinted(text: str, hints: tuple[str, ...] = _HINTS) -> bool:
-    return any(h in text for h in hints)
+def _hinted(text: str) -> set[int]:
+    """The patterns of which the text holds a literal, found in one pass."""
+    return {i for _, patterns in _HINTS.iter(text) for i in patterns}
 
 
 def is_refusal(story: str) -> bool:
@@ -116,7 +121,7 @@ def is_refusal(story: str) -> bool:
         return False
     for sentence in _SENTENCE.findall(plain):
         s = " ".join(sentence.replace("i'd rather", "i 'd rather").replace("i'm ", "i 'm ").replace("i'll", "i 'll").split())
-        if any(_hinted(s, hints) and p.search(s) for p, hints in _REFUSALS):
+        if any(_REFUSALS[i][0].search(s) for i in _hinted(s)):
             return True
     return False
 
@@ -191,6 +196,7 @@ _FUNCTION_WORDS = {
     "pt": "que de a um me o os as e uma não com por para seu sua era se do da dos das no na mas mais como quando são também este esta tinha porque onde ele ela muito todos ao foi",
     "nl": "de het een en van niet met was dat voor zijn haar op is als ook naar bij maar nog hij zij ze er had werd toen want geen deze die wie hoe omdat",
 }
+_OF = {lang: frozenset(words.split()) for lang, words in _FUNCTION_WORDS.items()}
 _OWNERS: dict[str, list[str]] = {}
 for _lang, _list in _FUNCTION_WORDS.items():
     for _word in _list.split():
@@ -219,7 +225,7 @@ def is_other_language(story: str, words: list[str], expected: str) -> bool:
     none of its function words is not in it."""
     hits = Counter(filter(None, map(_WORD_LANG.get, words)))
     own = hits[expected]
-    if len(words) >= 8 and expected in _FUNCTION_WORDS and sum(expected in _OWNERS.get(w, ()) for w in words) < _LEAST_SHARE * len(words):
+    if len(words) >= 8 and expected in _OF and own < (least := _LEAST_SHARE * len(words)) and sum(map(_OF[expected].__contains__, words)) < least:
         return True
     if sum(hits.values()) <= 1.25 * own and own > 2 and (story.isascii() or not _OTHER_SCRIPT.search(story)):
         return False
@@ -243,7 +249,10 @@ _STOP = re.compile(r"[.!?…。！？][\])}\"”’'»“*_]*$")
 _ABBREVIATION = re.compile(r"(?:^|[\s(\"“])(?:mr|mrs|ms|dr|st|prof|e\.g|i\.e|vs|z\.b|bzw|sr|sra|mme)\.$", re.I)
 _LIST_MARK = re.compile(r"(?:^|\n)[ \t]*(?:\d{1,3}[.)]|[-*•+])[ \t]*$")
 _ITEM = "item"
-_STRUCTURE = re.compile(r"```|(?:^|\n)[ \t]*(?:\d{1,3}[.)]|[-*•+])(?=\s|\Z)|[()\[\]{}\"“”„«»]|</?([a-zA-Z][a-zA-Z0-9]{0,10})[^<>]{0,80}>|\n\s*\n")
+_MARK = r"(?:^|\n)[ \t]*(?:\d{1,3}[.)]|[-*•+])(?=\s|\Z)"
+_LISTED = re.compile(_MARK)
+_STRUCTURE = re.compile(r"```|[()\[\]{}\"“”„«»]|</?([a-zA-Z][a-zA-Z0-9]{0,10})[^<>]{0,80}>|\n\s*\n")
+_WITH_LISTS = re.compile(f"{_MARK}|{_STRUCTURE.pattern}")
 _QUOTES = ('"', "“", "„", "«", "»")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 # fixed values: tags that must be closed
@@ -259,7 +268,7 @@ def unclosed(text: str) -> bool:
     """
     stack: list[str] = []
     began = 0
-    for m in _STRUCTURE.finditer(text):
+    for m in (_WITH_LISTS if _LISTED.search(text) else _STRUCTURE).finditer(text):
         mark = m[0]
         if stack and stack[-1] == _ITEM and _LETTER.search(text, began, m.start()):
             stack.pop()
