@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabula.functions import text
@@ -11,27 +11,36 @@ from fabula.functions.inflection import forms
 _PLAIN = r"^[a-z]+\z"
 
 
-def has_word(word: Column, normal: Column, tokens: Column) -> Column:
+def with_forms(df: DataFrame, words: str = "words", into: str = "forms") -> DataFrame:
+    """df with the forms of its required words (an array for each word): made once for each distinct list of words."""
+    lists = df.select(words).distinct().select(F.col(words).alias("__words"), F.transform(text.filled(words), forms).alias(into))
+    return df.join(lists, F.col(words).eqNullSafe(F.col("__words"))).drop("__words")
+
+
+def has_word(word: Column, normal: Column, tokens: Column, spellings: Column | None = None) -> Column:
     """The word or an inflection of it stands as a whole word. A word with other characters than letters is looked
-    for in the normalized text itself, with an optional regular ending."""
+    for in the normalized text itself, with an optional regular ending. spellings: the word's forms, if they are there."""
+    spellings = forms(word) if spellings is None else spellings
     quoted = F.concat(F.lit(r"(?<![a-z])\Q"), F.replace(F.lower(word), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?:s|es|ed|d|ing)?(?![a-z])"))
-    return F.when(F.lower(word).rlike(_PLAIN), F.arrays_overlap(forms(word), tokens)).otherwise(F.regexp_like(normal, quoted))
+    return F.when(F.lower(word).rlike(_PLAIN), F.arrays_overlap(spellings, tokens)).otherwise(F.regexp_like(normal, quoted))
 
 
-def word_mentions(words: Column | str, story: Column | str) -> Column:
+def word_mentions(words: Column | str, story: Column | str, spellings: Column | str | None = None) -> Column:
     """Mean number of mentions, in any form, of the required words that are plain words; null if there are none."""
-    plain = F.filter(text.filled(words), lambda w: F.lower(w).rlike(_PLAIN))
-    each = lambda tokens: F.transform(plain, lambda w: text.let(forms(w), lambda f: F.size(F.filter(tokens, lambda t: F.array_contains(f, t)))))
+    spellings = F.transform(text.filled(words), forms) if spellings is None else F.col(spellings) if isinstance(spellings, str) else spellings
+    plain = F.filter(F.arrays_zip(text.filled(words).alias("w"), spellings.alias("f")), lambda x: F.lower(x["w"]).rlike(_PLAIN))
+    each = lambda tokens: F.transform(plain, lambda x: F.size(F.filter(tokens, lambda t: F.array_contains(x["f"], t))))
     total = lambda counts: F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0), lambda a, x: a + x) / F.size(counts))
     return text.let(text.let(text.words(story), each), total)
 
 
-def check(words: Column | str, features: Column | str, sentence: Column | str, story: Column | str) -> Column:
+def check(words: Column | str, features: Column | str, sentence: Column | str, story: Column | str, spellings: Column | str | None = None) -> Column:
     """A struct of the constraints' results; those that don't apply are null.
 
     words_hits, words_fraction, sentence, dialogue, reward (mean of the parts that apply), satisfied (there is a part,
-    and all are 1). A null story counts as an empty one.
+    and all are 1). A null story counts as an empty one. spellings: as with_forms gives them.
     """
+    spellings = F.col(spellings) if isinstance(spellings, str) else spellings
     story = F.coalesce(F.col(story) if isinstance(story, str) else story, F.lit(""))
     sentence = F.col(sentence) if isinstance(sentence, str) else sentence
     required = text.filled(words)
@@ -39,7 +48,8 @@ def check(words: Column | str, features: Column | str, sentence: Column | str, s
     spoken = F.array_contains(F.col(features) if isinstance(features, str) else features, "Dialogue")
 
     def results(n: Column) -> Column:
-        marks = lambda t: F.transform(required, lambda w: F.coalesce(has_word(w, n, t), F.lit(False)))
+        one = lambda w, t, f=None: F.coalesce(has_word(w, n, t, f), F.lit(False))
+        marks = lambda t: F.transform(required, lambda w: one(w, t)) if spellings is None else F.zip_with(required, spellings, lambda w, f: one(w, t, f))
         hits = F.when(F.size(required) > 0, text.let(F.array_distinct(F.regexp_extract_all(n, F.lit("([a-z]+)"), 1)), marks))
         return text.let(hits, lambda h: check_struct(required, h, F.when(sentence != "", n.contains(wanted)), F.when(spoken, n.rlike(text.QUOTED))))
 

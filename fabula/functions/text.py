@@ -49,10 +49,20 @@ def grams(tokens: Column | str, n: int, joined: bool = False) -> Column:
     return let(_col(tokens), of)
 
 
+def gram_hashes(tokens: Column | str, n: int) -> Column:
+    """64-bit hashes of all runs of n successive entries of an array; none if there are fewer."""
+
+    def of(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(n))))
+
+    return let(_col(tokens), of)
+
+
 def repetition(text: Column | str, n: int = 4) -> Column:
     """Share of the text's word n-grams that repeat an earlier one; 0 if it has fewer than n words, null for null."""
     share = lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
-    return F.when(_col(text).isNotNull(), let(grams(words(text), n, joined=True), share))
+    return F.when(_col(text).isNotNull(), let(gram_hashes(words(text), n), share))
 
 
 def has_quoted_speech(text: Column | str) -> Column:
@@ -66,10 +76,9 @@ def contains_sentence(text: Column | str, sentence: Column | str) -> Column:
 
 def sentence_starts(sentence: Column | str, text: Column | str, n: int = 4) -> Column:
     """How often the text begins the sentence: places of its first n words; null if it has fewer."""
-    return let(
-        F.array_join(F.slice(words(sentence), 1, n), " "),
-        lambda head: F.when(F.size(F.split(head, " ")) == n, F.size(F.filter(grams(words(text), n, joined=True), lambda g: g == head))),
-    )
+    head = F.slice(words(sentence), 1, n)
+    hashed = F.when(F.size(head) == n, F.xxhash64(*(F.get(head, F.lit(k)) for k in range(n))))
+    return let(hashed, lambda h: F.when(h.isNotNull(), F.size(F.filter(gram_hashes(words(text), n), lambda g: g == h))))
 
 
 def filled(items: Column | str) -> Column:

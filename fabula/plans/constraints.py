@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fabula.functions import constraints as C
@@ -26,6 +27,15 @@ def prompts(spark, d):
     return table(spark, d, "heldout_prompts").where("id is not null").groupBy("id").agg(*(F.max(f).alias(f) for f in _FIELDS))
 
 
+def known(prompts_, rows, unknown: str = "drop"):
+    """Rows with their prompts. unknown: what happens to rows whose id has no prompt: they are dropped, or `raise` ends
+    the query at the first."""
+    if unknown == "raise":
+        both = rows.join(prompts_.withColumn("there", F.lit(True)), "id", "left")
+        return both.withColumn("id", F.when(F.col("there"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no prompt has the id "), F.coalesce("id", F.lit("null")))))).drop("there")
+    return rows.join(prompts_, "id")
+
+
 def samples(spark, d):
     """Each key of samples once; rows that were logged twice have the same story."""
     return table(spark, d, "samples").groupBy("run_id", "id", "sample").agg(F.max("story").alias("story"), F.bool_or("finished").alias("finished"), F.max("reward").alias("reward"))
@@ -33,16 +43,17 @@ def samples(spark, d):
 
 def pairs(spark, d):
     """Samples with their prompts; the prompts are few and fixed, and broadcast as long as they are."""
-    p = prompts(spark, d)
+    p = C.with_forms(prompts(spark, d))
     p = F.broadcast(p) if p.count() <= 50_000 else p
-    return samples(spark, d).join(p, "id")
+    return known(p, samples(spark, d))
 
 
 _PAIRS = f"(SELECT s.*, p.summary, p.words, p.features, p.sentence FROM {_SAMPLES} s JOIN {_PROMPTS} p USING (id))"
 
 
 def checked(df):
-    return df.withColumn("c", C.check("words", "features", "sentence", "story"))
+    df = df if "forms" in df.columns else C.with_forms(df)
+    return df.withColumn("c", C.check("words", "features", "sentence", "story", "forms"))
 
 
 def checked_sql(source: str, keys: str) -> str:
@@ -74,7 +85,7 @@ def word_constraint_hits(spark, d):
 @query(f"""WITH u AS (SELECT run_id, id, sample, unnest({Q.filled('words')}) AS w, {Q.words('story')} AS t FROM {_PAIRS} WHERE story IS NOT NULL)
     SELECT run_id, id, sample, round(avg(len(list_filter(t, lambda x: list_contains({inflection.forms_sql('lower(w)')}, x)))), 9) AS mentions FROM u WHERE regexp_matches(lower(w), '^[a-z]+$') GROUP BY run_id, id, sample""")
 def word_mentions(spark, d):
-    rows = pairs(spark, d).where("story is not null").select("run_id", "id", "sample", F.round(C.word_mentions("words", "story"), 9).alias("mentions"))
+    rows = pairs(spark, d).where("story is not null").select("run_id", "id", "sample", F.round(C.word_mentions("words", "story", "forms"), 9).alias("mentions"))
     return rows.where("mentions is not null")
 
 
@@ -127,9 +138,30 @@ _REPORT = """CAST(count(reward) AS BIGINT) AS scored, round(avg(CASE WHEN reward
     round(avg(CAST(said AS DOUBLE)), 9) AS sentence, CAST(count(said) AS BIGINT) AS sentences, round(avg(CAST(spoken AS DOUBLE)), 9) AS dialogue, CAST(count(spoken) AS BIGINT) AS dialogues"""
 
 
-@query(f"SELECT run_id, {_REPORT} FROM {checked_sql(_PAIRS, 'run_id, id, sample')} GROUP BY run_id")
+_MISSED = f"(SELECT r.run_id, p.id FROM (SELECT DISTINCT run_id FROM {_PAIRS}) r CROSS JOIN {_PROMPTS} p ANTI JOIN (SELECT * FROM {_SAMPLES} WHERE story IS NOT NULL) s ON s.run_id IS NOT DISTINCT FROM r.run_id AND s.id = p.id)"
+
+
+def missed(rows, wanted):
+    """run_id, id: the prompts of which a run has no story. What each run should have is its own list of ids, taken from
+    `wanted`; only (run, id) pairs are compared, no stories."""
+    runs = rows.select("run_id").distinct().agg(F.collect_set(F.struct("run_id")).alias("runs"))  # one row of few runs
+    every = wanted.select("id").join(F.broadcast(runs)).select("id", F.explode("runs").alias("r")).select("id", "r.run_id")
+    have = rows.where("story is not null").select(F.col("run_id").alias("r"), F.col("id").alias("i")).distinct()
+    return every.join(have, F.col("id").eqNullSafe(F.col("i")) & F.col("run_id").eqNullSafe(F.col("r")), "left_anti").select("run_id", "id")
+
+
+@query(f"SELECT run_id, id FROM {_MISSED}")
+def missing_stories(spark, d):
+    """Prompts joined to each run's stories from the left: those without one are listed, not scored."""
+    return missed(pairs(spark, d), prompts(spark, d))
+
+
+@query(f"""SELECT a.*, coalesce(m.missing, 0) AS missing FROM (SELECT run_id, {_REPORT} FROM {checked_sql(_PAIRS, 'run_id, id, sample')} GROUP BY run_id) a
+    LEFT JOIN (SELECT run_id, CAST(count(*) AS BIGINT) AS missing FROM {_MISSED} GROUP BY run_id) m USING (run_id)""")
 def constraint_report(spark, d):
-    return report(checked(pairs(spark, d)), "run_id")
+    rows = pairs(spark, d)
+    lacks = missed(rows, prompts(spark, d)).groupBy("run_id").agg(F.count("*").alias("missing"))  # one row for each run
+    return report(checked(rows), "run_id").join(lacks, "run_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
 
 
 @query(f"SELECT run_id, CAST(count(DISTINCT id) AS BIGINT) AS prompts, round(count(*) / count(DISTINCT id), 9) AS samples_per_prompt, round(avg(CAST(coalesce(finished, true) AS DOUBLE)), 9) AS finished FROM {_PAIRS} GROUP BY run_id")
@@ -174,15 +206,31 @@ def shuffled_base_rate(spark, d):
     return report(checked(paired))
 
 
+@query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM {_ONCE} WHERE story IS NOT NULL),
+    s AS (SELECT a.id, a.words, a.features, a.sentence, b.story FROM r a JOIN r b ON b.i = (a.i * 7919 + 13) % a.n)
+    SELECT 'gold' AS stories, {_REPORT} FROM {checked_sql(f"(SELECT * FROM {_ONCE} WHERE story IS NOT NULL)", 'id')} UNION ALL SELECT 'shuffled', {_REPORT} FROM {checked_sql('s', 'id')}""")
+def gold_and_base_rate(spark, d):
+    """The constraints checked on the records' own stories, beside the base rate of shuffled ones."""
+    gold = report(checked(records(spark, d).where("story is not null")))
+    kind = lambda df, name: df.select(F.lit(name).alias("stories"), "*")
+    return kind(gold, "gold").unionByName(kind(shuffled_base_rate(spark, d), "shuffled"))
+
+
+@query(f"SELECT id, CAST(count(*) AS BIGINT) AS rows FROM {_SAMPLES} s WHERE NOT EXISTS (SELECT 1 FROM {_PROMPTS} p WHERE p.id = s.id) GROUP BY id")
+def unknown_sample_ids(spark, d):
+    """Ids of samples that no prompt has: a strict join (known with unknown="raise") ends at the first of them."""
+    return samples(spark, d).join(prompts(spark, d).select("id"), "id", "left_anti").groupBy("id").agg(F.count("*").alias("rows"))
+
+
 @query(f"SELECT run_id, id, sample, sentence IS NOT NULL AS has_sentence, CAST(length(story) AS INTEGER) AS chars FROM {_PAIRS}")
 def join_samples_prompts(spark, d):
     return pairs(spark, d).select("run_id", "id", "sample", F.col("sentence").isNotNull().alias("has_sentence"), F.length("story").alias("chars"))
 
 
-@query(f"SELECT DISTINCT p.id FROM {_PROMPTS} p ANTI JOIN samples s ON s.id = p.id AND s.run_id LIKE 'grpo%' AND s.sample < 2 ORDER BY 1")
+@query(f"SELECT DISTINCT p.id FROM {_PROMPTS} p ANTI JOIN samples s ON s.id = p.id ORDER BY 1")
 def anti_missing_ids(spark, d):
-    """Prompts that have no early sample of a policy run."""
-    got = table(spark, d, "samples").where("run_id like 'grpo%' and sample < 2").select("id")
+    """Prompts that have no sample."""
+    got = table(spark, d, "samples").select("id")
     return prompts(spark, d).select("id").join(got, "id", "left_anti").orderBy("id")
 
 
@@ -197,7 +245,7 @@ def anti_heldout_exclusion(spark, d):
 def semi_sampled_rows(spark, d):
     """Samples of a fixed pseudo-random choice of the prompts."""
     chosen = prompts(spark, d).where(F.right("id", F.lit(7)).cast("int") * 31 % 97 < 20).select("id")
-    return samples(spark, d).join(F.broadcast(chosen), "id", "left_semi").select("id", "sample", "run_id")
+    return samples(spark, d).join(chosen, "id", "left_semi").select("id", "sample", "run_id")
 
 
 def with_groups(rows):
@@ -224,27 +272,39 @@ def informative_groups(spark, d):
     return groups.groupBy("run_id").agg(F.count("*").alias("groups"), F.round(F.avg(F.when(F.col("sd") > 1e-9, 1.0).otherwise(0.0)), 9).alias("informative"), F.round(F.sum("a") / F.sum("n"), 6).alias("mean_abs_advantage"))
 
 
-@query(f"""WITH p AS (SELECT run_id, id, avg(coalesce(reward, 0)) AS m FROM {_SAMPLES} GROUP BY run_id, id), o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM p),
-    draws AS (SELECT o.run_id, b, (b * 1000003 + o.i * 7919 + (o.i * o.i) % 101 * 31 + b * b % 97 * o.i) % o.n AS j FROM o, range(200) t(b)),
+DRAWS, _BLOCK = 2000, 100
+
+
+@query(f"""WITH c AS (SELECT run_id, id, avg(CAST(satisfied AS DOUBLE)) AS m FROM {checked_sql(_PAIRS, 'run_id, id, sample')} WHERE reward IS NOT NULL GROUP BY run_id, id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM c),
+    draws AS (SELECT o.run_id, b, (b * 1000003 + o.i * 7919 + (o.i * o.i) % 101 * 31 + b * b % 97 * o.i) % o.n AS j FROM o, range({DRAWS}) t(b)),
     means AS (SELECT d.run_id, b, avg(o.m) AS m FROM draws d JOIN o ON o.run_id = d.run_id AND o.i = d.j GROUP BY d.run_id, b)
     SELECT run_id, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY run_id""")
 def cluster_bootstrap(spark, d):
-    """95 % interval of the mean reward, drawing prompts with replacement: 200 draws by a fixed congruence."""
-    p = samples(spark, d).groupBy("run_id", "id").agg(F.avg(F.coalesce("reward", F.lit(0.0))).alias("m"))
-    w = Window.partitionBy("run_id")
-    o = p.select("run_id", "m", (F.row_number().over(w.orderBy("id")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
-    draws = o.select("run_id", "i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("b"))
-    i, b = F.col("i"), F.col("b")
-    place = (b * 1000003 + i * 7919 + (i * i) % 101 * 31 + b * b % 97 * i) % F.col("n")
-    picked = draws.select("run_id", "b", place.alias("i")).join(o.select("run_id", "i", "m"), ["run_id", "i"])
-    means = picked.groupBy("run_id", "b").agg(F.avg("m").alias("m"))
+    """95 % interval of the satisfied rate, drawing prompts with replacement: 2,000 draws by a fixed congruence.
+
+    The means of a run's prompts are a small list (one number a prompt), of which each block of draws gets a copy.
+    """
+    scored = checked(pairs(spark, d)).where("c.reward is not null")
+    p = scored.groupBy("run_id", "id").agg(F.avg(F.col("c.satisfied").cast("double")).alias("m"))
+    blocks = p.select("run_id", "id", "m", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - _BLOCK), F.lit(_BLOCK))).alias("first"))
+    means = blocks.groupBy("run_id", "first").applyInPandas(_drawn, "run_id string, m double")
     return means.groupBy("run_id").agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 
-@query(f"""SELECT sample, round(avg(reward) FILTER (run_id LIKE 'base%'), 6) AS base, round(avg(reward) FILTER (run_id LIKE 'sft%'), 6) AS sft, round(avg(reward) FILTER (run_id LIKE 'grpo%'), 6) AS grpo FROM {_SAMPLES} WHERE sample < 4 GROUP BY sample""")
+def _drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The means of one block of draws from a run's prompts in order of their ids."""
+    m = pdf.sort_values("id")["m"].to_numpy()
+    i, n = np.arange(len(m), dtype=np.int64), len(m)
+    b = int(pdf["first"].iloc[0]) + np.arange(_BLOCK, dtype=np.int64)
+    means = [m[(x * 1000003 + i * 7919 + i * i % 101 * 31 + x * x % 97 * i) % n].mean() for x in b]
+    return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "m": means})
+
+
+@query(f"""SELECT sample, round(avg(reward) FILTER (run_id LIKE 'base%'), 6) AS base, round(avg(reward) FILTER (run_id LIKE 'sft%'), 6) AS sft, round(avg(reward) FILTER (run_id LIKE 'grpo%'), 6) AS grpo FROM {_SAMPLES} GROUP BY sample""")
 def policies_side_by_side(spark, d):
     """Mean reward by sample number, one column for each kind of policy."""
-    rows = samples(spark, d).where("sample < 4").withColumn("kind", F.regexp_extract("run_id", "^[a-z]+", 0))
+    rows = samples(spark, d).withColumn("kind", F.regexp_extract("run_id", "^[a-z]+", 0))
     wide = rows.groupBy("sample").pivot("kind", ["base", "sft", "grpo"]).agg(F.avg("reward"))
     return wide.select("sample", *(F.round(k, 6).alias(k) for k in ("base", "sft", "grpo")))
 

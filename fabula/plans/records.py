@@ -99,7 +99,7 @@ def policy_summary(spark, d):
         F.size(text.words("story")).alias("n"),
         text.repetition("story").alias("r"),
         F.when(F.col("sentence") != "", text.sentence_starts("sentence", "story")).alias("s"),
-        C.word_mentions("words", "story").alias("m"),
+        C.word_mentions("words", "story", "forms").alias("m"),
     )
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 9)
     return rows.groupBy("run_id").agg(
