@@ -41,6 +41,7 @@ _SPELT = re.compile(r"(?<!\w)(?:[a-z] ){3,}[a-z](?!\w)")
 _SIMPLE = regex.compile(r"[\p{L}\p{N}]+")
 MASK, BREAK = "*", "."
 LEAST, MOST = -1.5, 4.0
+SEED = 0.3  # the prior of a word of the seed list
 # fixed values: words that start with a raised prior, in four languages
 _SEEDS = """
     idiot moron imbecile stupid dumb dumbass scum worthless pathetic disgusting filthy vermin brainless useless loser bastard jerk parasite dirtbag trash
@@ -211,48 +212,62 @@ def _sentence(tokens: list[str], a: int, b: int) -> tuple[int, int]:
 
 
 class _Sample:
-    """The n-grams of the labelled documents as numbers, with the number of clean documents that hold each."""
+    """The n-grams of the labelled documents as numbers, with the number of clean documents that hold each.
+
+    An n-gram of one document shows nothing and has the number -1; single tokens have theirs always.
+    """
 
     def __init__(self, documents: list[tuple[list[str], float]]):
         self.tokens = [t for t, _ in documents]
         self.toxic = np.array([y > 0.5 for _, y in documents], bool)
         grams, self.lengths = _grams(self.tokens)
-        self.doc = np.repeat(np.arange(len(documents)), self.lengths)
-        self.keys, first, self.gram = np.unique(grams.ravel(), return_index=True, return_inverse=True)
-        self.gram = self.gram.reshape(grams.shape)
-        kind, place = np.divmod(first, max(grams.shape[1], 1))
-        self.kind = kind
-        # the n-gram that is the prior of each: the bigram of a trigram, the last token of a pair
-        self.prior = self.gram[np.where(kind == 3, 1, 0), place] if len(first) else first
-        self.clean = self._count(~self.toxic[self.doc])
-        self.everywhere = self._count(np.ones(len(self.doc), bool))
-        self.ours = np.flatnonzero(self.toxic[self.doc])  # places in documents labelled toxic
+        self.doc = np.repeat(np.arange(len(documents), dtype=np.int32), self.lengths)
+        self.gram = np.empty(grams.shape, np.int32)
+        keys, kinds, priors, size = [], [], [], 0
+        for kind in (0, 1, 2, 3):
+            key, first, gram = np.unique(grams[kind], return_index=True, return_inverse=True)
+            kept = np.full(len(key), kind == 0) | (self._documents(gram, len(key), self.doc) > 1)
+            number = np.where(kept, np.cumsum(kept) - 1 + size, -1).astype(np.int32)
+            self.gram[kind] = number[gram]
+            # the n-gram that is the prior of each: the bigram of a trigram, the last token of a pair
+            priors.append(self.gram[1 if kind == 3 else 0, first[kept]])
+            keys.append(key[kept])
+            kinds.append(np.full(len(keys[-1]), kind, np.int8))
+            size += len(keys[-1])
+        self.keys, self.kind, self.prior = np.concatenate(keys), np.concatenate(kinds), np.concatenate(priors)
+        ours = self.toxic[self.doc]
+        self.clean = self._count(~ours)
+        self.ours = self._count(ours)
+
+    def _documents(self, gram: np.ndarray, n: int, doc: np.ndarray) -> np.ndarray:
+        """Number of documents that hold each of n n-grams."""
+        pair = np.sort(gram.astype(np.int64) * len(self.tokens) + doc)
+        pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
+        return np.bincount(pair // max(len(self.tokens), 1), minlength=n)
 
     def _count(self, chosen: np.ndarray) -> np.ndarray:
         """Number of documents that hold each n-gram at a chosen place."""
-        gram, doc = self.gram[:, chosen], self.doc[chosen]
-        pair = np.sort((gram * len(self.tokens) + doc).ravel())
-        pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
-        return np.bincount(pair // max(len(self.tokens), 1), minlength=len(self.keys))
+        total = np.zeros(len(self.keys), np.int64)
+        for gram in self.gram:
+            some = chosen & (gram >= 0)
+            total += self._documents(gram[some], len(total), self.doc[some])
+        return total
 
     def scores(self, marked: np.ndarray, base: float, strength: float, even: float, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, log-odds) of all n-grams over those of a token that is marked with the share `even`; each n-gram has
         the shorter one as its prior. Scores are kept between LEAST and MOST, so that no single token decides or
-        forbids. An n-gram of one document shows nothing and is left out."""
+        forbids."""
         yes = self._count(marked)
-        ours = np.zeros(len(self.doc), bool)
-        ours[self.ours] = True
-        no = self.clean + self._count(ours) - yes
-        share = np.where(np.isin(self.keys, seeds), max(base, 0.3), base)
-        prior = share
+        no = self.clean + self.ours - yes
+        share = np.where(np.isin(self.keys, seeds), max(base, SEED), base)
         for kinds in ((0,), (1, 2), (3,)):
             mine = np.isin(self.kind, kinds)
-            if kinds != (0,):
-                prior = share[self.prior]
+            prior = share if kinds == (0,) else share[self.prior]
             share = np.where(mine, (yes + strength * prior) / (no + yes + strength), share)
-        kept = (self.kind == 0) | (self.everywhere > 1)
-        p = share[kept]
-        return self.keys[kept], np.clip(np.log(p / (1 - p)) - math.log(even / (1 - even)), LEAST, MOST)
+        # words of the seed list that the sample doesn't hold keep their prior
+        unseen = np.setdiff1d(seeds, self.keys[self.kind == 0])
+        keys, share = np.append(self.keys, unseen), np.append(share, np.full(len(unseen), SEED))
+        return keys, np.clip(np.log(share / (1 - share)) - math.log(even / (1 - even)), LEAST, MOST)
 
 
 def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns: int = 3, held_out: bool = True) -> Model:
@@ -266,6 +281,7 @@ def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns:
     model = Model(seeds, np.full(len(seeds), 2.0), LEAST)
     if not any(y > 0.5 and t for t, y in documents):
         return model
+    rate, size = _held_out(documents, strength, turns) if held_out else (0.7, 0.1)
     sample = _Sample(documents)
     toxic = np.flatnonzero(sample.toxic)
     begin = np.cumsum(sample.lengths) - sample.lengths
@@ -283,33 +299,35 @@ def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns:
                 if x >= max(3.0, 0.3 * best):
                     a, b = _sentence(sample.tokens[i], a, b)
                     marked[begin[i] + a : begin[i] + b] = True
-    if held_out:
-        best, n = [], []
-        for half in (0, 1):
-            other = fit(documents[half::2], strength, turns, False)
-            clean = [t for t, y in documents[1 - half :: 2] if y <= 0.5 and t]
-            best.append(other.score(clean).best())
-            n.append(np.array([len(t) for t in clean]))
-        model.rate, model.size = calibrated(np.concatenate(best), np.concatenate(n))
+    model.rate, model.size = rate, size
     return model
 
 
-def calibrated(best: np.ndarray, n: np.ndarray, low: float = 0.5, high: float = 0.9) -> tuple[float, float]:
+def _held_out(documents: list[tuple[list[str], float]], strength: float, turns: int) -> tuple[float, float]:
+    """(lambda, K) of each half of the clean documents under the model of the other half."""
+    best, n = [], []
+    for half in (0, 1):
+        other = fit(documents[half::2], strength, turns, False)
+        clean = [t for t, y in documents[1 - half :: 2] if y <= 0.5 and t]
+        best.append(other.score(clean).best())
+        n.append(np.array([len(t) for t in clean]))
+    return calibrated(np.concatenate(best), np.concatenate(n))
+
+
+def calibrated(best: np.ndarray, n: np.ndarray, high: float = 0.99) -> tuple[float, float]:
     """(lambda, K) of the best scores of clean texts of n tokens.
 
-    The values above the quantile `high` are taken as not observed, as wrong labels may be among them; of those below
-    `low` only that they are, as the law holds for the upper part. Given lambda, K has a closed form.
+    The values above the quantile `high` are taken as not observed, as wrong labels may be among them; of those that
+    are 0 only that no segment was positive. Given lambda, K has a closed form.
     """
-    if len(best) < 20:
-        return 0.7, 0.1
-    x0, x1 = np.quantile(best, [low, high])
-    n, best = n[best <= x1], best[best <= x1]
-    upper = best > x0
-    if not upper.any() or x1 <= x0:
+    top = float(np.quantile(best, high)) if len(best) else 0.0
+    n, best = n[best <= top], best[best <= top]
+    upper = best > 0
+    if upper.sum() < 10:
         return 0.7, 0.1
     chosen, greatest = (0.7, 0.1), -np.inf
     for rate in np.linspace(0.05, 2.0, 118):
-        mass = float(np.sum(n * (np.exp(-rate * np.maximum(best, x0)) - np.exp(-rate * x1))))
+        mass = float(np.sum(n * (np.exp(-rate * best) - np.exp(-rate * top))))
         size = int(upper.sum()) / mass
         value = int(upper.sum()) * (math.log(size) + math.log(rate)) - rate * float(best[upper].sum()) - size * mass
         if value > greatest:
@@ -332,7 +350,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> DataF
 def fit_model(documents: DataFrame, labels: DataFrame, most: int = 24_000) -> Model:
     """A model of the sample of labelled documents; without labels only the seed list speaks."""
     rows = sorted(labelled_sample(documents, labels, most).collect(), key=lambda r: r.doc_id)  # at most `most`
-    return fit([(read_tokens(r.text), r.y) for r in rows])
+    one: dict[str, str] = {}  # each token is kept once
+    return fit([([one.setdefault(t, t) for t in read_tokens(r.text)], r.y) for r in rows])
 
 
 def _score(shared, threshold: float):
