@@ -139,3 +139,10 @@ def parse_record(text: Column | str) -> Column:
         return F.when(story != "", record)
 
     return F.aggregate(lines, empty, step, finish)
+
+
+def short_size(n: Column | str) -> Column:
+    """A count with an SI prefix and one decimal: 950, 1.5k, 2.0M, 3.1G."""
+    n = _col(n)
+    short = lambda unit, sign: F.format_string(f"%.1f{sign}", n / unit)
+    return F.when(n >= 1e9, short(1e9, "G")).when(n >= 1e6, short(1e6, "M")).when(n >= 1e3, short(1e3, "k")).otherwise(n.cast("string"))

@@ -6,6 +6,9 @@ of these, joined back, lets every partition number its own rows. No single task
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +52,32 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list[str], value: str, int
     ends = ranged.groupBy("__part").agg(F.min(key).alias("__first"), F.max(key).alias("__last"))  # one row for each partition
     of_last = ranged.join(F.broadcast(ends), "__part").where(key.eqNullSafe(F.col("__last")))
     total = F.sum(amount) if how == "sum" else F.max_by(amount, F.when(F.col(value).isNotNull(), F.struct(*order)))
-    left = of_last.groupBy("__part").agg(F.first("__last").alias("__key"), total.alias("__value")).where("__value is not null").withColumnRenamed("__part", "__from")
-    brought = ends.join(F.broadcast(left), F.col("__first").eqNullSafe(F.col("__key")) & (F.col("__from") < F.col("__part")))
-    carry = brought.groupBy("__part").agg(F.first("__first").alias("__first"), (F.sum("__value") if how == "sum" else F.max_by("__value", "__from")).alias("__carry"))
+    # per partition: what it leaves to later ones for its last key, and (earlier in the line) its question for its first
+    left = of_last.groupBy("__part").agg(F.first("__last").alias("__key"), total.alias("__value")).select("__part", F.lit(1).alias("__turn"), "__key", "__value")
+    asks = ends.select("__part", F.lit(0).alias("__turn"), F.col("__first").alias("__key"), F.lit(None).cast(left.schema["__value"].dataType).alias("__value"))
+    line = Window.partitionBy("__key").orderBy("__part", "__turn").rowsBetween(Window.unboundedPreceding, -1)
+    brought = F.sum("__value").over(line) if how == "sum" else F.last("__value", ignorenulls=True).over(line)
+    carry = asks.unionByName(left).withColumn("__carry", brought).where("__turn = 0 and __carry is not null").select("__part", F.col("__key").alias("__first"), "__carry")
     joined = ranged.withColumn("__scan", scan).join(F.broadcast(carry), "__part", "left")
     own = F.when(key.eqNullSafe(F.col("__first")), F.col("__carry"))
     result = F.col("__scan") + F.coalesce(own, F.lit(0)) if how == "sum" else F.coalesce("__scan", own)
     return joined.withColumn(into, result).drop("__part", "__scan", "__first", "__carry")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """keys and, for each name, the percentile of `value` within the key, interpolated between ranks.
+
+    The rows are ranked along the global order of (keys, value), so a key with a third of all rows is no single task;
+    of each key two rows a percentile are picked. Nulls don't count; a key with nothing else has no row.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.lit(1).cast("long").alias("__one"))
+    ranked = keyed_scan(rows, keys, ["__v"], "__one", "__i", exclusive=True)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    of_key = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__n")
+    both = ranked.join(of_key, reduce(and_, same))
+    places = {name: (F.col("__n") - 1) * F.lit(float(q)) for name, q in wanted.items()}
+    near = both.where(reduce(or_, ((F.col("__i") == end(p)) for p in places.values() for end in (F.floor, F.ceil))))
+    at = lambda p, end: F.max(F.when(F.col("__i") == end(p), F.col("__v")))
+    part = lambda p: F.max(p - F.floor(p))
+    return near.groupBy(*keys).agg(*((at(p, F.floor) + (at(p, F.ceil) - at(p, F.floor)) * part(p)).alias(name) for name, p in places.items()))

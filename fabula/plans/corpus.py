@@ -37,8 +37,8 @@ def union_splits(spark, d):
     WHERE {Q.strip("coalesce(text, '')")} <> ''""")
 def stable_row_ids(spark, d):
     """Numbers of all rows in order, also of those that are left out afterwards."""
-    numbered = order.row_numbers(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "n")
-    kept = numbered.where(text.strip(F.coalesce("text", F.lit(""))) != "")
+    flagged = table(spark, d, "documents").select("doc_id", (text.strip(F.coalesce("text", F.lit(""))) != "").alias("kept"))
+    kept = order.row_numbers(flagged, ["doc_id"], "n").where("kept")
     return kept.select(F.format_string("doc-%07d", "n").alias("id"), "doc_id")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula.operators.order import keyed_scan
@@ -114,7 +113,10 @@ def ablation_pivot(spark, d):
     return wide.select("policy", *(F.round(F.col(f"`{s}`"), 6).alias(f"s{s}") for s in (17, 29, 43)))
 
 
-_VAL = f"(SELECT run_id, step * 65536.0 * 6 AS x, val_loss AS y FROM {_LAST} WHERE val_loss IS NOT NULL)"
+# parameters of the model whose runs the log holds; training takes six operations a parameter and token
+PARAMETERS = 5_800_000
+FLOPS = 65536.0 * 6 * PARAMETERS
+_VAL = f"(SELECT run_id, step * {FLOPS} AS x, val_loss AS y FROM {_LAST} WHERE val_loss IS NOT NULL)"
 
 
 @query(f"""WITH v AS {_VAL}, seg AS (SELECT run_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS i FROM v WINDOW w AS (PARTITION BY run_id ORDER BY x)),
@@ -124,21 +126,26 @@ _VAL = f"(SELECT run_id, step * 65536.0 * 6 AS x, val_loss AS y FROM {_LAST} WHE
     SELECT of_run, on_run, round(loss, 6) AS loss FROM hits""")
 def curve_interpolation(spark, d):
     """The loss of each other run at a run's final compute, linear in the logarithm of compute between two points."""
-    v = last_rows(table(spark, d, "train_log")).where("val_loss is not null").select("run_id", (F.col("step") * 65536.0 * 6).alias("x"), F.col("val_loss").alias("y"))
-    w = Window.partitionBy("run_id").orderBy("x")
-    seg = v.select(F.col("run_id").alias("on_run"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.row_number().over(w).alias("i"))
+    v = last_rows(table(spark, d, "train_log")).where("val_loss is not null").select("run_id", (F.col("step") * FLOPS).alias("x"), F.col("val_loss").alias("y"))
     budget = v.groupBy(F.col("run_id").alias("of_run")).agg(F.max("x").alias("b"))  # one row for each run
-    b = F.col("b")
-    inside = (b >= F.col("x0")) & (F.col("x1").isNull() | (b < F.col("x1"))) | (F.col("i") == 1) & (b < F.col("x0"))
-    line = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.ln(b) - F.ln("x0")) / (F.ln("x1") - F.ln("x0"))
-    loss = F.when(F.col("x1").isNull() | (b <= F.col("x0")), F.col("y0")).otherwise(line)
-    return seg.join(F.broadcast(budget), (F.col("of_run") != F.col("on_run")) & inside).select("of_run", "on_run", F.round(loss, 6).alias("loss"))
+    runs = budget.select(F.col("of_run").alias("run_id"))
+    # every run's points and the other runs' budgets in one line; each budget takes the points next to it on both sides
+    point = F.struct("x", "y")
+    points = v.select("run_id", "x", F.lit("").alias("of_run"), point.alias("p"))
+    asked = runs.join(budget, F.col("run_id") != F.col("of_run")).select("run_id", F.col("b").alias("x"), "of_run", F.lit(None).cast(points.schema["p"].dataType).alias("p"))
+    line = points.unionByName(asked).withColumn("back", -F.col("x"))
+    before = keyed_scan(line, ["run_id"], ["x", "of_run"], "p", "before", how="last")
+    after = keyed_scan(before, ["run_id"], ["back", "of_run"], "p", "after", how="last").where("p is null")
+    x, x0, y0, x1, y1 = F.col("x"), F.col("before.x"), F.col("before.y"), F.col("after.x"), F.col("after.y")
+    between = y0 + (y1 - y0) * (F.ln(x) - F.ln(x0)) / (F.ln(x1) - F.ln(x0))
+    loss = F.when(x0.isNull(), y1).when(x1.isNull() | (x <= x0), y0).otherwise(between)
+    return after.select("of_run", F.col("run_id").alias("on_run"), F.round(loss, 6).alias("loss"))
 
 
 @query(f"""WITH v AS {_VAL}, t AS (SELECT max(m) AS target FROM (SELECT run_id, min(y) AS m FROM v GROUP BY run_id))
     SELECT run_id, round(CAST(min(x) AS DOUBLE), 1) AS compute FROM v, t WHERE y <= target GROUP BY run_id""")
 def first_crossing(spark, d):
     """The least compute at which each run reaches the loss that all runs reach."""
-    v = last_rows(table(spark, d, "train_log")).where("val_loss is not null").select("run_id", (F.col("step") * 65536.0 * 6).alias("x"), F.col("val_loss").alias("y"))
+    v = last_rows(table(spark, d, "train_log")).where("val_loss is not null").select("run_id", (F.col("step") * FLOPS).alias("x"), F.col("val_loss").alias("y"))
     target = v.groupBy("run_id").agg(F.min("y").alias("m")).agg(F.max("m").alias("target"))  # one row
     return v.join(F.broadcast(target), F.col("y") <= F.col("target")).groupBy("run_id").agg(F.round(F.min("x"), 1).alias("compute"))

@@ -59,11 +59,13 @@ def seeded_shuffle(spark, d):
     SELECT s AS sample, substr(text, CAST(c % (length(text) - 64) + 1 AS BIGINT), 64) AS input, substr(text, CAST(c % (length(text) - 64) + 2 AS BIGINT), 64) AS target FROM b JOIN n ON n.i = a % n.n""")
 def window_batch(spark, d):
     """A batch of 256 windows of 64 characters and their successors, with replacement, at places of a congruence."""
-    rows = order.row_numbers(table(spark, d, "documents").where(F.length("text") > 64).select("doc_id", "text"), ["doc_id"], "i")
+    texts = table(spark, d, "documents").where(F.length("text") > 64).select("doc_id", "text")
+    rows = order.row_numbers(texts.select("doc_id"), ["doc_id"], "i")  # ids only; the few texts are fetched afterwards
     n = rows.count()
     starts = spark.range(256).select(F.col("id").alias("sample"), ((F.col("id") * 7919 + 3) % max(n, 1)).alias("i"), (F.col("id") * 104729).alias("c"))
     at = (F.col("c") % (F.length("text") - 64)).cast("int")
-    return rows.join(F.broadcast(starts), "i").select("sample", F.substr("text", at + 1, F.lit(64)).alias("input"), F.substr("text", at + 2, F.lit(64)).alias("target"))
+    chosen = rows.join(F.broadcast(starts), "i")  # 256 rows
+    return texts.join(F.broadcast(chosen), "doc_id").select("sample", F.substr("text", at + 1, F.lit(64)).alias("input"), F.substr("text", at + 2, F.lit(64)).alias("target"))
 
 
 @query("""SELECT 'both' AS part, CAST(count(*) AS BIGINT) AS ids FROM (SELECT id FROM samples INTERSECT SELECT id FROM heldout_prompts) UNION ALL
@@ -75,12 +77,51 @@ def id_sets(spark, d):
     return count("both", a.intersect(b)).unionByName(count("only samples", a.subtract(b))).unionByName(count("only prompts", b.subtract(a)))
 
 
-@query("SELECT DISTINCT id, sha256(id) AS digest, CAST(('0x' || substr(sha256(id), 7, 2) || substr(sha256(id), 5, 2) || substr(sha256(id), 3, 2) || left(sha256(id), 2)) AS BIGINT) AS seed FROM heldout_prompts WHERE id IS NOT NULL")
+SEED = 17
+
+
+@query(f"""SELECT DISTINCT id, sha256(id) AS digest, CAST(xor(CAST(('0x' || {" || ".join(f"substr(sha256(id), {i}, 2)" for i in range(15, 0, -2))}) AS UBIGINT), CAST({SEED} AS UBIGINT)) AS VARCHAR) AS seed FROM heldout_prompts WHERE id IS NOT NULL""")
 def request_seeds(spark, d):
-    """A seed for each id: the first four bytes of its SHA-256, the lowest first."""
+    """A seed for each id: the first eight bytes of its SHA-256, the lowest first, xor the run's seed; an unsigned number
+    in decimal digits."""
     digest = F.sha2("id", 256)
-    low_first = F.concat(*(F.substr(digest, F.lit(i), F.lit(2)) for i in (7, 5, 3, 1)))
-    return prompts(spark, d).select("id", digest.alias("digest"), F.conv(low_first, 16, 10).cast("long").alias("seed"))
+    low_first = F.concat(*(F.substr(digest, F.lit(i), F.lit(2)) for i in range(15, 0, -2)))
+    seed = F.conv(low_first, 16, -10).cast("long").bitwiseXOR(F.lit(SEED).cast("long"))
+    return prompts(spark, d).select("id", digest.alias("digest"), F.conv(F.hex(seed), 16, 10).alias("seed"))
+
+
+@query(f"""SELECT id FROM (SELECT id, row_number() OVER (ORDER BY CAST(right(id, 7) AS BIGINT) * 7919 % 100003, id) AS k FROM (SELECT DISTINCT id FROM instruct_records WHERE id LIKE 'train-%' AND story IS NOT NULL) r
+    WHERE NOT EXISTS (SELECT 1 FROM samples s WHERE right(s.id, 7) = right(r.id, 7))) WHERE k <= 100""")
+def sample_with_exclusion(spark, d):
+    """100 training ids in a fixed pseudo-random order, without those whose number a sampled prompt has: they are taken
+    out before the choice, so that it is always whole."""
+    ids = table(spark, d, "instruct_records").where("id like 'train-%' and story is not null").select("id").distinct()
+    gone = table(spark, d, "samples").select(F.right("id", F.lit(7)).alias("number")).distinct()
+    number = F.right("id", F.lit(7))
+    rest = ids.withColumn("number", number).join(gone, "number", "left_anti")
+    return rest.orderBy(F.col("number").cast("long") * 7919 % 100003, "id").limit(100).select("id")
+
+
+@query("""SELECT bench_id, CAST(count(*) AS BIGINT) AS deliveries, CAST(count(DISTINCT (policy, workload, arrival_rate, seed, started_at)) AS BIGINT) AS configs, CAST(count(DISTINCT md5(CAST(per_request AS VARCHAR))) AS BIGINT) AS contents FROM bench_runs GROUP BY bench_id HAVING count(*) > 1""")
+def repeated_runs(spark, d):
+    """Runs that were delivered several times, with the number of their different configurations and contents; more than
+    one of either is a failed integrity check."""
+    runs = table(spark, d, "bench_runs")
+    config = F.count_distinct(F.struct("policy", "workload", "arrival_rate", "seed", "started_at"))
+    grouped = runs.groupBy("bench_id").agg(F.count("*").alias("deliveries"), config.alias("configs"), F.count_distinct(F.when(F.col("per_request").isNotNull(), F.sha2(F.to_json("per_request"), 256))).alias("contents"))
+    return grouped.where("deliveries > 1")
+
+
+_SI = "CASE WHEN n >= 1e9 THEN printf('%.1fG', n / 1e9) WHEN n >= 1e6 THEN printf('%.1fM', n / 1e6) WHEN n >= 1e3 THEN printf('%.1fk', n / 1e3) ELSE CAST(n AS VARCHAR) END"
+
+
+@query(f"SELECT lang, {_SI} AS size, printf('%.1f%%', 100.0 * n / sum(n) OVER ()) AS share FROM (SELECT coalesce(lower(lang), '(none)') AS lang, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS n FROM documents GROUP BY 1)")
+def sizes_by_language(spark, d):
+    """Bytes of text by language in short form, and their shares in per cent."""
+    n = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    rows = table(spark, d, "documents").groupBy(F.coalesce(F.lower("lang"), F.lit("(none)")).alias("lang")).agg(n.alias("n"))
+    total = rows.agg(F.sum("n").alias("total"))  # one row
+    return rows.join(F.broadcast(total)).select("lang", text.short_size("n").alias("size"), F.format_string("%.1f%%", 100.0 * F.col("n") / F.col("total")).alias("share"))
 
 
 _W = Q.words("story")

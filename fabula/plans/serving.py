@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula.operators import simulate
-from fabula.operators.order import keyed_scan, row_numbers
+from fabula.operators.order import keyed_scan, percentiles, row_numbers
 from fabula.plans.registry import Registry
+from fabula.session import materialize
 from fabula.tables import table
 
 registry = Registry()
@@ -36,18 +37,34 @@ def request_summary(spark, d):
     """Counts, goodput and latencies; rejected requests stay in the denominator of the goodput."""
     status = lambda s: F.count_if(F.col("status") == s)
     done = F.col("status") == "completed"
-    at = lambda q: F.round(F.percentile(F.when(done, F.col("ttft_ms")), F.lit(q)), 6)
-    return requests(spark, d).groupBy("policy", "workload").agg(
+    rows = materialize(requests(spark, d).select("policy", "workload", "status", "output_tokens", "ttft_ms"), "requests")
+    waits = percentiles(rows.where(done), ["policy", "workload"], "ttft_ms", {"ttft_p50": 0.5, "ttft_p95": 0.95, "ttft_p99": 0.99})
+    counts = rows.groupBy("policy", "workload").agg(
         F.count("*").alias("submitted"),
         status("completed").alias("completed"),
         status("rejected").alias("rejected"),
         status("cancelled").alias("cancelled"),
         F.coalesce(F.sum(F.when(done, F.col("output_tokens"))), F.lit(0)).cast("long").alias("output_tokens"),
         F.round(F.count_if(done & (F.col("ttft_ms") <= 200)) / F.count("*"), 9).alias("slo_fraction"),
-        at(0.5).alias("ttft_p50"),
-        at(0.95).alias("ttft_p95"),
-        at(0.99).alias("ttft_p99"),
     )
+    waits = waits.select(F.col("policy").alias("p"), F.col("workload").alias("w"), *(F.round(c, 6).alias(c) for c in ("ttft_p50", "ttft_p95", "ttft_p99")))
+    return counts.join(waits, F.col("policy").eqNullSafe(F.col("p")) & F.col("workload").eqNullSafe(F.col("w")), "left").drop("p", "w")
+
+
+@query(f"""WITH u AS (SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM events GROUP BY user_id), a AS (SELECT min(first) AS began, (max(last) - min(first)) / 1e6 AS elapsed FROM u),
+    r AS (SELECT *, (first - began) / 3.6e9 AS ttft, CASE WHEN n > 1 THEN (last - first) / 3.6e9 / (n - 1) ELSE 0 END AS tpot FROM u, a)
+    SELECT CAST(count(*) AS BIGINT) AS requests, round(any_value(elapsed), 3) AS elapsed_s, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n) / any_value(elapsed), 9) AS tokens_per_second, CAST(count(*) FILTER (ttft <= 24 AND tpot <= 48) AS BIGINT) AS slo_requests,
+        round(count(*) FILTER (ttft <= 24 AND tpot <= 48) / count(*), 9) AS slo_fraction, round(count(*) FILTER (ttft <= 24 AND tpot <= 48) / any_value(elapsed), 12) AS goodput FROM r""")
+def emission_slo(spark, d):
+    """Users as requests and their events as emitted tokens: throughput, and the share that meets both bounds, of the
+    wait for the first (24 hours after the first of all) and of the mean time between two (48 hours)."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    users = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min(us).alias("first"), F.max(us).alias("last"))
+    began = users.agg(F.min("first").alias("began"), ((F.max("last") - F.min("first")) / 1e6).alias("elapsed"))  # one row
+    ttft = (F.col("first") - F.col("began")) / 3.6e9
+    tpot = F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / 3.6e9 / (F.col("n") - 1)).otherwise(0.0)
+    good, elapsed = F.count_if((ttft <= 24) & (tpot <= 48)), F.first("elapsed")
+    return users.join(F.broadcast(began)).agg(F.count("*").alias("requests"), F.round(elapsed, 3).alias("elapsed_s"), F.sum("n").alias("tokens"), F.round(F.sum("n") / elapsed, 9).alias("tokens_per_second"), good.alias("slo_requests"), F.round(good / F.count("*"), 9).alias("slo_fraction"), F.round(good / elapsed, 12).alias("goodput"))
 
 
 @query(f"""WITH r AS (SELECT arrival_rate, policy, bench_id, quantile_cont(ttft_ms, 0.99) FILTER (status = 'completed') AS p99 FROM {_REQUESTS} GROUP BY 1, 2, 3)
@@ -73,15 +90,18 @@ def mean_interval_per_user(spark, d):
 def inter_event_p99(spark, d):
     events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     before = keyed_scan(events, ["user_id"], ["us", "event_id"], "us", "before", how="last", exclusive=True)
-    gaps = before.select("event_type", ((F.col("us") - F.col("before")) / 1000.0).alias("gap"))
-    return gaps.groupBy("event_type").agg(F.count("gap").alias("gaps"), F.round(F.percentile("gap", F.lit(0.99)), 3).alias("p99_ms"))
+    gaps = materialize(before.select("event_type", ((F.col("us") - F.col("before")) / 1000.0).alias("gap")), "gaps")
+    p99 = percentiles(gaps, ["event_type"], "gap", {"p99_ms": 0.99}).select(F.col("event_type").alias("t"), F.round("p99_ms", 3).alias("p99_ms"))
+    counts = gaps.groupBy("event_type").agg(F.count("gap").alias("gaps"))
+    return counts.join(p99, F.col("event_type").eqNullSafe(F.col("t")), "left").drop("t")
 
 
-@query("SELECT event_type, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS digest FROM (SELECT event_type, event_id, event_id // 1000 AS block FROM events) WHERE block = 0 GROUP BY event_type")
+@query("SELECT event_type, event_id // 1000 AS block, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS digest FROM events GROUP BY ALL")
 def ordered_digest(spark, d):
-    """Digest of the event ids below 1,000 of each type, in ascending order: a fixed set of ids, as of held-out prompts."""
-    ids = table(spark, d, "events").where("event_id between 0 and 999").groupBy("event_type").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return ids.select("event_type", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("digest"))
+    """Digests of the event ids of each type, in ascending order, block by block of 1,000 ids, so that no group grows."""
+    block = F.floor(F.col("event_id") / 1000).alias("block")
+    ids = table(spark, d, "events").groupBy("event_type", block).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return ids.select("event_type", "block", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("digest"))
 
 
 @query(f"""WITH r AS (SELECT bench_id, sum(prompt_tokens + output_tokens) AS live, sum(CAST(ceil((prompt_tokens + output_tokens) / 16.0) * 16 AS BIGINT)) AS reserved FROM {_REQUESTS} WHERE status = 'completed' AND prompt_tokens > 0 GROUP BY bench_id)
@@ -104,6 +124,33 @@ def burst_arrivals(spark, d):
     return rows.select("request", F.round(F.sum("gap").over(w), 9).alias("arrival"), "burst_arrival")
 
 
+WORKLOADS = ["mixed", "short", "prefix", "burst", "head_of_line"]
+_RATES, _SEEDS, _REQUESTS_EACH = [5.0, 20.0], [17, 29, 43], 24
+_DRAW = "(r * 7919 + seed * 104729 + {k} * 15485863) % 99991"
+
+
+@query(f"""WITH g AS (SELECT w.workload, v.rate, s.seed, r FROM (SELECT unnest({WORKLOADS}) AS workload) w, (SELECT unnest({_RATES}) AS rate) v, (SELECT unnest({_SEEDS}) AS seed) s, range({_REQUESTS_EACH}) t(r)),
+    x AS (SELECT *, CASE WHEN r = 0 THEN 0 ELSE -ln(({_DRAW.format(k=1)} + 1) / 99992.0) / rate END AS gap, [32, 64, 256][{_DRAW.format(k=2)} % 3 + 1] AS any_prompt, [8, 16, 32][{_DRAW.format(k=3)} % 3 + 1] AS output FROM g),
+    y AS (SELECT *, CASE workload WHEN 'short' THEN 32 WHEN 'prefix' THEN 48 + least(any_prompt, 32) WHEN 'head_of_line' THEN CASE WHEN r % 8 = 0 THEN 384 ELSE 32 END ELSE any_prompt END AS prompt FROM x)
+    SELECT workload, CAST(rate AS DOUBLE) AS rate, CAST(seed AS INTEGER) AS seed, printf('r%04d', r) AS id, round(CASE WHEN workload = 'burst' THEN (r // 8) * 8 / rate ELSE sum(gap) OVER (PARTITION BY workload, rate, seed ORDER BY r) END, 9) AS arrival,
+        CAST(least(prompt, 512 - output) AS INTEGER) AS prompt_tokens, CAST(output AS INTEGER) AS output_tokens, CAST(CASE WHEN workload = 'prefix' THEN 48 ELSE 0 END AS INTEGER) AS shared_tokens FROM y""")
+def synthetic_traces(spark, d):
+    """Request traces of five workloads, two rates and three seeds: open-loop arrivals (running sums of exponential gaps,
+    or bursts of eight), prompts by workload, a context of 512. Draws come from a congruence."""
+    pick = lambda values: F.explode(F.array(*map(F.lit, values)))
+    grid = spark.range(_REQUESTS_EACH).withColumnRenamed("id", "r").withColumn("workload", pick(WORKLOADS)).withColumn("rate", pick(_RATES)).withColumn("seed", pick(_SEEDS))
+    draw = lambda k: (F.col("r") * 7919 + F.col("seed").cast("long") * 104729 + k * 15485863) % 99991
+    one_of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (draw(k) % len(values) + 1).cast("int"))
+    is_ = lambda name: F.col("workload") == name
+    any_prompt = one_of([32, 64, 256], 2)
+    prompt = F.when(is_("short"), 32).when(is_("prefix"), 48 + F.least(any_prompt, F.lit(32))).when(is_("head_of_line"), F.when(F.col("r") % 8 == 0, 384).otherwise(32)).otherwise(any_prompt)
+    gap = F.when(F.col("r") == 0, 0.0).otherwise(-F.ln((draw(1) + 1) / 99992.0) / F.col("rate"))
+    w = Window.partitionBy("workload", "rate", "seed").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)  # 24 rows
+    rows = grid.select("workload", "rate", "seed", "r", gap.alias("gap"), prompt.alias("prompt"), one_of([8, 16, 32], 3).alias("output"))
+    arrival = F.when(is_("burst"), F.floor(F.col("r") / 8) * 8 / F.col("rate")).otherwise(F.sum("gap").over(w))
+    return rows.select("workload", "rate", "seed", F.format_string("r%04d", "r").alias("id"), F.round(arrival, 9).alias("arrival"), F.least(F.col("prompt"), 512 - F.col("output")).alias("prompt_tokens"), F.col("output").alias("output_tokens"), F.when(is_("prefix"), 48).otherwise(0).alias("shared_tokens"))
+
+
 @query("""SELECT s AS step, j AS slot, p.id FROM range(50) a(s), range(8) b(j), (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM heldout_prompts)) p WHERE p.i = (s * 8 + j) % p.n""")
 def cyclic_schedule(spark, d):
     """Prompts of each of 50 steps of eight slots, going round the pool."""
@@ -149,6 +196,37 @@ def queue_simulation(spark, d):
 
 @query()
 def simulated_latency(spark, d):
-    """Latencies of the replay by policy."""
+    """Latencies, throughput and goodput of the replay by policy: a good request has its first token within 200 ms and
+    the others within 12 ms each on average; all that were submitted are in the denominator."""
+    rows = materialize(simulate.replay(requests(spark, d)), "replay")
     done = F.col("status") == "completed"
-    return simulate.replay(requests(spark, d)).groupBy("policy").agg(F.count("*").alias("submitted"), F.count_if(done).alias("completed"), F.round(F.percentile(F.when(done, F.col("first_token") - F.col("arrival")), F.lit(0.99)), 6).alias("ttft_p99"))
+    ttft = F.col("first_token") - F.col("arrival")
+    tpot = F.when(F.col("output_tokens") > 1, (F.col("finished") - F.col("first_token")) / (F.col("output_tokens") - 1)).otherwise(0.0)
+    good = F.count_if(done & (ttft <= 0.2) & (tpot <= 0.012))
+    elapsed = rows.groupBy("policy", "bench_id").agg((F.max("finished") - F.min("arrival")).alias("e")).groupBy("policy").agg(F.sum("e").alias("elapsed"))
+    counts = rows.groupBy("policy").agg(F.count("*").alias("submitted"), *(F.count_if(F.col("status") == s).alias(s) for s in ("completed", "rejected", "cancelled")), F.coalesce(F.sum(F.when(done, F.col("output_tokens"))), F.lit(0)).alias("tokens"), good.alias("good"))
+    waits = percentiles(rows.where(done).withColumn("ttft", ttft), ["policy"], "ttft", {"ttft_p50": 0.5, "ttft_p99": 0.99})
+    both = counts.join(elapsed, "policy").join(waits, "policy", "left")
+    return both.select("policy", "submitted", "completed", "rejected", "cancelled", F.round("elapsed", 6).alias("elapsed_s"), F.round(F.col("tokens") / F.col("elapsed"), 6).alias("tokens_per_second"), F.round(F.col("good") / F.col("submitted"), 9).alias("slo_fraction"), F.round(F.col("good") / F.col("elapsed"), 9).alias("goodput"), F.round("ttft_p50", 6).alias("ttft_p50"), F.round("ttft_p99", 6).alias("ttft_p99"))
+
+
+@query(f"""SELECT bench_id, CAST(count(*) AS BIGINT) AS requests, CAST(sum(greatest(1, coalesce(output_tokens, 0))) AS BIGINT) AS asked, true AS all_ended, true AS in_order, true AS within_what_was_asked, true AS first_in_first_out
+    FROM {_REQUESTS} WHERE prompt_tokens > 0 AND arrival_rate > 0 AND policy IN ('static', 'continuous', 'chunked') GROUP BY bench_id""")
+def replay_check(spark, d):
+    """What holds of every replay: all requests end, times are in order, no request gets more tokens than it asked for
+    and each completed one gets all, and admission is in order of arrival."""
+    rows = materialize(simulate.replay(requests(spark, d)), "replay")
+    asked = requests(spark, d).select("bench_id", "id", F.greatest(F.lit(1), F.coalesce("output_tokens", F.lit(0))).alias("asked"))
+    both = rows.join(asked, ["bench_id", "id"])
+    never = lambda c: F.count_if(~F.coalesce(c, F.lit(False))) == 0
+    w = Window.partitionBy("bench_id").orderBy("arrival", "id")  # a run's requests
+    both = both.withColumn("latest", F.max("admitted").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    time = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) <= F.col(b))
+    return both.groupBy("bench_id").agg(
+        F.count("*").alias("requests"),
+        F.sum("asked").alias("asked"),
+        never(F.col("status").isin("completed", "rejected", "cancelled") & F.col("finished").isNotNull()).alias("all_ended"),
+        never(time("arrival", "admitted") & time("admitted", "first_token") & time("first_token", "finished")).alias("in_order"),
+        never((F.col("output_tokens") <= F.col("asked")) & ((F.col("status") != "completed") | (F.col("output_tokens") == F.col("asked")))).alias("within_what_was_asked"),
+        never(time("latest", "admitted")).alias("first_in_first_out"),
+    )

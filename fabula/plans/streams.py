@@ -23,8 +23,11 @@ def stream_last_rows(spark, d):
     return logs.finish(logs.last_rows(logs.stream_table(spark, d, "train_log"))).select("run_id", "step", "loss", "line")
 
 
-@query("SELECT user_id, CAST(count(*) AS BIGINT) AS events FROM events GROUP BY user_id")
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN value >= 40 THEN 1 WHEN value <= 30 THEN 0 END AS mark FROM events),
+    s AS (SELECT user_id, event_id, ts, coalesce(last_value(mark IGNORE NULLS) OVER w, 0) AS paused, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT user_id, CAST(count(*) AS BIGINT) AS events, CAST(count(*) FILTER (paused = 1 AND before = 0) AS BIGINT) AS pauses, arg_max(paused, (ts, event_id)) = 1 AS paused FROM s GROUP BY user_id""")
 def stream_hysteresis(spark, d):
-    """Events of each user that went through the stateful guard."""
+    """Events and pauses of each user under the stateful guard, and whether it is paused in the end."""
     out = logs.finish(logs.hysteresis(logs.stream_table(spark, d, "events"), 40.0, 30.0), "append")
-    return out.groupBy("user_id").agg(F.sum("events").alias("events"))
+    return out.groupBy("user_id").agg(F.sum("events").alias("events"), F.sum("pauses").alias("pauses"), F.max_by("paused", "turn").alias("paused"))

@@ -100,6 +100,13 @@ def _merges(spark, d):
     return bpe.learn_merges(_counts(spark, d), MERGES)
 
 
+@query("SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def chunk_cover(spark, d):
+    """The chunks hold every byte and character of the texts, once."""
+    n = chunk_counts(spark, d)
+    return n.agg(F.sum(F.octet_length("chunk") * F.col("n")).alias("bytes"), F.sum(F.length("chunk") * F.col("n")).alias("chars"))
+
+
 @query()
 def bpe_merges(spark, d):
     """The first merges in order."""
@@ -113,6 +120,22 @@ def bpe_encode_counts(spark, d):
     return bpe.encoded_counts(counts, bpe.learn_merges(counts, MERGES))
 
 
+@query("SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, true AS known, true AS shorter FROM documents")
+def encode_cover(spark, d):
+    """The tokens of all chunks have as many bytes as the texts, are known, and are fewer than the bytes."""
+    counts = _counts(spark, d)
+    merges = bpe.learn_merges(counts, MERGES)
+    sizes = spark.createDataFrame([(i, len(t)) for i, t in enumerate(bpe.vocabulary(merges))], "token int, size int")
+    rows = bpe.encoded_counts(counts, merges).join(F.broadcast(sizes), "token", "left")  # at most one row a token
+    return rows.agg(F.sum(F.col("n") * F.col("size")).alias("bytes"), F.every(F.col("size").isNotNull()).alias("known"), (F.sum("n") < F.sum(F.col("n") * F.col("size"))).alias("shorter"))
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS same FROM documents WHERE text IS NOT NULL")
+def roundtrip_check(spark, d):
+    """Every text comes back from its tokens."""
+    return bpe.encoded(table(spark, d, "documents"), _merges(spark, d), "doc_id").select("doc_id", "n_bytes", "same")
+
+
 @query()
 def decode_roundtrip(spark, d):
     """Tokens of every text, and whether they give it back."""
@@ -132,6 +155,16 @@ def bytes_per_token(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(f"""WITH t AS (SELECT b, count(*) AS n FROM {_BYTES.format(0)} GROUP BY b), s AS (SELECT doc_id, sum(-ln((coalesce(n, 0) + 1) / (SELECT sum(n) + 256.0 FROM t))) / count(*) AS loss FROM {_BYTES.format(1)} LEFT JOIN t USING (b) GROUP BY doc_id)
+    SELECT doc_id, round(loss, 6) AS loss FROM documents LEFT JOIN s USING (doc_id) WHERE doc_id % 2 = 1 AND text IS NOT NULL""")
+def story_loss(spark, d):
+    """Mean loss of each held-out text; null for an empty one."""
+    held = _part(spark, d, 1).where("text is not null")
+    windows = ngram.windowed_loss(held, ngram.unigram_counts(_part(spark, d, 0)), "doc_id", 128)
+    total = windows.groupBy("doc_id").agg((F.sum("nats") / F.sum("targets")).alias("loss"))
+    return held.select("doc_id").join(total, "doc_id", "left").select("doc_id", F.round("loss", 6).alias("loss"))
+
+
 @query(f"""WITH t AS (SELECT b, count(*) AS n FROM {_BYTES.format(0)} GROUP BY b), h AS (SELECT b, count(*) AS m FROM {_BYTES.format(1)} GROUP BY b)
     SELECT round(sum(m * -ln((coalesce(n, 0) + 1) / (SELECT sum(n) + 256.0 FROM t))) / sum(m) / ln(2), 9) AS bits_per_byte FROM h LEFT JOIN t USING (b)""")
 def bits_per_byte(spark, d):

@@ -44,15 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, which is deleted when Python ends."""
+    path = f"{shared_dir(spark)}/fabula-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return the table read back.
 
     Cuts the lineage and survives the loss of any executor. The tables are deleted when Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fabula-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
