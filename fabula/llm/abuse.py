@@ -9,8 +9,8 @@
 * Every maximal segment of positive score is found in one linear scan (Ruzzo and Tompa).
 * A segment's score is calibrated as an extreme value: the best segment of a clean text of n tokens exceeds x with
   probability 1 - exp(-K n exp(-lambda x)). lambda and K are fitted to documents labelled clean, each scored by a model
-  that has not seen it. As some of these labels are wrong, the fit is that of a distribution of which the greatest
-  values are not observed (truncated maximum likelihood), so that it makes no difference what they are.
+  that has not seen it. As some of these labels are wrong, as many of the greatest values as may be wrong count as not
+  observed (truncated maximum likelihood), so that it makes no difference what they are.
 
 n-grams are 64-bit hashes, and a model is a sorted array of them; all texts of a batch are scored at once in NumPy.
 """
@@ -305,34 +305,38 @@ def fit(documents: list[tuple[list[str], float]], strength: float = 1.0, turns:
 
 def _held_out(documents: list[tuple[list[str], float]], strength: float, turns: int) -> tuple[float, float]:
     """(lambda, K) of each half of the clean documents under the model of the other half."""
-    best, n = [], []
+    scores, lengths, toxic = [], [], []
     for half in (0, 1):
         other = fit(documents[half::2], strength, turns, False)
-        clean = [t for t, y in documents[1 - half :: 2] if y <= 0.5 and t]
-        best.append(other.score(clean).best())
-        n.append(np.array([len(t) for t in clean]))
-    return calibrated(np.concatenate(best), np.concatenate(n))
-
-
-def calibrated(best: np.ndarray, n: np.ndarray, high: float = 0.99) -> tuple[float, float]:
-    """(lambda, K) of the best scores of clean texts of n tokens.
-
-    The values above the quantile `high` are taken as not observed, as wrong labels may be among them; of those that
-    are 0 only that no segment was positive. Given lambda, K has a closed form.
+        clean = other.score([t for t, y in documents[1 - half :: 2] if y <= 0.5 and t])
+        scores.append(clean.scores)
+        lengths.append(clean.lengths)
+        toxic.append(other.score([t for t, y in documents[1 - half :: 2] if y > 0.5 and t]).best())
+    sums, toxic = _Sums(np.concatenate(scores), np.concatenate(lengths)), np.concatenate(toxic)
+    best = sums.best()
+    # wrong labels among the clean: half of them lie above the middle of the toxic ones, where hardly a right one is
+    middle = float(np.median(toxic)) if len(toxic) else 0.0
+    wrong = 2 * float(np.mean(best > middle)) if middle > 0 and len(best) else 0.0
+    return calibrated(sums, best, min(max(1 - 1.5 * wrong, 0.8), 0.99))
+
+
+def calibrated(sums: _Sums, best: np.ndarray, high: float = 0.99) -> tuple[float, float]:
+    """(lambda, K) of the scores, and best segments, of clean texts.
+
+    The texts above the quantile `high` are taken as not observed, as wrong labels may be among them. lambda is the root
+    of mean exp(lambda * score) = 1 over tokens, which is 1 for exact log-odds; K is the maximum-likelihood value, in
+    which texts without a positive segment count as such (censored) and the unobserved ones by truncation.
     """
     top = float(np.quantile(best, high)) if len(best) else 0.0
-    n, best = n[best <= top], best[best <= top]
-    upper = best > 0
-    if upper.sum() < 10:
-        return 0.7, 0.1
-    chosen, greatest = (0.7, 0.1), -np.inf
-    for rate in np.linspace(0.05, 2.0, 118):
-        mass = float(np.sum(n * (np.exp(-rate * best) - np.exp(-rate * top))))
-        size = int(upper.sum()) / mass
-        value = int(upper.sum()) * (math.log(size) + math.log(rate)) - rate * float(best[upper].sum()) - size * mass
-        if value > greatest:
-            greatest, chosen = value, (float(rate), float(size))
-    return chosen
+    seen = best <= top
+    tokens = sums.scores[np.repeat(seen, sums.lengths)]
+    low, rate = 0.3, 1.0
+    for _ in range(30 if len(tokens) and np.mean(np.exp(tokens)) > 1 else 0):
+        middle = (low + rate) / 2
+        low, rate = (middle, rate) if np.mean(np.exp(middle * tokens)) < 1 else (low, middle)
+    positive = max(int((best[seen] > 0).sum()), 1)
+    mass = float(np.sum(sums.lengths[seen] * (np.exp(-rate * best[seen]) - (np.exp(-rate * top) if top > 0 else 0))))
+    return rate, positive / max(mass, 1.0)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -375,7 +379,7 @@ def _score(shared, threshold: float):
     return run
 
 
-def scored_documents(documents: DataFrame, labels: DataFrame, threshold: float = 1e-3, most: int = 24_000) -> DataFrame:
+def scored_documents(documents: DataFrame, labels: DataFrame, threshold: float = 1e-4, most: int = 24_000) -> DataFrame:
     """doc_id, source, score, chance, passages, share: one row per row of documents.
 
     score: that of the best passage; chance: the probability that a clean text of this length has one as good;
