@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.functions.words import distinct, hash_words, shingle_hashes, split_words
+from fabula.session import materialize
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,53 +125,77 @@ def _found(best: dict[tuple, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), pa.array(best.values(), pa.int32())], names=["doc_id", "item_id", "run_words"])
 
 
-def _doc_grams(size: int, window: int):
+def _places(size: int, window: int, keep: int = 200_000):
+    """(h, text) to (h, gram, i, n): the shingles of each text with their places, and its number of words; copies within
+    a task go out once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                words = split_words(text)
-                if len(words) < window:
+            parts, owners, lengths = [], [], []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                if h in seen:
                     continue
-                g = _grams(words, size)
-                context = [words[max(0, i - window + 1) : i + window] for i in range(len(g))]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(g), pa.int64()), pa.array(g, pa.int64()), pa.array([min(i, window - 1) for i in range(len(g))], pa.int32()), pa.array(context, pa.list_(pa.string())), pa.array([max(0, i - window + 1) for i in range(len(g))], pa.int32())], names=["doc", "gram", "i", "around", "begins"])
+                if len(seen) >= keep:
+                    seen.clear()
+                seen.add(h)
+                words = split_words(text)
+                if len(words) >= window:
+                    parts.append(_grams(words, size))
+                    owners.append(h)
+                    lengths.append(len(words))
+            if parts:
+                n = np.array([len(g) for g in parts])
+                i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                columns = [np.repeat(np.array(owners, np.int64), n), np.concatenate(parts), i.astype(np.int32), np.repeat(np.array(lengths, np.int32), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "gram", "i", "n"])
 
     return run
 
 
-def _check(window: int):
-    """Joined hits, with the words around them, to pieces of runs: document, item, the item's text, diagonal, begin, end."""
-    names = ["doc", "item", "version", "diagonal", "low", "high"]
+def _verify(window: int):
+    """(h, text, item, item_words, hits) to (h, item, run_words): the longest run through any of the hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = set()
-            for doc, i, around, begins, item, j, words, version in zip(*(batch.column(c).to_pylist() for c in ("doc", "i", "around", "begins", "item", "at", "item_words", "version"))):
-                start, n = run_length(around, i, words, j)
+            out = []
+            words: dict[int, list[str]] = {}
+            for h, text, item, item_words, hits in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "item", "item_words", "hits"))):
+                if h not in words:
+                    words[h] = split_words(text)
+                n = max(run_length(words[h], x["i"], item_words, x["at"])[1] for x in hits)
                 if n >= window:
-                    out.add((doc, item, version, begins + i - j, begins + start, begins + start + n))
-            rows = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=names)
+                    out.append((h, item, n))
+            kinds = (pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["h", "item", "run_words"])
 
     return run
 
 
-def _joined(pieces: DataFrame) -> DataFrame:
-    """Pieces that touch on one diagonal as whole runs: doc_id, item_id, run_words."""
-    line = Window.partitionBy("doc", "item", "version", "diagonal").orderBy("low", "high")
-    before = F.max("high").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    marked = pieces.withColumn("new", F.coalesce(F.col("low") > before, F.lit(True)).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = runs.groupBy("doc", "item", "version", "diagonal", "run").agg((F.max("high") - F.min("low")).cast("int").alias("run_words"))
-    return whole.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run_words")
+def _joined_hits(docs: DataFrame, split: DataFrame, tokens: DataFrame, size: int, window: int, salts: int = 16) -> DataFrame:
+    """doc_id, item_id, run_words without a broadcast: shingles meet tokens by hash and place only, and the words of a
+    text are fetched once for all its hits. A token that very many texts hold is several keys."""
+    classed = docs.select("doc", F.xxhash64("text").alias("h"), "text")
+    version = F.xxhash64("item_words").alias("version")
+    wide = tokens.select("gram", "item", "at", F.size("item_words").alias("m"), version, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    places = classed.select("h", "text").mapInArrow(_places(size, window), "h long, gram long, i int, n int").withColumn("salt", F.pmod("h", F.lit(salts)).cast("int"))
+    fits = F.least("i", "at") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("at")) >= window  # position bound
+    # hits of one run lie on one diagonal, and those of different runs at least a shingle apart; one of each is enough
+    hits = places.join(wide, ["gram", "salt"]).where(fits).groupBy("h", "item", "version", (F.col("i") - F.col("at")).alias("diagonal"), F.floor(F.col("i") / size).alias("part")).agg(F.min(F.struct("i", "at")).alias("hit"))
+    per_pair = materialize(hits.groupBy("h", "item", "version").agg(F.collect_list("hit").alias("hits")), "hits")
+    texts = classed.select("h", "text").join(per_pair.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    words = split.select(F.xxhash64("words").alias("version"), F.col("words").alias("item_words")).dropDuplicates(["version"])
+    found = per_pair.join(texts, "h").join(words, "version").select("h", "text", "item", "item_words", "hits").mapInArrow(_verify(window), "h long, item long, run_words int")
+    return classed.select(F.col("doc").alias("doc_id"), "h").join(found, "h").select("doc_id", F.col("item").alias("item_id"), "run_words")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, window: int = 10, small: int = 200_000) -> DataFrame:
     """doc_id, item_id, run_words: every document that holds `window` successive words of an item, with the length of
-    the longest run that was verified (at least `window`).
+    the longest common run (at least `window`).
 
     A null or short text has no window and is never found; repeated rows count once; an item or document id of null
-    is left out. small: number of item shingles up to which tokens are broadcast; beyond it both joins shuffle.
+    is left out. small: number of item shingles up to which tokens are broadcast (a few dozen bytes each); beyond it all joins
+    shuffle. Both ways give the same rows.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -196,9 +221,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
         keys = np.array(sorted(entries), np.int64)
         found = docs.mapInArrow(_probe(size, window, spark.sparkContext.broadcast((keys, entries, [(i, list(w)) for i, w in numbers]))), "doc_id long, item_id long, run_words int")
     else:
-        around = docs.mapInArrow(_doc_grams(size, window), "doc long, gram long, i int, around array<string>, begins int")
-        hits = around.join(tokens.withColumn("version", F.xxhash64("item_words")), "gram")
-        found = _joined(hits.mapInArrow(_check(window), "doc long, item long, version long, diagonal long, low long, high long"))
+        found = _joined_hits(docs, split, tokens, size, window)
     return found.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
 
 

@@ -279,3 +279,16 @@ def test_runs_of_leaks_do_not_depend_on_the_size(spark):
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     for small in (10**6, 0):
         assert {(x.doc_id, x.run_words) for x in leak.leaked_items(docs, items, small=small).collect()} == {(1, 60), (2, 35)}
+
+
+def test_both_ways_of_leaks_agree(spark):
+    """Items that repeat passages, several runs on one diagonal, a passage that a third of all texts hold, copies."""
+    r = random.Random(12)
+    items = [(i, story(r, 40, 30)) for i in range(8)]
+    w = items[0][1].split()
+    items.append((8, " ".join(w[:12] + ["gap"] + w[13:30] + ["gap"] + w[31:])))
+    docs = [(k, story(r, 10) + " " + (items[r.randrange(9)][1] if k % 3 else items[0][1]) + " " + story(r, 10)) for k in range(90)]
+    docs += [(1000 + k, t) for k, t in docs[:20]] + [(docs[0][0], docs[1][1])]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    one, two = ({tuple(x) for x in leak.leaked_items(a, b, small=small).collect()} for small in (10**6, 0))
+    assert one == two and len(one) > 100
