@@ -77,6 +77,7 @@ def score(result: Column, finished: Column) -> Column:
 
 def verdict(words: Column, result: Column, finished: Column) -> Column:
     """One line of Markdown with every constraint's mark and the reward."""
+    # fixed values: the wording of the line
     mark = lambda hit, yes, no: F.when(hit, yes).otherwise(no)
     listed = F.array_join(F.zip_with(result["words_hits"], text.filled(words), lambda h, w: F.concat(mark(h, "✓", "✗"), F.lit(" "), w)), ", ")
     parts = F.concat_ws(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.functions import text
+from fabula.operators.order import keyed_scan
+from fabula.session import materialize
 
 SEPARATOR = "<|endoftext|>"
 RECORD = "id string, summary string, words array<string>, features array<string>, sentence string, story string"
@@ -31,19 +34,21 @@ def read_separated(spark: SparkSession, path: str, separator: str = SEPARATOR) -
     """text of each record of separated text files; a separator counts only if it is alone on its line.
 
     The reader splits everywhere, and pieces whose separator stood inside a line are joined again: a piece begins a
-    record if the piece before ends, and it begins, with the line. Row order is that of the files.
+    record if the piece before ends, and it begins, with the line. Row order is that of the files. Pieces are numbered
+    along one line of all files, so a file of any size is many tasks; only the two marks of a piece are moved for
+    that, and only pieces that belong together are grouped.
     """
-    from pyspark.sql import Window
-
     rows = spark.read.option("lineSep", separator).text(path)
-    placed = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    w = Window.partitionBy("file").orderBy("block", "n")
     blank = f"[{text.SPACE}&&[^\n]]*"
-    ends = F.lag("value").over(w).rlike(rf"(^|\n){blank}\z") | (F.lag("value").over(w) == "")
-    begins = F.col("value").rlike(rf"^{blank}(\n|\z)")
-    first = F.lag("value").over(w).isNull()
-    marked = placed.withColumn("new", F.when(first | (ends & begins), 1).otherwise(0)).withColumn("record", F.sum("new").over(w))
-    grouped = marked.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "n", "value"))).alias("v"))
+    ends = (F.col("value").rlike(rf"(^|\n){blank}\z") | (F.col("value") == "")).cast("int")
+    begins = F.col("value").rlike(rf"^{blank}(\n|\z)").cast("int")
+    placed = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), ends.alias("ends"), begins.alias("begins"), "value")
+    placed = materialize(placed, "pieces")  # the numbers must not be made twice
+    marks = keyed_scan(placed.drop("value"), ["file"], ["block", "n"], "ends", "before", how="last", exclusive=True)
+    new = F.when(F.col("before").isNull() | (F.col("before") == 1) & (F.col("begins") == 1), 1).otherwise(0)
+    numbered = keyed_scan(marks.select("file", "block", "n", new.cast("long").alias("new")), ["file"], ["block", "n"], "new", "record")
+    pieces = placed.select("file", "block", "n", "value").join(numbered.select("n", "record"), "n")
+    grouped = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "n", "value"))).alias("v"))
     joined = grouped.select("file", "record", text.strip(F.array_join("v.value", separator)).alias("text"))
     return joined.where("text <> ''").select("file", F.col("record").cast("long").alias("record"), "text")
 
@@ -78,18 +83,46 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return results.select(F.col("_metadata.file_path").alias("file"), F.explode("runs").alias("run")).select("file", "run.*")
 
 
+def read_log(spark: SparkSession, path: str, schema: str = LOG, stream: bool = False) -> DataFrame:
+    """file, line and the fields of training logs in JSON lines; lines that are no JSON object are left out. line is the
+    place of the line among those of its file. stream: the files as a stream, without lines' places."""
+    if stream:
+        rows = spark.readStream.text(path)
+        parsed = rows.select(F.from_json("value", schema).alias("r"), "value")
+        return parsed.where(F.col("value").rlike(r"^\s*\{") & F.col("r").isNotNull()).select("r.*")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.lit(1).cast("long").alias("one"), "value")
+    placed = keyed_scan(rows, ["file"], ["block", "n"], "one", "line", exclusive=True)
+    parsed = placed.where(F.col("value").rlike(r"^\s*\{")).select("file", "line", F.from_json("value", schema).alias("r"))
+    return parsed.where("r is not null").select("file", "line", "r.*")
+
+
+def _ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """file, at, n: byte ranges of `size` bytes of all files; their content isn't read."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    parts = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("at"))
+    return parts.select("file", "at", F.least(F.lit(size).cast("long"), F.col("length") - F.col("at")).alias("n"))
+
+
 def read_shard(spark: SparkSession, path: str, dtype: str = "<u2", rows: int = 1 << 16) -> DataFrame:
-    """file, pos, tokens: flat binary token files as blocks of `rows` tokens. A file must fit into a task's memory."""
+    """file, pos, tokens: flat binary files of tokens as blocks of `rows` tokens, each read as a range of bytes, so a
+    file of any size is many tasks. With dtype "u1" the raw bytes of a file are its tokens. An incomplete last token
+    is left out."""
     kind = np.dtype(dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                tokens = np.frombuffer(content, kind).astype(np.int32)
-                for start in range(0, len(tokens), rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start], pa.int64()), pa.array([tokens[start : start + rows]], pa.list_(pa.int32()))], names=["file", "pos", "tokens"])
+        from pyarrow import fs
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, pos long, tokens array<int>")
+        for batch in batches:
+            for file, at, n in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n"))):
+                system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with system.open_input_file(place) as f:
+                    raw = f.read_at(n, at)
+                tokens = np.frombuffer(raw[: len(raw) // kind.itemsize * kind.itemsize], kind).astype(np.int32)
+                if len(tokens):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // kind.itemsize], pa.int64()), pa.array([tokens], pa.list_(pa.int32()))], names=["file", "pos", "tokens"])
+
+    parts = _ranges(spark, path, rows * kind.itemsize)
+    return parts.repartition(F.col("file"), F.col("at")).mapInArrow(run, "file string, pos long, tokens array<int>")
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import platform
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions import text
 from fabula.operators.order import running_total
+from fabula.sources.readers import read_bytes
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -50,8 +52,10 @@ def write_tokenizer(merges: list[tuple[int, int]], path: str, special: dict[str,
         known += 1
     if sorted(special.values()) != list(range(known, known + len(special))):
         raise ValueError("special tokens must follow the merges")
-    with open(path, "w", encoding="utf-8") as f:
+    part = f"{path}.{os.getpid()}.part"  # complete or absent: written beside its place, then renamed
+    with open(part, "w", encoding="utf-8") as f:
         json.dump({"format": format, "merges": merges, "special": special}, f)
+    os.replace(part, path)
 
 
 def manifest(row: dict) -> str:
@@ -60,6 +64,23 @@ def manifest(row: dict) -> str:
     return json.dumps(row | {"manifest_sha256": hashlib.sha256(body.encode()).hexdigest()}, sort_keys=True, indent=2)
 
 
+def file_manifest(spark: SparkSession, path: str, **more) -> str:
+    """Canonical JSON of the files of a folder with their sizes and SHA-256 digests, further fields, and a digest of
+    itself. One entry a file."""
+    files = read_bytes(spark, path).orderBy("file").collect()
+    entries = [{"file": os.path.basename(f.file), "bytes": f.length, "sha256": f.sha256} for f in files]
+    return manifest(more | {"files": entries, "bytes": sum(f["bytes"] for f in entries)})
+
+
+def checked_manifest(body: str) -> dict:
+    """The fields of a manifest; raises if its digest isn't that of its content."""
+    row = json.loads(body)
+    said = row.pop("manifest_sha256", None)
+    if json.loads(manifest(row))["manifest_sha256"] != said:
+        raise ValueError("the manifest was changed after it was written")
+    return row
+
+
 def environment(spark: SparkSession) -> dict:
     """What a result was made with: versions, master, parallelism and the settings that shape plans."""
     keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")

@@ -50,6 +50,25 @@ def test_keyed_scan(spark, parts, exclusive):
     assert order.keyed_scan(df.limit(0), ["k"], ["i"], "v", "s").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_percentiles(spark, parts):
+    """One key holds a third of the values, many of which are equal; null keys and values."""
+    r = random.Random(parts)
+    rows = [("hot" if i % 3 == 0 else r.choice(["a", "b", None, f"k{i}"]), r.choice([None, 1.5, 2.0, r.random() * 10])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {x.k: (x.low, x.high) for x in order.percentiles(df, ["k"], "v", {"low": 0.5, "high": 0.99}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    values = {}
+    for k, v in rows:
+        if v is not None:
+            values.setdefault(k, []).append(v)
+    assert got == {k: (pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.99))) for k, v in values.items()}
+    assert order.percentiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
 def naive_merges(counts, n):
     words = [[list(c.encode()), k] for c, k in counts]
     out = []

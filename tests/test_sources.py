@@ -94,5 +94,48 @@ def test_encoded_counts_agree(spark):
     long = bpe.encoded(df, merges, "doc_id").select(F.explode("tokens").alias("token")).groupBy("token").count()
     counts = bpe.encoded_counts(bpe.chunk_counts(df), merges)
     assert {(r.token, r[1]) for r in long.collect()} == {(r.token, r.n) for r in counts.collect()}
+    assert bpe.learn_merges(bpe.chunk_counts(df), 10, most_bytes=1) == merges  # the bound of one process changes nothing
+
+
+def test_log(spark, tmp_path):
+    lines = ['{"step": 1, "loss": 2.5}', "started", '{"step": 2, "loss": 2.25, "val_loss": 3.0}', '{"step": 2, "loss": 2.0}']
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    rows = readers.read_log(spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r.line, r.step, r.loss, r.val_loss) for r in rows] == [(0, 1, 2.5, None), (2, 2, 2.25, 3.0), (3, 2, 2.0, None)]
+    from fabula.streaming import logs
+
+    assert logs.finish(readers.read_log(spark, str(tmp_path), stream=True), "append").count() == 3
+
+
+@pytest.mark.parametrize("dtype,width", [("u1", 1), ("<u2", 2)])
+def test_shard_of_many_ranges(spark, tmp_path, dtype, width):
+    body = bytes(range(256)) * 5 + b"\x07" * width
+    (tmp_path / "x.bin").write_bytes(body)
+    rows = readers.read_shard(spark, str(tmp_path), dtype, rows=100).orderBy("pos").collect()
+    assert [t for r in rows for t in r.tokens] == np.frombuffer(body, dtype).tolist() and len(rows) > 5
+    assert rows[1].pos == 100
+
+
+def test_manifest_of_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.txt").write_bytes(b"one")
+    (tmp_path / "b.txt").write_bytes(b"two")
+    body = writers.file_manifest(spark, str(tmp_path), split="train")
+    row = writers.checked_manifest(body)
+    assert row["bytes"] == 6 and [f["sha256"] for f in row["files"]] == [hashlib.sha256(x).hexdigest() for x in (b"one", b"two")]
     with pytest.raises(ValueError):
-        bpe.learn_merges(bpe.chunk_counts(df), 10, most_chunks=1)
+        writers.checked_manifest(body.replace("train", "valid"))
+
+
+def test_separators_of_a_file_in_many_splits(spark, tmp_path):
+    """A separator inside a line is text, wherever the reader cuts the file."""
+    sep = readers.SEPARATOR
+    stories = [f"story {i} with {sep} inside\nand a second line {i}" if i % 7 == 0 else f"story {i}\nmore" for i in range(200)]
+    (tmp_path / "s.txt").write_text(f"\n{sep}\n".join(stories))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        rows = readers.read_separated(spark, str(tmp_path / "s.txt")).orderBy("record").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.text for r in rows] == stories

@@ -1,5 +1,6 @@
 """Streams give the same as batches, however the files are cut."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fabula.streaming import logs
@@ -15,3 +16,39 @@ def test_hysteresis_keeps_its_state(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e.parquet"))
     out = logs.finish(logs.hysteresis(stream, 85, 75), "append").collect()
     assert sum(r.events for r in out) == 9 and sum(r.pauses for r in out) >= 2
+
+
+def test_resumed_stream(spark, tmp_path):
+    """A stream with a place of its own goes on where it stopped, and refuses other data or settings."""
+    source, place = tmp_path / "in", str(tmp_path / "state")
+    spark.range(5).coalesce(1).write.parquet(str(source))
+    read = lambda: spark.readStream.schema("id long").parquet(str(source))
+    bound = {"data": logs.digest(spark.range(5)), "limit": 3}
+    assert logs.finish(read(), "append", place, bound).count() == 5
+    spark.range(5, 9).coalesce(1).write.mode("append").parquet(str(source))
+    assert sorted(r.id for r in logs.finish(read(), "append", place, bound).collect()) == list(range(9))
+    with pytest.raises(ValueError):
+        logs.finish(read(), "append", place, bound | {"limit": 4})
+
+
+def test_a_batch_that_is_run_again_is_not_doubled(spark, tmp_path):
+    import shutil
+
+    source, place = tmp_path / "in", tmp_path / "state"
+    spark.range(7).coalesce(1).write.parquet(str(source))
+    read = lambda: spark.readStream.schema("id long").parquet(str(source))
+    assert logs.finish(read(), "append", str(place)).count() == 7
+    shutil.rmtree(place / "progress" / "commits")  # as if it had stopped before the batch was noted
+    assert logs.finish(read(), "append", str(place)).count() == 7
+
+
+def test_digest_does_not_depend_on_order(spark):
+    df = spark.range(100).selectExpr("id", "id % 3 as k")
+    assert logs.digest(df) == logs.digest(df.orderBy(F.desc("id")).repartition(7)) != logs.digest(df.limit(99))
+
+
+def test_stages_are_bound(spark, tmp_path):
+    stages = {"a": lambda s, done: s.range(3)}
+    assert logs.run_stages(spark, stages, str(tmp_path), {"v": 1}) == ["a"] and logs.run_stages(spark, stages, str(tmp_path), {"v": 1}) == []
+    with pytest.raises(ValueError):
+        logs.run_stages(spark, stages, str(tmp_path), {"v": 2})
