@@ -219,10 +219,21 @@ def test_stop_token():
 
 def test_shares():
     """A budget of 10 with 2 decoding requests leaves 8, and the row begins one further each turn."""
-    lacks = np.array([5, 6, 7])
-    assert simulate.shares("chunked", lacks, 2, 10, 0).tolist() == [5, 3, 0]
-    assert simulate.shares("chunked", lacks, 2, 10, 1).tolist() == [0, 6, 2]
-    assert simulate.shares("static", lacks, 2, 10, 1).tolist() == [5, 6, 7]
+    lacks = [5, 6, 7]
+    assert simulate.shares("chunked", lacks, 2, 10, 0) == [5, 3, 0]
+    assert simulate.shares("chunked", lacks, 2, 10, 1) == [0, 6, 2]
+    assert simulate.shares("static", lacks, 2, 10, 1) == [5, 6, 7]
+
+
+@pytest.mark.parametrize("policy", ["static", "continuous", "chunked"])
+def test_replay_step_by_step(policy):
+    """Steps that are made at once give what single steps give: a hand-made count of one request's tokens and times."""
+    rows = simulate.run_trace([{"id": "a", "arrival": 0.0, "prompt": 40, "output": 10}, {"id": "b", "arrival": 0.025, "prompt": 8, "output": 3}], policy, step_s=0.01, token_s=0.0)
+    a, b = rows
+    # a: its prompt is one step, then nine steps decode; b comes in at the step that begins at 0.03
+    assert a["first"] == pytest.approx(0.01) and a["finished"] == pytest.approx(0.1) and a["made"] == 10
+    begins = 0.1 if policy == "static" else 0.03
+    assert b["admitted"] == pytest.approx(begins) and b["first"] == pytest.approx(begins + 0.01) and b["finished"] == pytest.approx(begins + 0.03)
 
 
 @pytest.mark.parametrize("seed", range(5))
