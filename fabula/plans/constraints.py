@@ -52,7 +52,8 @@ _PAIRS = f"(SELECT s.*, p.summary, p.words, p.features, p.sentence FROM {_SAMPLE
 
 
 def checked(df):
-    df = df if "forms" in df.columns else C.with_forms(df)
+    """Prompts bring the forms of their words along; records are checked once each, so theirs are made on the way."""
+    df = df if "forms" in df.columns else df.withColumn("forms", F.transform(text.filled("words"), inflection.forms))
     return df.withColumn("c", C.check("words", "features", "sentence", "story", "forms"))
 
 
@@ -272,7 +273,7 @@ def informative_groups(spark, d):
     return groups.groupBy("run_id").agg(F.count("*").alias("groups"), F.round(F.avg(F.when(F.col("sd") > 1e-9, 1.0).otherwise(0.0)), 9).alias("informative"), F.round(F.sum("a") / F.sum("n"), 6).alias("mean_abs_advantage"))
 
 
-DRAWS, _BLOCK = 2000, 100
+DRAWS, _BLOCK = 2000, 500
 
 
 @query(f"""WITH c AS (SELECT run_id, id, avg(CAST(satisfied AS DOUBLE)) AS m FROM {checked_sql(_PAIRS, 'run_id, id, sample')} WHERE reward IS NOT NULL GROUP BY run_id, id),
