@@ -18,6 +18,8 @@ def local_session(cpus: int | str = 8, app: str = "fabula", **conf: str) -> Spar
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus if isinstance(cpus, int) else 8))
         .config("spark.sql.adaptive.enabled", "true")
+        # small tables with costly expressions still use all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
