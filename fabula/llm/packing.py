@@ -126,7 +126,7 @@ def _pack(capacity: int, window: int):
     return run
 
 
-def packed_items(items: DataFrame, capacity: int, window: int = 2048, items_per_partition: int = 50_000) -> DataFrame:
+def packed_items(items: DataFrame, capacity: int, window: int = 2048, items_per_partition: int = 25_000) -> DataFrame:
     """item, piece, size, container, container_fill: where every item of (item string, v timestamp, size long,
     text string) goes.
 
