@@ -64,6 +64,27 @@ class BurstTrie:
         else:
             inside[rest] = (own[0] + occurrences, own[1] + records)
 
+    def graft(self, prefix: str, inside: dict) -> None:
+        """Merge a subtree {rest: counters} where it belongs: as a whole where nothing or a container hangs at its
+        prefix, and term by term where the two tries have burst to different depths."""
+        node = self.root
+        for char in prefix[:-1]:
+            if isinstance(node, list):
+                break
+            node = node.setdefault(char, {})
+        below = node.get(prefix[-1], [{}]) if prefix and isinstance(node, dict) else None
+        if not isinstance(below, list):
+            for rest, (n, k) in inside.items():
+                self.add(prefix + rest, n, k)
+            return
+        held = below[0]
+        before = len(held)
+        for rest, (n, k) in inside.items():
+            own = held.get(rest, (0, 0))
+            held[rest] = (own[0] + n, own[1] + k)
+        self.size += len(held) - before
+        node[prefix[-1]] = self._burst(held) if len(held) > self.limit else below
+
     @staticmethod
     def _burst(inside: dict) -> dict:
         node: dict = {}
@@ -156,8 +177,7 @@ def _merge(limit: int, bound: int):
             for field, prefix, subtree in zip(*(batch.column(c).to_pylist() for c in ("field", "prefix", "subtree"))):
                 trie = tries.setdefault(field, BurstTrie(limit))
                 rests, occurrences, records = json.loads(zlib.decompress(subtree))
-                for rest, n, k in zip(rests, occurrences, records):
-                    trie.add(prefix + rest, n, k)
+                trie.graft(prefix, dict(zip(rests, zip(occurrences, records))))
             if sum(t.size for t in tries.values()) > bound:
                 yield from empty()
                 tries.clear()

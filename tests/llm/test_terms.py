@@ -63,3 +63,20 @@ def test_trie_is_a_map():
         want[t] = want.get(t, 0) + 1
     got = {p + rest: c[0] for p, inside in trie.subtrees() for rest, c in inside.items()}
     assert got == want and trie.size == len(want)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_subtrees_merge_to_the_same_counts(seed):
+    """Tries that have burst to different depths, merged subtree by subtree."""
+    r = random.Random(seed)
+    merged, want = terms.BurstTrie(r.choice([1, 3, 9])), {}
+    for _ in range(4):
+        trie = terms.BurstTrie(r.choice([1, 4, 30]))
+        for _ in range(200):
+            t = "".join(r.choices("abc", k=r.randint(0, 6)))
+            trie.add(t, 2, 1)
+            a, b = want.get(t, (0, 0))
+            want[t] = (a + 2, b + 1)
+        for prefix, inside in trie.subtrees():
+            merged.graft(prefix, inside)
+    assert {p + rest: c for p, inside in merged.subtrees() for rest, c in inside.items()} == want and merged.size == len(want)
