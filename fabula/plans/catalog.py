@@ -6,7 +6,7 @@ import importlib
 
 from fabula.plans.registry import Query
 
-MODULES = ["corpus", "constraints", "records", "tokens", "curves", "serving", "sampling", "streams"]
+MODULES = ["corpus", "constraints", "records", "tokens", "curves", "serving", "sampling", "streams", "files"]
 
 
 def _registries():
