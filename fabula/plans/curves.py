@@ -97,10 +97,9 @@ def ablation_delta(spark, d):
     """Mean loss per run after step 100, its difference from the mean of all, and the spread over runs."""
     rows = last_rows(table(spark, d, "train_log")).where("step > 100")
     runs = rows.groupBy("run_id").agg(F.avg("loss").alias("m"))
-    base = rows.agg(F.avg("loss").alias("base"))  # one row
-    spread = runs.agg((F.max("m") - F.min("m")).alias("spread"))  # one row
-    joined = runs.join(F.broadcast(base), F.lit(True)).join(F.broadcast(spread), F.lit(True))
-    return joined.select("run_id", F.round("m", 6).alias("mean_loss"), F.round(F.col("m") - F.col("base"), 6).alias("delta"), F.round("spread", 6).alias("spread"))
+    base = F.lit(rows.agg(F.avg("loss").alias("base")).first().base).cast("double")
+    spread = F.lit(runs.agg((F.max("m") - F.min("m")).alias("spread")).first().spread).cast("double")
+    return runs.select("run_id", F.round("m", 6).alias("mean_loss"), F.round(F.col("m") - base, 6).alias("delta"), F.round(spread, 6).alias("spread"))
 
 
 @query("""SELECT policy, round(avg(w) FILTER (seed = 17), 6) AS s17, round(avg(w) FILTER (seed = 29), 6) AS s29, round(avg(w) FILTER (seed = 43), 6) AS s43
@@ -147,5 +146,5 @@ def curve_interpolation(spark, d):
 def first_crossing(spark, d):
     """The least compute at which each run reaches the loss that all runs reach."""
     v = last_rows(table(spark, d, "train_log")).where("val_loss is not null").select("run_id", (F.col("step") * FLOPS).alias("x"), F.col("val_loss").alias("y"))
-    target = v.groupBy("run_id").agg(F.min("y").alias("m")).agg(F.max("m").alias("target"))  # one row
-    return v.join(F.broadcast(target), F.col("y") <= F.col("target")).groupBy("run_id").agg(F.round(F.min("x"), 1).alias("compute"))
+    target = v.groupBy("run_id").agg(F.min("y").alias("m")).agg(F.max("m").alias("target")).first().target
+    return v.where(F.col("y") <= F.lit(target).cast("double")).groupBy("run_id").agg(F.round(F.min("x"), 1).alias("compute"))

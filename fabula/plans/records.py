@@ -120,8 +120,8 @@ def sizes_by_language(spark, d):
     """Bytes of text by language in short form, and their shares in per cent."""
     n = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
     rows = table(spark, d, "documents").groupBy(F.coalesce(F.lower("lang"), F.lit("(none)")).alias("lang")).agg(n.alias("n"))
-    total = rows.agg(F.sum("n").alias("total"))  # one row
-    return rows.join(F.broadcast(total)).select("lang", text.short_size("n").alias("size"), F.format_string("%.1f%%", 100.0 * F.col("n") / F.col("total")).alias("share"))
+    total = rows.agg(F.sum("n").alias("total")).first().total
+    return rows.select("lang", text.short_size("n").alias("size"), F.format_string("%.1f%%", 100.0 * F.col("n") / F.lit(total)).alias("share"))
 
 
 _W = Q.words("story")
