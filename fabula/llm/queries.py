@@ -71,7 +71,7 @@ def _packing_check(items: DataFrame, packed: DataFrame, capacity: int, kind: str
     good = fill.agg((F.max("fill") <= capacity).alias("within_capacity"), F.min(F.col("fill") == F.col("said")).alias("fills_right"), (F.sum("fill") / (F.count("*") * capacity) > 0.9).alias("nine_tenths_full"))
     sizes = packed.groupBy("item").agg(F.sum("size").alias("size"), F.count("*").alias("pieces"))
     whole = sizes.agg(F.count("*").alias("items"), F.sum("size").alias("size"), F.count_if((F.col("size") <= capacity) & (F.col("pieces") > 1)).alias("split_without_need"))
-    return whole.withColumn("kind", F.lit(kind)).join(good.withColumn("kind", F.lit(kind)), "kind")
+    return whole.withColumn("kind", F.lit(kind)).join(good.withColumn("kind", F.lit(kind)), "kind")  # one row each
 
 
 def p5_packing_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,9 +105,9 @@ def p7_share_check(spark: SparkSession, folder: str) -> DataFrame:
     and whether no document was repeated more often than allowed."""
     chosen, shares, _ = mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
     largest = chosen.groupBy("source").agg(F.max("tokens").alias("largest"))
-    total = shares.agg(F.sum("taken_tokens").alias("total"))
-    rows = shares.where("reachable_share > 0").join(largest, "source").join(F.broadcast(total))  # total is one row
-    met = F.abs(F.col("taken_tokens") - F.col("reachable_share") * F.col("total")) <= 2 * F.col("largest")
+    total = shares.agg(F.sum("taken_tokens").alias("total")).first().total or 0
+    rows = shares.where("reachable_share > 0").join(largest, "source")
+    met = F.abs(F.col("taken_tokens") - F.col("reachable_share") * total) <= 2 * F.col("largest")
     return rows.select("source", F.round("reachable_share", 6).alias("share"), met.alias("met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
 
 
