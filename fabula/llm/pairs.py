@@ -146,17 +146,9 @@ def _longest(text: list[str], source: list[str], free: list[bool], unused: list[
     return found
 
 
-def tile(text: list[str], source: list[str], least: int = 3) -> list[bool]:
-    """Greedy string tiling: the words of text that lie in a tile, a run of at least `least` words that source holds.
-
-    Again and again the longest matches of what is not marked yet are laid as tiles and marked on both sides. When none
-    is left, the marks of source are taken off and its words may be used once more, so that repetitions are found; a
-    short source counts from its own length on.
-    """
-    least = max(1, min(least, len(source)))
-    places: dict[tuple, list[int]] = {}
-    for j in range(len(source) - least + 1):
-        places.setdefault(tuple(source[j : j + least]), []).append(j)
+def _tiles(text: list[str], source: list[str], least: int, places: dict[tuple, list[int]]) -> list[bool]:
+    """Again and again the longest matches of what is not marked yet are laid as tiles and marked on both sides. When
+    none is left, the marks of source are taken off and its words may be used once more, so that repetitions are found."""
     free = [True] * len(text)
     while True:
         unused, laid = [True] * len(source), False
@@ -170,6 +162,27 @@ def tile(text: list[str], source: list[str], least: int = 3) -> list[bool]:
             return [not f for f in free]
 
 
+def tile(text: list[str], source: list[str], least: int = 3, span: int = 400) -> list[bool]:
+    """Greedy string tiling: the words of text that lie in a tile, a run of at least `least` words that source holds; a
+    short source counts from its own length on.
+
+    A text is tiled in stretches of `span` words, or four times those of source, so that the work grows with its length
+    only. A stretch begins where the tiles of the one before end.
+    """
+    least = max(1, min(least, len(source)))
+    places: dict[tuple, list[int]] = {}
+    for j in range(len(source) - least + 1):
+        places.setdefault(tuple(source[j : j + least]), []).append(j)
+    span, covered = max(span, 4 * len(source)), []
+    while len(covered) < len(text):
+        part = _tiles(text[len(covered) : len(covered) + span], source, least, places)
+        if len(covered) + len(part) < len(text):
+            open_end = next((k for k in range(least - 1) if part[-1 - k]), least - 1)
+            part = part[: len(part) - open_end]
+        covered += part
+    return covered
+
+
 def is_copy(words: list[str], prompt: Prompt, lead_in: int = 8, loose: float = 0.1) -> bool:
     """All words but a short lead-in and a few loose ones lie in tiles of the prompt."""
     inside = sum(map(prompt.known.__contains__, words))

@@ -175,6 +175,18 @@ def test_tiles_are_greedy_string_tiling(seed):
     assert P.tile(text, source) == plain_tiles(text, source, max(1, min(3, len(source))))
 
 
+@pytest.mark.parametrize("words", [3, 12, 300])
+def test_long_copies_are_tiled_in_stretches(words):
+    """A prompt repeated up to 60,000 words is a copy, whole but for the words at the ends of stretches."""
+    r = random.Random(words)
+    source = [f"w{r.randrange(900)}" for _ in range(words)]
+    text = (source * (60_000 // words))[:-1]
+    covered = P.tile(text, source)
+    assert len(covered) == len(text) and sum(covered) > 0.98 * len(text)
+    text[30_000:30_050] = [f"x{i}" for i in range(50)]
+    assert not any(P.tile(text, source)[30_000:30_050])
+
+
 def test_tiles():
     assert P.tile("a b c x a b c d".split(), "a b c d".split()) == [True] * 3 + [False] + [True] * 4
     assert P.tile([], ["a"]) == [] and P.tile(["a"], []) == [False]
