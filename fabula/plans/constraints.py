@@ -86,8 +86,8 @@ def word_constraint_hits(spark, d):
 @query(f"""WITH u AS (SELECT run_id, id, sample, unnest({Q.filled('words')}) AS w, {Q.words('story')} AS t FROM {_PAIRS} WHERE story IS NOT NULL)
     SELECT run_id, id, sample, round(avg(len(list_filter(t, lambda x: list_contains({inflection.forms_sql('lower(w)')}, x)))), 9) AS mentions FROM u WHERE regexp_matches(lower(w), '^[a-z]+$') GROUP BY run_id, id, sample""")
 def word_mentions(spark, d):
-    rows = pairs(spark, d).where("story is not null").select("run_id", "id", "sample", F.round(C.word_mentions("words", "story", "forms"), 9).alias("mentions"))
-    return rows.where("mentions is not null")
+    rows = pairs(spark, d).where("story is not null").where(F.exists(text.filled("words"), lambda w: F.lower(w).rlike(r"^[a-z]+\z")))
+    return rows.select("run_id", "id", "sample", F.round(C.word_mentions("words", "story", "forms"), 9).alias("mentions"))
 
 
 @query(f"SELECT run_id, id, sample, {Q.sentence_in('story', 'sentence')} AS included FROM {_PAIRS} WHERE sentence <> '' AND story IS NOT NULL")
@@ -104,7 +104,7 @@ def dialogue_constraint(spark, d):
     SELECT run_id, id, sample, CAST(len(list_filter({Q.grams('t', 4)}, lambda g: g = head)) AS INTEGER) AS starts FROM w WHERE len(head) = 4""")
 def sentence_starts(spark, d):
     rows = pairs(spark, d).where("sentence <> '' and story is not null")
-    return rows.select("run_id", "id", "sample", text.sentence_starts("sentence", "story").alias("starts")).where("starts is not null")
+    return rows.where(F.size(text.words("sentence")) >= 4).select("run_id", "id", "sample", text.sentence_starts("sentence", "story").alias("starts"))
 
 
 @query(f"SELECT run_id, id, sample, array_to_string(list_transform(hits, lambda h: CASE WHEN h THEN '1' ELSE '0' END), '') AS hits, round(fraction, 9) AS fraction, said AS sentence, spoken AS dialogue, round(reward, 9) AS reward, satisfied FROM {checked_sql(_PAIRS, 'run_id, id, sample')}")
@@ -174,7 +174,7 @@ def sampling_summary(spark, d):
 @query(f"SELECT id, round(reward, 9) AS reward FROM {checked_sql(_ONCE, 'id')} WHERE reward IS NOT NULL AND NOT satisfied ORDER BY id LIMIT 200")
 def gold_failures(spark, d):
     """The first 200 records whose own story misses a constraint: a report with a fixed length."""
-    rows = checked(records(spark, d)).where("c.reward is not null and not c.satisfied")
+    rows = checked(records(spark, d).where(text.verifiable())).where("not c.satisfied")
     return rows.select("id", F.round("c.reward", 9).alias("reward")).orderBy("id").limit(200)
 
 
@@ -286,7 +286,7 @@ def cluster_bootstrap(spark, d):
 
     The means of a run's prompts are a small list (one number a prompt), of which each block of draws gets a copy.
     """
-    scored = checked(pairs(spark, d)).where("c.reward is not null")
+    scored = checked(pairs(spark, d).where(text.verifiable()))  # those that have a reward
     p = scored.groupBy("run_id", "id").agg(F.avg(F.col("c.satisfied").cast("double")).alias("m"))
     blocks = p.select("run_id", "id", "m", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - _BLOCK), F.lit(_BLOCK))).alias("first"))
     means = blocks.groupBy("run_id", "first").applyInPandas(_drawn, "run_id string, m double")

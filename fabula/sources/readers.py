@@ -55,7 +55,7 @@ def read_separated(spark: SparkSession, path: str, separator: str = SEPARATOR) -
 
 def read_records(spark: SparkSession, path: str, separator: str = SEPARATOR) -> DataFrame:
     """Instruction records of separated, labelled text; those without a story are dropped."""
-    parsed = read_separated(spark, path, separator).select("file", "record", text.parse_record("text").alias("r"))
+    parsed = read_separated(spark, path, separator).where(F.col("text").contains("Story:")).select("file", "record", text.parse_record("text").alias("r"))
     return parsed.where("r is not null").select("file", "record", "r.*")
 
 
