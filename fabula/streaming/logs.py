@@ -15,8 +15,12 @@ from fabula.session import scratch
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a data folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    """A table of a data folder, one file or a folder of files, as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    target, files = _file(spark, path)
+    if files.getFileStatus(target).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 

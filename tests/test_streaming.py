@@ -18,6 +18,22 @@ def test_hysteresis_keeps_its_state(spark, tmp_path):
     assert sum(r.events for r in out) == 9 and sum(r.pauses for r in out) >= 2
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_last_rows_of_a_folder_of_files(spark, tmp_path, files):
+    """A table is streamed whole, be it one file or a folder of files."""
+    from fabula.plans import streams
+
+    rows = [("a", i, i // 2, float(i), i) for i in range(12)]
+    table = spark.createDataFrame(rows, "run_id string, line long, step long, loss double, loaded_at long")
+    table.repartition(files).write.parquet(str(tmp_path / "made"))
+    if files == 1:
+        next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "train_log.parquet")
+    else:
+        (tmp_path / "made").rename(tmp_path / "train_log.parquet")
+    got = sorted(tuple(r) for r in streams.stream_last_rows(spark, str(tmp_path)).collect())
+    assert got == [("a", k, 2.0 * k + 1, 2 * k + 1) for k in range(6)]
+
+
 def test_resumed_stream(spark, tmp_path):
     """A stream with a place of its own goes on where it stopped, and refuses other data or settings."""
     source, place = tmp_path / "in", str(tmp_path / "state")
