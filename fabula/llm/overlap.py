@@ -10,7 +10,8 @@ sizes can reach the similarity. In a task:
 * the matches of a candidate are joined along diagonals into maximal matches, and these merged: the shingles they hold
   decide the similarity, their spans give the shared words and the longest run.
 
-Copies of a text are sent once by each task; ids are joined to the pairs of texts at the end.
+If the evaluation texts are more than one shard, texts that can have no partner are left out first (sieve). Copies of a
+text are sent once by each task; ids are joined to the pairs of texts at the end.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.functions.words import distinct, flat_shingles, hash_words, shingle_hashes, split_words
+from fabula.llm import sieve
 from fabula.llm.fmindex import FMIndex
 from fabula.session import materialize
 
@@ -208,14 +210,14 @@ def _stream(size: int, least: float, extra: float, at_once: int):
     return run
 
 
-def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, shard_words: int = 8_000_000, block_bytes: int = 32_000_000, extra: float = 0.06) -> tuple[DataFrame, DataFrame]:
+def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text_column: str = "story", version: str | None = "loaded_at", size: int = 5, least: float = 0.8, shard_words: int = 8_000_000, block_bytes: int = 32_000_000, extra: float = 0.06, most_ids: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts in and outside the held-out splits with a similarity of at least `least`.
 
     held: SQL expression over `id` that is true for held-out ids and false for training ids. pairs: classes train and
     held, similarity on distinct shingles of `size` words, words of the training text in common runs, longest common
     run. members: id, held, h (class) of every id. shard_words: words in an index; block_bytes: training text that one
-    task streams through an index; extra: the further share of shingles that raises the hits a candidate needs. None
-    of them changes the pairs.
+    task at least streams through an index; extra: the further share of shingles that raises the hits a candidate needs;
+    most_ids: classes of training texts that are broadcast. None of them changes the pairs.
     """
     spark = records.sparkSession
     v = F.col(version) if version else F.lit(0)
@@ -223,10 +225,21 @@ def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text
     rows = rows.withColumn("held", F.expr(held)).withColumn("h", F.xxhash64("text"))
     last = rows.groupBy("id", "held").agg(F.max(F.struct("v", "h")).alias("c")).select("id", "held", F.col("c.h").alias("h"))
     members = materialize(last.where("held is not null"), "members")
-    texts = lambda part: rows.where(part).select("h", "text").mapInArrow(_prepare(size, 200_000), _TEXT)
-    evaluation = materialize(texts("held").groupBy("h").agg(F.first("size").alias("size"), F.first("words").alias("words")), "held")
+    texts = lambda part: part.mapInArrow(_prepare(size, 200_000), _TEXT)
+    training = rows.where("not held").select("h", "text")
+    evaluation = materialize(texts(rows.where("held").select("h", "text")).groupBy("h").agg(F.first("size").alias("size"), F.first("words").alias("words")), "held")
     n_words = F.sum(F.length("words") / 6)
-    stats = evaluation.agg(n_words.alias("words"), F.avg(F.length("words")).alias("mean")).first()
+    counted = lambda: evaluation.agg(n_words.alias("words"), F.avg(F.length("words")).alias("mean")).first()
+    stats, streamed = counted(), None
+    if (stats.words or 0) > shard_words:
+        # beyond one shard, only texts that can have a partner are indexed and searched
+        few = sieve.partners(training, evaluation, _prepare(size, 200_000), size, least)
+        evaluation = materialize(evaluation.join(few.where("kind = 0").select("h"), "h", "left_semi"), "held")
+        chosen = few.where("kind = 1").select("h")
+        n_chosen = chosen.count()
+        training = training.join(F.broadcast(chosen) if n_chosen <= most_ids else chosen, "h", "left_semi")
+        stats = counted()
+        streamed = n_chosen * (stats.mean or 0)
     # ranges of sizes, each cut into as many shards by hash as its words need
     ranges = min(24, max(1, math.ceil((stats.words or 0) / shard_words)))
     shares = [i / ranges for i in range(1, ranges)]
@@ -241,13 +254,16 @@ def overlapping_texts(records: DataFrame, held: str, id_column: str = "id", text
     place = at(begin, of(F.col("size"))) + F.pmod("h", at(inner, of(F.col("size")))).cast("int")
     sorted_ = evaluation.select(place.alias("shard"), "h", "size", "words").repartitionById(shards, "shard").sortWithinPartitions("shard", "h")
     index = materialize(sorted_.mapInArrow(_build, "shard int, piece long, body binary"), "index")
-    streamed = members.where("not held").count() * (stats.mean or 0)
+    if streamed is None:
+        streamed = members.where("not held").count() * (stats.mean or 0)
+    # loading an index takes as long as searching some 16 bytes of text a word, so a task streams more than that
+    block_bytes = max(block_bytes, 20 * min(shard_words, math.ceil(stats.words or 0)))
     salts = max(1, math.ceil(spark.sparkContext.defaultParallelism / shards), math.ceil(streamed / block_bytes))
     none = lambda kind: F.lit(None).cast(kind)
     copies = index.select(F.explode(F.sequence(F.col("shard") * salts, F.col("shard") * salts + salts - 1)).alias("block"), F.lit(0).alias("kind"), F.col("piece").alias("h"), "body", none("string").alias("words"), none("int").alias("size"))
     low, high = F.ceil(F.col("size") * least - 1e-9).cast("int"), F.floor(F.col("size") / least + 1e-9).cast("int")
     visits = F.explode(F.sequence(at(begin, of(low)), at(begin[1:], of(high)) - 1)).alias("shard")
-    stream = texts("not held").select(visits, "h", "words", "size").select((F.col("shard") * salts + F.pmod(F.shiftright("h", 7), F.lit(salts))).cast("int").alias("block"), F.lit(1).alias("kind"), "h", none("binary").alias("body"), "words", "size")
+    stream = texts(training).select(visits, "h", "words", "size").select((F.col("shard") * salts + F.pmod(F.shiftright("h", 7), F.lit(salts))).cast("int").alias("block"), F.lit(1).alias("kind"), "h", none("binary").alias("body"), "words", "size")
     placed = copies.unionByName(stream).repartitionById(shards * salts, "block").sortWithinPartitions("block", "kind", "h")
     pairs = placed.mapInArrow(_stream(size, least, extra, 2000), _PAIR)
     return materialize(pairs, "overlaps"), members
